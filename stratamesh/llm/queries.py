@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import sharding, urlfilter
+from stratamesh.llm import line_crf, quality_model, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -16,6 +16,26 @@ def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.with_slots(placed, "doc_id", "shard", ["doc_id", "text_crc32", "size"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and whether its lines are content for the most part."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
+    return line_crf.mark(docs, model).select("doc_id", *line_crf.BASE_COLUMNS, "base_failed", "kept", "content_share")
+
+
+def held_out() -> Column:
+    """Rows whose labels are never learned from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+
+
+def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url of pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -42,6 +62,8 @@ FROM p"""
 
 QUERIES = {
     "op5_rendezvous": op5_rendezvous,
+    "op6_line_crf": op6_line_crf,
+    "op10_rule_ensemble": op10_rule_ensemble,
     "op9_url_filters": op9_url_filters,
 }
 ORACLES: dict[str, str] = {"op9_url_filters": _op9_sql()}

@@ -53,7 +53,7 @@ def to_regex(rule: str) -> str:
     if body.endswith("|"):
         tail, body = r"\z", body[:-1]
     body = body.translate(str.maketrans(UPPER, LOWER))
-    return head + "".join({"*": ".*", "^": r"(?:[^a-z0-9_.%-]|\\z)"}.get(c) or re.sub(r"([^a-z0-9])", r"\\\1", c) for c in body) + tail
+    return head + "".join({"*": ".*", "^": r"(?:[^a-z0-9_.%-]|\z)"}.get(c) or re.sub(r"([^a-z0-9])", r"\\\1", c) for c in body) + tail
 
 
 def literal_tokens(rule: str) -> list[str]:
