@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import line_crf, quality_model, sharding, urlfilter
+from stratamesh.llm import line_crf, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -36,6 +36,16 @@ def op10_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secret spans."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.fit(docs))
+    kinds = F.transform("secrets", lambda s: s["kind"])
+    of = {k: F.size(kinds) - F.size(F.array_remove(kinds, i)) for i, k in enumerate(secrets.KINDS)}
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select("doc_id", *(of[k].cast("long").alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url of pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -63,6 +73,7 @@ FROM p"""
 QUERIES = {
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
+    "op7_markov_secrets": op7_markov_secrets,
     "op10_rule_ensemble": op10_rule_ensemble,
     "op9_url_filters": op9_url_filters,
 }
