@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import line_crf, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import line_crf, near_dedup, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -46,6 +46,11 @@ def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(of[k].cast("long").alias(f"n_{k}") for k in secrets.KINDS), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("secrets")).alias("spans"))
 
 
+def op8_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's near-duplicate group."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every url of pages."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -74,6 +79,7 @@ QUERIES = {
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
     "op7_markov_secrets": op7_markov_secrets,
+    "op8_bbit_minhash": op8_bbit_minhash,
     "op10_rule_ensemble": op10_rule_ensemble,
     "op9_url_filters": op9_url_filters,
 }
