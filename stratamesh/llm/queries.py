@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import line_crf, near_dedup, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import line_crf, near_dedup, packing, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents in sequences of at most 4096 tokens."""
+    import public_tokenizers
+
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(pieces)
+
+
 def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents over eight shards by doc_id."""
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text_of()).cast("long") + 1).alias("size"), F.crc32(text_of()).alias("text_crc32"), F.lit("key").alias("law"))
@@ -76,6 +87,7 @@ FROM p"""
 
 
 QUERIES = {
+    "op3_vector_best_fit": op3_vector_best_fit,
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
     "op7_markov_secrets": op7_markov_secrets,
