@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import line_crf, near_dedup, packing, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import line_crf, near_dedup, order_minhash, packing, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text."""
+    return order_minhash.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -87,6 +92,7 @@ FROM p"""
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op3_vector_best_fit": op3_vector_best_fit,
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
