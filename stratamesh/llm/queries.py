@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import line_crf, near_dedup, order_minhash, packing, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import licences, line_crf, near_dedup, order_minhash, packing, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -14,6 +14,16 @@ def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sure = F.filter("licences", lambda r: r["confirmed"])
+    listed = F.array_join(F.transform(sure, lambda r: F.concat_ws(":", r["paragraph"].cast("string"), r["family"])), ",")
+    return found.select(
+        "doc_id", F.size("licences").cast("long").alias("n_predicted"), F.size(sure).cast("long").alias("n_licences"), listed.alias("licences"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda r: r["family"]))), ",").alias("families"))
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -93,6 +103,7 @@ FROM p"""
 
 QUERIES = {
     "op1_order_minhash": op1_order_minhash,
+    "op2_licence_scan": op2_licence_scan,
     "op3_vector_best_fit": op3_vector_best_fit,
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
