@@ -93,7 +93,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int
     Spark counts only letters, so no secret of the corpus is learned as ordinary.
     """
     n = len(ALPHABET) + 1
-    sample = docs.select(text_of(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h")).orderBy("h").limit(max_docs)
+    hashed = docs.select(text_of(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
+    chosen = hashed.select("h").orderBy("h").limit(max_docs).distinct()  # hashes alone are ordered and sent
+    sample = hashed.join(F.broadcast(chosen), "h")
     words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w")).select(_classes(F.col("w")).alias("c"))
     pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.element_at("c", i) * n + F.element_at("c", i + 1))).alias("p"))
     found = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
