@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import licences, line_crf, near_dedup, order_minhash, packing, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import licences, line_crf, near_dedup, order_minhash, packing, pieces, quality_model, secrets, sharding, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -25,14 +25,22 @@ def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op3_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents in sequences of at most 4096 tokens."""
     import public_tokenizers
 
-    pieces = packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
-    return packing.pack(pieces)
+    cut = packing.token_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    return packing.pack(cut)
+
+
+def op4_suffix_array_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sentence pieces and back."""
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(PIECES))
 
 
 def op5_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +113,7 @@ QUERIES = {
     "op1_order_minhash": op1_order_minhash,
     "op2_licence_scan": op2_licence_scan,
     "op3_vector_best_fit": op3_vector_best_fit,
+    "op4_suffix_array_pieces": op4_suffix_array_pieces,
     "op5_rendezvous": op5_rendezvous,
     "op6_line_crf": op6_line_crf,
     "op7_markov_secrets": op7_markov_secrets,

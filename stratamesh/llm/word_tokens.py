@@ -11,7 +11,7 @@ from itertools import chain
 
 #: Characters up to Latin Extended-B that no normal form and no splitting rule treats specially (no no-break space, no next-line).
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-#: Words remembered at most by each worker process.
+#: Words remembered at most by each worker process, and as many of the generation before.
 MAX_WORDS = 250_000
 
 
@@ -26,6 +26,7 @@ class WordTokens:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
@@ -35,8 +36,6 @@ class WordTokens:
         self.ints = list(range(size))
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.known) + len(words) > self.most:
-            self.known.clear()
         if len(self.pieces) > self.most:
             self.pieces.clear()
         parts = {w: self.split(w.lower()) for w in words}
@@ -64,11 +63,14 @@ class WordTokens:
                 plain[i] = t.split()
             else:
                 out[i] = self.tokenizer.encode(t, add_special_tokens=False).ids
-        new = set(chain.from_iterable(plain.values())) - self.known.keys()
-        if new:
-            if len(self.known) + len(new) > self.most:
-                new = set(chain.from_iterable(plain.values()))
-            self._learn(new)
+        every = set(chain.from_iterable(plain.values()))
+        new = every - self.known.keys()
+        if new and len(self.known) + len(new) > self.most:
+            self.known, self.older = {}, self.known
+            new = every
+        for w in new & self.older.keys():
+            self.known[w] = self.older[w]
+        self._learn(new - self.older.keys())
         get = self.known.__getitem__
         for i, words in plain.items():
             out[i] = list(chain.from_iterable(map(get, words)))
