@@ -1,0 +1,447 @@
+"""Each operator against a brute-force version, and on odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from stratamesh.llm import licences, line_crf, near_dedup, order_minhash, packing, pieces, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm._io import table, written
+from stratamesh.llm.components import components
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+SENTENCES = public_tokenizers.path("piece_bpe_32k.model")
+LONG = "lorem ipsum dolor sit amet " * 8_000
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "Ünïcode \U0001f600 text\x00\x85\xa0 x"), (6, LONG), (None, "no id here at all"), (7, "twice the same row"), (7, "twice the same row"), (8, "twice the same row")]
+
+
+def docs(spark, rows=ODD):
+    return spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, shard int, score string")
+
+
+def empty(spark):
+    return docs(spark).limit(0)
+
+
+# --- fingerprints
+
+
+def test_order_minhash_edits(spark):
+    got = order_minhash.with_next(docs(spark)).collect()
+    rows = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    want = []
+    for i, (k, t) in enumerate(rows):
+        t, n = t or "", rows[(i + 1) % len(rows)][1] or ""
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        a, b, c = map(order_minhash.sketch, (t, e, n))
+        want.append((k, len(t), hashlib.sha256(e.encode()).hexdigest(), order_minhash.fingerprint(a), order_minhash.fingerprint(b), order_minhash.likeness(a, b), order_minhash.likeness(a, c)))
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert order_minhash.with_next(empty(spark)).count() == 0
+    one = order_minhash.with_next(docs(spark, [(4, "abcdefgh")])).first()
+    assert one["near_next"] == 1 and one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def test_order_minhash_many_ranges(spark):
+    rng = random.Random(1)
+    rows = [(rng.randint(0, 10**12), f"text {i} " * rng.randint(0, 9)) for i in range(500)]
+    got = {r["doc_id"]: r["edited_sha256"] for r in order_minhash.with_next(docs(spark, rows)).collect()}
+    rows.sort()
+    for i, (k, t) in enumerate(rows):
+        assert got[k] == hashlib.sha256(order_minhash.edited(t, rows[(i + 1) % 500][1]).encode()).hexdigest()
+
+
+def test_order_minhash_likeness():
+    rng = random.Random(2)
+    a = "".join(rng.choice("abcdefghij ") for _ in range(2000))
+    s = order_minhash.sketch(a)
+    near = [order_minhash.likeness(s, order_minhash.sketch(a[: 2000 - n] + "z" * n)) for n in (0, 40, 400, 1500)]
+    assert near[0] == 1 and near[0] > near[1] > near[2] > near[3]
+    swapped = order_minhash.sketch(a[1000:] + a[:1000])
+    assert order_minhash.likeness(s, swapped) < near[1]
+    assert order_minhash.likeness(order_minhash.sketch("a" * 50), order_minhash.sketch("a" * 500)) < 1
+    for w in (1, 3, 8, 11):
+        c = np.frombuffer("abcabcabcabcabc".encode("utf-32-le"), np.uint32)
+        k = order_minhash._kmers(c, w)
+        assert len(k) == 16 - w and len(set(k.tolist())) == min(3, 16 - w)
+
+
+def test_fingerprint_column(spark):
+    got = [r["fingerprint"] for r in order_minhash.fingerprints(docs(spark)).orderBy("doc_id").collect()]
+    assert len(got) == len(ODD) and len({r["fingerprint"] for r in order_minhash.fingerprints(docs(spark)).where("doc_id > 6").collect()}) == 1
+
+
+# --- licences
+
+
+def test_licences(spark):
+    for family, texts in licences.TEMPLATES.items():
+        for t in texts:
+            assert licences.classify(t)[0] == family
+    assert all(licences.classify(t)[0] is None for t in licences.ORDINARY)
+    rows = [*ODD, (20, "a\n\nReleased under the MIT License.\nmy driving license\nLICENSED UNDER CC BY-NC 4.0."), (21, LONG + "\nAll rights reserved.")]
+    got = {r["doc_id"]: [tuple(x)[:2] for x in r["licences"] if x["confirmed"]] for r in licences.scan(docs(spark, rows).withColumn("licences", F.lit(1))).collect()}
+    assert got[20] == [(2, "mit"), (4, "cc-by-nc")] and got[21] == [(1, "proprietary")]
+    assert not any(v for k, v in got.items() if k not in (20, 21))
+    one = licences.scan(docs(spark, [(1, "Released under the MIT License.")])).first()["licences"][0]
+    assert one["probability"] == pytest.approx(licences.classify("Released under the MIT License.")[1])
+    assert licences.scan(empty(spark)).count() == 0
+
+
+# --- packing
+
+
+def places(plan, counts):
+    out = []
+    for length, n in counts.items():
+        k = (length << 44) + np.arange(n)
+        step = np.searchsorted(plan.key, k, "right") - 1
+        out += [(int(b), int(o), length) for b, o in zip(plan.bin[step] + k - plan.key[step], plan.offset[step])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [packing.Capacity(100), packing.Capacity(100, 4), packing.Capacity(100, 6, 5_000)])
+def test_plan_keeps_every_capacity(rule, capacity):
+    rng = np.random.default_rng(0)
+    lengths = np.minimum(rng.geometric(0.04, 3000), 70)
+    counts = {int(a): int(b) for a, b in zip(*np.unique(lengths, return_counts=True))}
+    plan = packing.plan_bins(counts, capacity, rule)
+    bins: dict = {}
+    for b, o, n in places(plan, counts):
+        assert o == sum(bins.setdefault(b, []))
+        bins[b].append(n)
+    assert sorted(bins) == list(range(plan.bins))
+    for own in bins.values():
+        assert sum(own) <= 100 and len(own) <= (capacity.documents or 100) and sum(n * n for n in own) <= (capacity.attention or 10**9)
+    least = max(sum(lengths) / 100, len(lengths) / (capacity.documents or 1e9), sum(int(n) ** 2 for n in lengths) / (capacity.attention or 1e12))
+    assert plan.bins <= least * (1.25 if capacity.documents == 4 else 1.12) + 1
+
+
+def test_plan_refuses():
+    with pytest.raises(ValueError):
+        packing.plan_bins({11: 1}, packing.Capacity(10))
+    assert packing.plan_bins({}, packing.Capacity(10)).bins == 0
+
+
+def test_token_pieces_and_pack(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORDS)
+    rows = [*ODD, (30, "It's ΣΑΣ <|endoftext|> 12 don't; İstanbul\u0301 ﬁne"), (31, "we'll we'LL they're x's 3's a.b-c_d \u00aa\u00ba")]
+    got = packing.pack(packing.token_pieces(docs(spark, rows), WORDS, limit=500), capacity=packing.Capacity(500)).collect()
+    want = []
+    for k, x in rows:
+        ids = t.encode(x or "", add_special_tokens=False).ids + [1]
+        want += [(k, i, s, len(ids[s : s + 500]), zlib.crc32(np.array(ids[s : s + 500], "<u4").tobytes())) for i, s in enumerate(range(0, len(ids), 500))]
+    assert sorted(map(str, (tuple(r)[:5] for r in got))) == sorted(map(str, want))
+    bins: dict = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == bins.get(r["sequence_id"], 0)
+        bins[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(bins.values()) <= 500 and len(bins) == -(-sum(r[3] for r in want) // 500)
+    assert packing.pack(packing.token_pieces(empty(spark), WORDS)).count() == 0
+
+
+def test_pack_extra_columns(spark):
+    df = spark.createDataFrame([(1, 0, 0, 5, 9, "a", 3), (1, 0, 0, 5, 9, "a", 3)], "doc_id long, piece int, start long, length long, ids_crc32 long, source string, offset int")
+    got = packing.pack(df, capacity=packing.Capacity(10)).collect()
+    assert [r["source"] for r in got] == ["a", "a"] and sorted(r["offset"] for r in got) == [0, 5]
+    with pytest.raises(ValueError):
+        packing.pack(df.withColumn("length", F.lit(0).cast("long")))
+
+
+# --- sentence pieces
+
+
+def test_pieces_equal_the_library():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=SENTENCES)
+    m = pieces.matcher_of(SENTENCES)
+    rng = random.Random(3)
+    texts = [t or "" for _, t in ODD] + ["  lead", "a     b", "▁x ▁▁ y", "<s></s><0x41>", "日本語 テスト", "x" * 400, "ab" * 300]
+    texts += ["".join(rng.choice("ab  theing▁\n.,é日😀\x00") for _ in range(rng.randint(1, 80))) for _ in range(800)]
+    got = m.encode(texts)
+    for t, g in zip(texts, got):
+        assert np.frombuffer(g, "<u4").tolist() == sp.encode(t), t
+        assert m.decode(g) == sp.decode(sp.encode(t))
+    m.known.clear()
+    assert m.encode(texts) == got
+    assert m.decode([]) == "" and m.decode([0xE4 + 3, 13]) == sp.decode([0xE4 + 3, 13])
+    with pytest.raises(IndexError):
+        m.decode([10**6])
+
+
+def test_pieces_columns(spark):
+    rows = pieces.encoded(docs(spark), SENTENCES)
+    back = {(r["doc_id"]): r["text"] for r in pieces.decoded(rows, SENTENCES).collect()}
+    assert all(back[k] == (t or "") for k, t in ODD)
+    assert {r["round_trip"] for r in pieces.digests(docs(spark), SENTENCES).collect()} == {True}
+    assert pieces.encoded(empty(spark), SENTENCES).count() == 0
+
+
+# --- sharding
+
+
+def test_rendezvous(spark):
+    rows = docs(spark, [*ODD, *[(i, f"t{i % 50}") for i in range(100, 4100)]])
+    got = sharding.with_slots(sharding.rendezvous(rows, "doc_id", 8, grown="grown"), "doc_id", "shard", ["doc_id", "text"]).collect()
+    assert len(got) == len(ODD) + 4000 and all(r["grown"] in (r["shard"], 8) for r in got)
+    for s in range(8):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+        assert 400 < sum(r["shard"] == s for r in got) < 620
+    more = {r["doc_id"]: r["shard"] for r in sharding.rendezvous(rows, "doc_id", 9).collect()}
+    assert all(more[r["doc_id"]] == r["grown"] for r in got)
+    for r in got[:50]:
+        k = "null" if r["doc_id"] is None else str(r["doc_id"])
+        assert r["shard"] == max(range(8), key=lambda i: (hashlib.md5(f"{k}:{i}".encode()).hexdigest()[:15], -i))
+    heavy = [r["shard"] for r in sharding.rendezvous(rows, "doc_id", 3, [1, 1, 2]).collect()]
+    assert 0.45 < heavy.count(2) / len(heavy) < 0.55
+    lighter = [r["shard"] for r in sharding.rendezvous(rows, "doc_id", 3, [1, 1, 1.0001]).collect()]
+    moved = [(a, b) for a, b in zip(lighter, heavy) if a != b]
+    assert moved and all(b == 2 for _, b in moved)
+    assert sharding.with_slots(sharding.rendezvous(empty(spark), "doc_id", 8), "doc_id", "shard", ["doc_id"]).count() == 0
+    for bad in ((0, None), (2, [1]), (2, [1, -1])):
+        with pytest.raises(ValueError):
+            sharding.rendezvous(rows, "doc_id", *bad)
+
+
+# --- quality rules
+
+
+def base_brute(t):
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    wins = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    inside = {j for i, w in enumerate(wins) if wins.count(w) > 1 for j in (i, i + 1, i + 2)}
+    seen, dup = set(), 0
+    for line in t.split("\n"):
+        if re.search(r"[^\x20\x09-\x0D]", line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(inside)
+
+
+def test_base_statistics():
+    rng = random.Random(4)
+    texts = [t or "" for _, t in ODD if t != LONG] + ["".join(rng.choice("ab \n\t#|\x85\u2003") for _ in range(rng.randint(0, 120))) for _ in range(400)]
+    for t in texts:
+        _, repeated, words = line_crf.read_lines(t)
+        assert line_crf.base_statistics(t, repeated, words) == base_brute(t)
+
+
+def test_viterbi_is_the_best_path():
+    rng = np.random.default_rng(5)
+    model = line_crf.LineCrf(tuple(rng.normal(size=line_crf.FEATURES)), ((0.4, -0.3), (-0.2, 0.6)))
+    for n in range(1, 8):
+        lines = [list(rng.integers(0, line_crf.FEATURES, 9)) for _ in range(n)]
+        paths = [[int(c) for c in f"{i:0{n}b}"] for i in range(2**n)]
+        score = lambda p: sum(sum(model.emit[k] for k in f) * y for f, y in zip(lines, p)) + sum(model.move[a][b] for a, b in zip(p, p[1:]))
+        assert score(line_crf.viterbi(model, lines)) == pytest.approx(max(map(score, paths)))
+    assert line_crf.viterbi(model, []) == []
+
+
+def test_line_crf(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9)))
+    good = "\n".join("The fox " + " ".join(word() for _ in range(14)) + "." for _ in range(9))
+    bad = "\n".join(" | ".join(f"{word().upper()}!!" for _ in range(9)) + f" $$$ BUY {i} ###" for i in range(9))
+    model = line_crf.train([(good.replace("fox", f"fox{i}"), 1) for i in range(30)] + [(bad.replace("BUY", f"BUY{i}"), 0) for i in range(30)])
+    rows = [*ODD, (40, good), (41, bad), (42, good + "\n" + bad.split("\n")[0]), (43, bad + "\n" + good.split("\n")[0])]
+    got = {r["doc_id"]: r for r in line_crf.mark(docs(spark, rows).withColumn("kept", F.lit("clash")), model).collect()}
+    assert [got[k]["kept"] for k in (40, 41, 42, 43)] == [True, False, True, False]
+    assert got[42]["n_boilerplate_lines"] == 1 and got[6]["base_failed"] and not any(got[k]["kept"] for k in (1, 2, 3, 4))
+    assert got[40]["score"] == "x" and line_crf.mark(empty(spark), model).count() == 0
+    assert line_crf.train([]).move == ((0.0, 0.0), (0.0, 0.0))
+
+
+# --- secrets
+
+
+def spans_brute(t):
+    out = []
+    for k, (name, pattern) in enumerate((("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", "AKIA[A-Z0-9]+"), ("hex", "[0-9a-f]+"))):
+        for m in re.finditer(pattern, t):
+            if len(m[2] if name == "assign" else m[0]) >= (6, 20, 24)[k]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_secrets(spark):
+    model = secrets.fit(docs(spark))
+    rng = random.Random(6)
+    parts = ["token = ", "Secret:'", "API_KEY=", "password:", "AKIA", "ABCDEFGH12345678", "deadbeef" * 3, "0123456789abcdef01234567", " ", "\n", "x", "é😀", "=", "short", "tokeN: token: abcdef", "ſecret=abcdefg", "to\u212aen=abcdefg"]
+    rows = [*ODD, *[(100 + i, "".join(rng.choice(parts) for _ in range(rng.randint(1, 12)))) for i in range(300)]]
+    got = secrets.scan(docs(spark, rows).withColumn("secrets", F.lit(0)), model)
+    for r in got.collect():
+        assert [(s["start"], s["kind"], s["end"]) for s in r["secrets"] if s["kind"] < 3] == spans_brute(r["text"] or ""), r["text"]
+        assert all((r["text"][s["start"] : s["end"]]) == s["hit"] for s in r["secrets"])
+    clean = {r["doc_id"]: r["text"] for r in secrets.redacted(got).collect()}
+    assert clean[1] is None and clean[2] == "" and not any(spans_brute(t or "") for t in clean.values() if t and "[SECRET]" not in t)
+    assert secrets.scan(empty(spark), model).count() == 0
+
+
+def test_markov(spark):
+    model = secrets.fit(docs(spark, [(i, "ordinary words of a corpus are written here and elsewhere") for i in range(20)]))
+    random_ones = secrets.random_samples(300, seed=99)
+    plain = secrets.ordinary_samples(300, seed=98)
+    df = spark.createDataFrame([(s, 1) for s in random_ones] + [(s, 0) for s in plain if len(s) >= 16], "s string, y int").withColumn("r", secrets.log_ratio(F.col("s"), model))
+    assert df.where("y = 1").agg(F.avg((F.col("r") > 0).cast("int"))).first()[0] > 0.97
+    assert df.where("y = 0").agg(F.avg((F.col("r") <= 0).cast("int"))).first()[0] > 0.97
+    found = secrets.scan(docs(spark, [(1, "see qX7vRt2LpZ9wKd4HsB1nYc8F here, get_user_account_number_2 there, 1234567890123456 too")]), model).first()["secrets"]
+    assert [(s["kind"], s["hit"]) for s in found] == [(3, "qX7vRt2LpZ9wKd4HsB1nYc8F")]
+
+
+# --- near-duplicates
+
+
+def groups_brute(rows, percent=75):
+    sets = []
+    for k, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {b" ".join(w)} if w else set())
+    parent = {k: k for k, _ in rows if k is not None}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (a, _) in enumerate(rows):
+        for j in range(i):
+            b = rows[j][0]
+            if a is not None and b is not None and sets[i] and sets[j]:
+                common = len(sets[i] & sets[j])
+                if 100 * common >= percent * (len(sets[i]) + len(sets[j]) - common):
+                    x, y = sorted((find(a), find(b)))
+                    parent[y] = x
+    return {k: find(k) for k in parent}, [(k, len(s)) for (k, _), s in zip(rows, sets)]
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(500)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    rows = list(ODD)
+    for g in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(5, 90))]
+        for _ in range(rng.randint(1, 9)):
+            own = [rng.choice(vocabulary) if rng.random() < rng.choice((0, 0.01, 0.04)) else w for w in base]
+            rows.append((1000 + len(rows), " ".join(own).upper() if rng.random() < 0.3 else "\t".join(own)))
+    for _ in range(90):  # texts around one passage, alike and not alike enough
+        rows.append((1000 + len(rows), " ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randint(0, 26))])))
+    rows += [(5000, rows[20][1]), (5000, rows[-1][1]), (1003, "Twice The Same Row")]
+    got = near_dedup.near_duplicates(docs(spark, rows)).collect()
+    want, sizes = groups_brute(rows)
+    assert len(got) == len(rows)
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"]) for r in got))) == sorted(map(str, sizes))
+    for r in got:
+        assert r["component_id"] == want.get(r["doc_id"]) and r["kept"] == (r["doc_id"] is None or r["component_id"] == r["doc_id"])
+    assert near_dedup.near_duplicates(empty(spark)).count() == 0
+
+
+def test_rare_shingles_find_all_pairs(spark):
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    rows = [(i, " ".join(passage + [rng.choice(vocabulary) for _ in range(rng.randint(0, 30))])) for i in range(120)]
+    members = written(spark.createDataFrame([(k, k) for k, _ in rows], "id long, comp long"), "members")
+    pairs = {(r["a"], r["b"]) for r in near_dedup._by_rare_shingles(members, near_dedup.signatures(docs(spark, rows), "doc_id", "text", 5), docs(spark, rows), "doc_id", "text", 5, 0.75).collect()}
+    sets = {k: set(near_dedup.shingles(t).tolist()) for k, t in rows}
+    true = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.75 * len(sets[a] | sets[b])}
+    assert true and true <= pairs and len(pairs) < 120 * 119 / 2
+
+
+def test_bbit_estimate(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for share in (0.5, 0.75, 0.95):
+        for i in range(40):
+            both = rng.integers(1, 1 << 62, int(600 * share), dtype=np.uint64)
+            n = (600 - len(both)) // 2
+            a, b = (np.unique(np.concatenate([both, rng.integers(1, 1 << 62, n, dtype=np.uint64)])) for _ in "ab")
+            j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            rows.append((j, *(near_dedup.packed(near_dedup.minima(x)).tolist() for x in (a, b))))
+    df = spark.createDataFrame(rows, "j double, a array<long>, b array<long>").withColumn("e", near_dedup.estimate(F.col("a"), F.col("b")))
+    off = df.agg(F.avg(F.col("e") - F.col("j")), F.max(F.abs(F.col("e") - F.col("j")))).first()
+    assert abs(off[0]) < 0.02 and off[1] < near_dedup.SLACK
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (5, 5), (200, 199), (None, 3), (101, 100)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(1, 61)}, 101: 100, 103: 100, 200: 199}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# --- url filters
+
+
+def test_url_filters(spark):
+    rules = (*urlfilter.DEFAULT_RULES, "*plain*", "|https://only.", "end.html|")
+    urls = [None, "", "no scheme", "HTTP://SPAM-FARM.example.org/En/1", "http://a.spam-farm.x/en/abuse", "http://spam-farm.example.org/en/abuse", "http://notspam-farm.x/", "http://x.y/?clickid=1&clickid=2", "http://x/completelyplainly", "https://only.x/", "http://q/https://only.x", "http://x/end.html", "http://x/end.html\n", "http://tracker.a/b/pixel", "http://tracker.a/b/pixels", "http://x\n/wp-login.php", "http://x/wp-login.php", "http://x/wp-login.php"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("matched", F.lit(0))
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(df, rules=rules).collect()}
+    low = lambda u: (u or "").translate(str.maketrans(urlfilter.UPPER, urlfilter.LOWER))
+    for i, u in enumerate(urls):
+        want = [r for r in rules if re.search(urlfilter.to_regex(r).replace(r"\z", r"\Z"), low(u))]
+        assert got[i]["matched"] == want, u
+        assert got[i]["pattern_verdict"] == ("block" if any(not r.startswith("@@") for r in want) and not any(r.startswith("@@") for r in want) else "allow")
+        assert got[i]["n_tried"] <= 6
+    index, rest = urlfilter.rule_index(df.union(df.limit(0)), "url", ["||spam-farm.", "*plain*", "/no-example.", "||example.spam^"])
+    assert rest == [1] and index == {"spam": [0], "no": [2], "example": [3]}
+    assert urlfilter.filter_urls(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        urlfilter.filter_urls(df, rules=["x"] * (urlfilter.MAX_RULES + 1))
+
+
+def test_url_parts(spark):
+    urls = [None, "x", "a://B.Com/en/7?x#y", "://", "q?z=http://h.com/en/", "http://net", "http://EXAMPLE.NET/de/8/1", "http://myexample.com/en/7", "http://É.org/es/", "ftp://a.org/es/#"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    host, path = urlfilter.split_url(F.col("url"))
+    df = df.select(host.alias("host"), path.alias("path"))
+    got = [tuple(r) for r in df.select("host", "path", urlfilter.base_rule(F.col("host"), F.col("path"))[0].alias("r")).collect()]
+    assert got == [("", "", None), ("", "", None), ("b.com", "/en/7", "com/en/"), ("", "", None), ("h.com", "/en/", "com/en/"), ("net", "", None), ("example.net", "/de/8/1", "example.net/de/8"), ("myexample.com", "/en/7", "com/en/"), ("É.org", "/es/", "org/es/"), ("a.org", "/es/", "org/es/")]
+
+
+# --- quality classifier
+
+
+def test_rule_ensemble_on_known_rules():
+    rng = np.random.default_rng(10)
+    x = rng.uniform(size=(3000, 4))
+    y = ((x[:, 0] > 0.6) & (x[:, 1] <= 0.4) | (x[:, 2] > 0.9)).astype(int)
+    model = quality_model.fit_rules(list("abcd"), x, y)
+    z = np.full(3000, model.bias)
+    for r in model.rules:
+        hit = np.ones(3000, bool)
+        for name, over, bound in r.tests:
+            v = x[:, "abcd".index(name)]
+            hit &= v > bound if over else v <= bound
+        z += r.weight * hit
+    assert ((z > 0) == (y == 1)).mean() > 0.95 and 0 < len(model.rules) < 150
+    assert quality_model.fit_rules(["a"], np.zeros((0, 1)), np.zeros(0)).rules == ()
+    assert quality_model.fit_rules(["a"], np.ones((5, 1)), np.ones(5)).bias > 0
+
+
+def test_scores(spark, sf):
+    from stratamesh.llm.queries import held_out
+
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    model = quality_model.fit(d, labels.where(~held_out()))
+    got = quality_model.score(d, model).join(labels, "doc_id")
+    right = got.where(held_out()).agg(F.avg(((F.col("score") >= 0.5) == (F.col("quality") == 1)).cast("int"))).first()[0]
+    assert right >= 0.95
+    odd = quality_model.score(docs(spark).withColumn("words", F.lit("clash")), model).collect()
+    assert len(odd) == len(ODD) and all(0 <= r["score"] <= 1 and r["words"] == "clash" for r in odd)
+    assert quality_model.score(empty(spark), model).count() == 0
+
+
+def test_statistics_are_never_null(spark):
+    stats = quality_model.statistics(F.coalesce("text", F.lit("")))
+    rows = docs(spark).select(*(c.alias(k) for k, c in stats.items())).collect()
+    assert all(v is not None and v == v for r in rows for v in r)
