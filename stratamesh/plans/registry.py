@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import Bounds, distance, grid_shape
-from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, raster, registration, sampling, statistics
+from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, raster, registration, sampling, statistics, thinning
 from stratamesh.operators.clip import ClipArea, clip, clip_statistics
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame
 from stratamesh.sources.points import file_bounds, files_for_tiles, lineitem_points, lineitem_points_sql, synthetic, union_bounds
@@ -531,3 +531,17 @@ def _(spark, sf_dir):
     a = synthetic(spark, 200, 200, epoch="t1", seed=1)
     b = synthetic(spark, 200, 200, epoch="t2", seed=2, features=[("mound", 0.6, -50, 60, 25), ("pit", 0.5, 40, -30, 20)])
     return r6(grid.dod(a, b, cell=10.0), "dem1", "dem2", "dod")
+
+
+_SELF = f"SELECT sid, d2, tid FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2, tid) AS r FROM (SELECT s.*, t.*, {_D2} AS d2 FROM {_PAIRS.replace(chr(39) + 't2' + chr(39), chr(39) + 't1' + chr(39))} ON true)) WHERE r <= 7"
+
+
+@register("outlier_removal", f"WITH m AS (SELECT sid, sum(sqrt(d2)) / 6 AS d FROM ({_SELF}) GROUP BY 1) SELECT sid AS point_id, round(d, 6) AS mean_distance FROM m WHERE d <= (SELECT avg(d) + 1.0 * stddev_pop(d) FROM m)".replace("WITH m AS", ", m AS", 1))
+def _(pts):
+    t1, _ = epochs(pts)
+    return r6(thinning.without_outliers(t1, 6, 1.0), "mean_distance").select("point_id", "mean_distance")
+
+
+@register("spatial_thinning", "SELECT point_id FROM (SELECT point_id, row_number() OVER (PARTITION BY floor(x / 20), floor(y / 20), floor(z / 20) ORDER BY point_id) AS r FROM pts) WHERE r = 1")
+def _(pts):
+    return thinning.one_per_voxel(pts, 20.0).select("point_id")
