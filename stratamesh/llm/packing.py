@@ -107,7 +107,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokens_of(tokenizer)
+        encoder, last = tokens_of(tokenizer), b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for b in batches:
             keys, texts = b.column(0), b.column(1)
             lo, n, chars, held = 0, len(b), 0, []
@@ -116,11 +116,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 chars += len(held[-1])
                 if chars >= batch_chars or i == n - 1:
                     at, piece, start, length, crc = [], [], [], [], []
-                    for j, ids in enumerate(encoder.encode(held)):
-                        if end_id is not None:
-                            ids.append(end_id)
-                        raw = np.array(ids, "<u4").tobytes()
-                        for k, s in enumerate(range(0, len(ids), limit)):
+                    for j, raw in enumerate(encoder.encode(held)):
+                        raw += last
+                        for k, s in enumerate(range(0, len(raw) // 4, limit)):
                             own = raw[4 * s : 4 * (s + limit)]
                             at.append(lo + j)
                             piece.append(k)

@@ -7,12 +7,13 @@ words' ids one after the other. Texts with characters for which that is not plai
 from __future__ import annotations
 
 import re
-from itertools import chain
+
+import numpy as np
 
 #: Characters up to Latin Extended-B that no normal form and no splitting rule treats specially (no no-break space, no next-line).
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: Words remembered at most by each worker process, and as many of the generation before.
-MAX_WORDS = 250_000
+MAX_WORDS = 500_000
 
 
 class WordTokens:
@@ -25,45 +26,48 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         size = self.tokenizer.get_vocab_size()
-        self.ends = [str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)]
-        self.ints = list(range(size))
+        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+
+    def _raw(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, words: set[str]) -> None:
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        parts = {w: self.split(w.lower()) for w in words}
-        new = sorted({p for ps in parts.values() for p in ps} - self.pieces.keys())
+        parts = self.split(" ".join(words).lower())
+        new = list(set(parts) - self.pieces.keys())
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
-            got, own = [], []
-            for t in self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids:
-                own.append(self.ints[t])
-                if self.ends[t]:
-                    got.append(tuple(own))
-                    own = []
-            if len(got) != len(block) or own:  # a piece that stands differently among others
-                got = [tuple(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in block]
+            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
+            raw = ids.tobytes()
+            if len(cuts) == len(block) and cuts[-1] == len(raw):
+                got = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+            else:  # a piece that stands differently among others
+                got = [self._raw(p) for p in block]
             self.pieces.update(zip(block, got, strict=True))
-        for w, ps in parts.items():
-            self.known[w] = self.pieces[ps[0]] if len(ps) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, ps)))
+        get = self.pieces.__getitem__
+        for w in words:
+            low = w.lower()
+            self.known[w] = self.pieces[low] if low.isalpha() else b"".join(map(get, self.split(low)))
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Each text's ids, equal to the tokenizer's own without special tokens added."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own without special tokens added."""
         out: list = [None] * len(texts)
         plain = {}
         for i, t in enumerate(texts):
             if _PLAIN.fullmatch(t) and not ("<|" in t and self.special.search(t)):
                 plain[i] = t.split()
             else:
-                out[i] = self.tokenizer.encode(t, add_special_tokens=False).ids
-        every = set(chain.from_iterable(plain.values()))
+                out[i] = self._raw(t)
+        every = set().union(*plain.values())
         new = every - self.known.keys()
         if new and len(self.known) + len(new) > self.most:
             self.known, self.older = {}, self.known
@@ -73,7 +77,7 @@ class WordTokens:
         self._learn(new - self.older.keys())
         get = self.known.__getitem__
         for i, words in plain.items():
-            out[i] = list(chain.from_iterable(map(get, words)))
+            out[i] = b"".join(map(get, words))
         return out
 
 
