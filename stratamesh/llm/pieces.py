@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from zlib import crc32
 
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Words remembered at most by each worker process (and as many of the generation before), and characters that are indexed at once.
-MAX_WORDS, MAX_CHARS = 400_000, 1_500_000
+#: Words remembered at most by each worker process, and characters that are indexed at once.
+MAX_WORDS, MAX_CHARS = 600_000, 1_500_000
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BIG = np.int64(1) << 40
 
@@ -65,6 +65,10 @@ class PieceMatcher:
         self.ids, self.names = own, names
         self.byte_of = {v: k for k, v in self.bytes.items()}
         self.control = {i for i in range(len(names)) if sp.is_control(i)}
+        # a byte of ASCII is a character by itself, whatever stands around it
+        self.texts = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else n.replace(SPACE, " ") for i, n in enumerate(names)]
+        #: Ids whose text can't be told by themselves.
+        self.odd = np.array([self.byte_of.get(i, 0) > 127 or i in self.control or i == self.unknown for i in range(len(names))])
         self.rank = {p: -sp.get_score(i) for p, i in own.items() if len(p) > 1}
         # pieces in the order in which they come to be: characters, then merges; runs of spaces aside
         usual = [p for p in own if SPACE * 2 not in p]
@@ -99,8 +103,7 @@ class PieceMatcher:
         shift = np.array([48, 32, 16, 0], np.uint64)
         self.quads = (coded.reshape(len(rows), -1, 4) << shift).sum(2, dtype=np.uint64)
         self.masks = ((coded > 0).astype(np.uint64).reshape(len(rows), -1, 4) * np.uint64(0xFFFF) << shift).sum(2, dtype=np.uint64)
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
 
     def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What two neighbours merge into, in making order; _BIG for nothing."""
@@ -214,35 +217,30 @@ class PieceMatcher:
         ids, owner = np.concatenate(got[::-1]), np.concatenate(owner[::-1])
         by = np.argsort(owner, kind="stable")
         ids, cuts = ids[by], np.cumsum(np.bincount(owner, minlength=len(words)))
-        flat, lo = ids.tolist(), 0
-        has_odd = set(owner[by][ids < 0].tolist())
-        for i, (w, hi) in enumerate(zip(words, cuts.tolist(), strict=True)):
-            own = flat[lo:hi]
-            if i in has_odd:
-                own = chain.from_iterable(self._raw(chr(raw[-3 - k])) if k < 0 else (k,) for k in own)
-            self.known[w] = tuple(own)
-            lo = hi
+        flat, lo = ids.astype("<u4").tobytes(), 0
+        self.known.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(words, [0, *cuts.tolist()], cuts.tolist(), strict=False))
+        for i in set(owner[by][ids < 0].tolist()):
+            own = ids[cuts[i - 1] if i else 0 : cuts[i]].tolist()
+            self.known[words[i]] = _packed(chain.from_iterable(self._raw(chr(raw[-3 - k])) if k < 0 else (k,) for k in own))
 
     def _raw(self, char: str) -> list[int]:
         if not self.bytes:
             return [self.unknown]
         return [self.bytes[b] for b in char.encode()]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        """Each text's ids, equal to the model's own."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers, equal to the model's own."""
         cut = [_CUT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        every = set(chain.from_iterable(cut))
-        new = every - self.known.keys()
-        if new and len(self.known) + len(new) > MAX_WORDS:
-            self.known, self.older = {}, self.known
-            new = every
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        new -= self.older.keys()
+        # the batch's own words in a small map: few far looks into the large ones, however often a word stands
+        distinct = list(set().union(*cut))
+        own = dict(zip(distinct, map(self.known.get, distinct), strict=True))
+        new = [w for w, ids in own.items() if ids is None]
+        if len(self.known) + len(new) > MAX_WORDS:
+            self.known = {k: v for k, v in own.items() if v is not None}
         plain, chars = [], 0
         for w in new:
             if SPACE * 2 in w or "\0" in w:
-                self.known[w] = tuple(chain.from_iterable((self.ids[s],) if s in self.ids else self._raw(s) for s in merged(w, self.rank)))
+                self.known[w] = _packed(chain.from_iterable((self.ids[s],) if s in self.ids else self._raw(s) for s in merged(w, self.rank)))
                 continue
             plain.append(w)
             chars += len(w) + 1
@@ -251,13 +249,20 @@ class PieceMatcher:
                 plain, chars = [], 0
         if plain:
             self._learn(plain)
-        get = self.known.__getitem__
-        return [list(chain.from_iterable(map(get, words))) for words in cut]
+        own.update((w, self.known[w]) for w in new)
+        get = own.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int] | bytes) -> str:
         """The text: runs of byte pieces as UTF-8, spaces for their marks, without the prefix space. Control ids have no text; ids out of range raise IndexError."""
+        own = np.frombuffer(ids, "<u4") if isinstance(ids, bytes) else np.asarray(ids, np.int64)
+        if len(own) and not 0 <= own.min() <= own.max() < len(self.names):
+            raise IndexError("an id out of the vocabulary")
+        if not self.odd[own].any():
+            whole = "".join(map(self.texts.__getitem__, own.tolist()))
+            return whole[1:] if whole[:1] == " " else whole
         out, run = [], bytearray()
-        for i in [*ids, -1]:
+        for i in [*own.tolist(), -1]:
             if i in self.byte_of:
                 run.append(self.byte_of[i])
                 continue
@@ -265,11 +270,15 @@ class PieceMatcher:
                 out.append(run.decode(errors="replace"))
                 run = bytearray()
             if i >= 0 and i not in self.control:
-                out.append(" ⁇ " if i == self.unknown else self.names[i])
-        whole = "".join(out).replace(SPACE, " ")
+                out.append(" ⁇ " if i == self.unknown else self.texts[i])
+        whole = "".join(out)
         return whole[1:] if whole[:1] == " " else whole
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    return np.fromiter(ids, "<u4").tobytes()
+
+
 class _Below(dict):
     """Ranks under a bound."""
 
@@ -312,7 +321,7 @@ def encoded(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
         m = matcher_of(model)
         for b in batches:
             for lo, held in _by_chars(b.column(1), batch_chars):
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(held)), pa.array(m.encode(held), pa.list_(pa.int32()))], ["k", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(held)), pa.array([np.frombuffer(x, "<i4") for x in m.encode(held)], pa.list_(pa.int32()))], ["k", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
@@ -339,7 +348,7 @@ def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text"
                 ids = m.encode(held)
                 same = [m.decode(x) == t for x, t in zip(ids, held, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, len(held)), pa.array(map(len, ids), pa.int64()), pa.array([crc32(np.array(x, "<u4").tobytes()) for x in ids], pa.int64()), pa.array(same)], ["k", "n_ids", "ids_crc32", "round_trip"])
+                    [b.column(0).slice(lo, len(held)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(map(crc32, ids), pa.int64()), pa.array(same)], ["k", "n_ids", "ids_crc32", "round_trip"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, n_ids long, ids_crc32 long, round_trip boolean").withColumnRenamed("k", key)
