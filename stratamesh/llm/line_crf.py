@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,11 @@ BASE_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_w
 
 @dataclass(frozen=True)
 class LineCrf:
-    """emit[k]: how much feature k speaks for boilerplate; move[a][b]: for b after a (0 content, 1 boilerplate)."""
+    """emit[k]: how much feature k speaks for boilerplate; move[a][b]: for b after a (0 content, 1 boilerplate); start: for beginning as boilerplate."""
 
     emit: tuple[float, ...]
     move: tuple[tuple[float, float], tuple[float, float]]
+    start: float = 0.0
 
 
 def _bin(share: float) -> int:
@@ -76,7 +78,7 @@ def viterbi(model: LineCrf, lines: list[list[int]]) -> list[int]:
             a, b = (b + move[1][0] if fa else a + move[0][0]), (b + move[1][1] if fb else a + move[0][1]) + e
             back.append((fa, fb))
         else:
-            b = e
+            b = e + model.start
     if not lines:
         return []
     out = [int(b > a)]
@@ -200,11 +202,16 @@ def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lin
     return LineCrf(tuple(map(float, emit[:-1])), tuple(tuple(map(float, x)) for x in move))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_docs: int = MAX_FIT_DOCS) -> LineCrf:
-    """The field of at most max_docs labelled documents (half of either label where there are enough), by smallest hashes of their keys. The driver gets those documents."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_docs: int = MAX_FIT_DOCS, max_chars: int = 20_000) -> LineCrf:
+    """The field of at most max_docs labelled documents of at most max_chars characters (half of either label where there are enough), by smallest hashes of their keys. The driver gets those documents.
+
+    The sample has as many of either label; how rare bad documents are among all labels is where a document starts from.
+    """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label"))
     halves = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(max_docs // 2) for y in (0, 1)]
     chosen = halves[0].unionByName(halves[1]).dropDuplicates(["_key"])
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).where(F.length("_text") <= 20_000).select("_key", "_text", "_label").collect()
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).where(F.length("_text") <= max_chars).select("_key", "_text", "_label").collect()
     got = {r["_key"]: r for r in sorted(rows, key=lambda r: (r["_key"], r["_text"] or ""))}
-    return train([(r["_text"] or "", r["_label"]) for r in got.values()])
+    there = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
+    start = math.log(there.get(0, 0) + 1) - math.log(there.get(1, 0) + 1)
+    return replace(train([(r["_text"] or "", r["_label"]) for r in got.values()]), start=min(0.0, start))
