@@ -10,30 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from stratamesh.operators.grid import bounds_of
 from stratamesh.operators.neighbors import knn, near_pairs, nearest_within, sources, targets
 
 MOMENTS = ("n", "mx", "my", "mz", "xx", "xy", "xz", "yy", "yz", "zz")
 
 
-def extent_of(*clouds: DataFrame) -> float:
-    """A distance no two points exceed."""
-    both = clouds[0].select("x", "y", "z")
-    for c in clouds[1:]:
-        both = both.unionByName(c.select("x", "y", "z"))
-    r = both.agg(*(F.max(c) - F.min(c) for c in "xyz")).first()
-    if r[0] is None:
-        raise ValueError("point clouds must not be empty")
-    return float(np.sqrt(sum(v * v for v in r))) + 1e-9
-
-
 def nearest(source: DataFrame, target: DataFrame, start: float | None = None) -> DataFrame:
     """(source_id, target_id, distance) for every source, however far: the reach grows for those that have found nothing."""
-    extent = extent_of(source, target)
-    if start is None:  # where a disc holds about four targets on average
-        b = bounds_of(target)
-        start = max(extent * 1e-6, (4 * max(b.area, 1e-9) / (np.pi * max(1, target.count()))) ** 0.5)
-    return knn(source, target, 1, start, extent).select("source_id", "target_id", "distance")
+    return knn(source, target, 1, start).select("source_id", "target_id", "distance")
 
 
 def distances_within(source: DataFrame, target: DataFrame, reach: float | None) -> DataFrame:
@@ -77,9 +61,7 @@ def vertical_distances(source: DataFrame, target: DataFrame, radius: float | Non
     if radius:
         pairs = near_pairs(sources(s), targets(target), radius)
     else:
-        b = bounds_of(target)
-        start = (2 * k * max(b.area, 1e-9) / (np.pi * max(1, target.count()))) ** 0.5
-        pairs = knn(s, target, k, start, extent_of(s, target)).join(sources(s), "source_id").withColumn("d2", F.col("distance") * F.col("distance"))
+        pairs = knn(s, target, k).join(sources(s), "source_id").withColumn("d2", F.col("distance") * F.col("distance"))
     fitted = unit_normals(moments(pairs).where(F.col("n") >= least)).where(F.abs("nz") >= 1e-9)
     near = pairs.groupBy("source_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("source_id", F.col("m.target_id").alias("target_id"))
     # the plane's height at the source, which is the origin

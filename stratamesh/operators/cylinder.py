@@ -65,15 +65,18 @@ def normals(cores: DataFrame, cloud: DataFrame, radius: float, least: int = 3) -
     return unit_normals(moments(pairs).where(F.col("n") >= least)).select("source_id", "sx", "sy", "sz", "nx", "ny", "nz", "gap")
 
 
-def cylinder_statistics(oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams) -> DataFrame:
+def cylinder_statistics(oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, upright: bool = False) -> DataFrame:
     """(source_id, n1, mean1, var1, n2, mean2, var2): both epochs' points in the cylinders of oriented cores, by their place along the normal.
 
-    Both epochs go through one join and one aggregation.
+    Both epochs go through one join and one aggregation. upright: all normals are, so buckets need no more than the radius.
     """
     both = targets(t1).withColumn("side", F.lit(1)).unionByName(targets(t2).withColumn("side", F.lit(2)))
-    pairs = near_pairs(oriented, both, p.reach)
-    along = sum(((F.col(f"t{c}") - F.col(f"s{c}")) * F.col(f"n{c}") for c in "yz"), (F.col("tx") - F.col("sx")) * F.col("nx"))
-    inside = pairs.withColumn("t", along).where((F.abs("t") <= p.max_depth) & (F.col("d2") - F.col("t") * F.col("t") <= p.cylinder_radius**2))
+    if upright:
+        inside = near_pairs(oriented, both, p.cylinder_radius, flat=True).withColumn("t", F.col("tz") - F.col("sz")).where(F.abs("t") <= p.max_depth)
+    else:
+        along = sum(((F.col(f"t{c}") - F.col(f"s{c}")) * F.col(f"n{c}") for c in "yz"), (F.col("tx") - F.col("sx")) * F.col("nx"))
+        pairs = near_pairs(oriented, both, p.reach).withColumn("t", along)
+        inside = pairs.where((F.abs("t") <= p.max_depth) & (F.col("d2") - F.col("t") * F.col("t") <= p.cylinder_radius**2))
     of = lambda side: F.when(F.col("side") == side, F.col("t"))
     return inside.groupBy("source_id").agg(*(f(of(i)).alias(f"{n}{i}") for i in (1, 2) for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))))
 
@@ -85,8 +88,8 @@ def distance_and_level(registration_error: float = 0.0) -> tuple[Column, Column]
     return d, F.when((F.col("n1") > 1) & (F.col("n2") > 1), lod)
 
 
-def _compared(cores: DataFrame, oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, registration_error: float, use_min: bool) -> DataFrame:
-    stats = cylinder_statistics(oriented, t1, t2, p)
+def _compared(cores: DataFrame, oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, registration_error: float, use_min: bool, upright: bool = False) -> DataFrame:
+    stats = cylinder_statistics(oriented, t1, t2, p, upright)
     if use_min:
         stats = stats.where((F.col("n1") >= p.min_neighbors) & (F.col("n2") >= p.min_neighbors))
     d, lod = distance_and_level(registration_error)
@@ -102,8 +105,7 @@ def compare(cores: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, r
 
 def compare_upright(cores: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, registration_error: float = 0.0) -> DataFrame:
     """compare() with upright cylinders; no Python at all."""
-    up = sources(cores).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0)})
-    return _compared(cores, up, t1, t2, p, registration_error, False)
+    return _compared(cores, sources(cores), t1, t2, p, registration_error, False, upright=True)
 
 
 def compare_planes(*_: object) -> DataFrame:

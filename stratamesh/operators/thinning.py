@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamesh.operators.cloud_distance import extent_of
-from stratamesh.operators.grid import bounds_of
 from stratamesh.operators.neighbors import knn
 
 
 def without_outliers(points: DataFrame, k: int = 6, deviations: float = 1.0) -> DataFrame:
     """Points whose mean distance to their k nearest others is at most the cloud's mean of that plus some standard deviations, with mean_distance."""
-    b, n = bounds_of(points), points.count()
-    start = (2 * (k + 1) * max(b.area, 1e-9) / (3.141592653589793 * max(1, n))) ** 0.5
-    near = knn(points, points, k + 1, start, extent_of(points))
+    near = knn(points, points, k + 1)
     mean = near.groupBy("source_id").agg((F.sum("distance") / F.greatest(F.lit(1), F.count(F.lit(1)) - 1)).alias("mean_distance"))
     row = mean.agg(F.avg("mean_distance"), F.stddev_pop("mean_distance")).first()
     kept = mean.where(F.col("mean_distance") <= row[0] + deviations * row[1]).withColumnRenamed("source_id", "point_id")

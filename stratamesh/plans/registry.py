@@ -273,7 +273,7 @@ def _(pts):
 @register("knn_k5", f"SELECT sid AS source_id, tid AS target_id, round(sqrt(d2), 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2, tid) AS r FROM (SELECT s.*, t.*, {_D2} AS d2 FROM {_PAIRS} ON true)) WHERE r <= 5")
 def _(pts):
     t1, t2 = epochs(pts)
-    got = neighbors.knn(t2, t1, 5, 60.0, cloud_distance.extent_of(t1, t2))
+    got = neighbors.knn(t2, t1, 5)
     return r6(got, "distance").select("source_id", "target_id", "distance", "rank")
 
 
@@ -331,7 +331,7 @@ def _(pts):
     return r6(raster.interpolate(t1, "z", CELL, EXTENT), "value").select("row", "col", "value")
 
 
-_UP = """(SELECT point_id AS sid, x AS sx, y AS sy, z AS sz FROM pts WHERE epoch = 't1' AND classification = 2) s JOIN (SELECT epoch, x AS tx, y AS ty, z AS tz FROM pts) t ON tx BETWEEN sx - 2 AND sx + 2 AND ty BETWEEN sy - 2 AND sy + 2 WHERE abs(tz - sz) <= 2 AND (tx - sx) * (tx - sx) + (ty - sy) * (ty - sy) + (tz - sz) * (tz - sz) - (tz - sz) * (tz - sz) <= 4"""
+_UP = """(SELECT point_id AS sid, x AS sx, y AS sy, z AS sz FROM pts WHERE epoch = 't1' AND classification = 2) s JOIN (SELECT epoch, x AS tx, y AS ty, z AS tz FROM pts) t ON tx BETWEEN sx - 2 AND sx + 2 AND ty BETWEEN sy - 2 AND sy + 2 WHERE abs(tz - sz) <= 2 AND (tx - sx) * (tx - sx) + (ty - sy) * (ty - sy) <= 4"""
 _UPSQL = f"""SELECT sid AS core_id, CASE WHEN n1 > 0 AND n2 > 0 THEN round(m2 - m1, 6) END AS distance, CASE WHEN n1 > 1 AND n2 > 1 THEN round(1.96 * sqrt(v1 / n1 + v2 / n2), 6) END AS uncertainty, n1, n2 FROM (
 SELECT sid, count(*) FILTER (epoch = 't1') AS n1, count(*) FILTER (epoch = 't2') AS n2, avg(tz - sz) FILTER (epoch = 't1') AS m1, avg(tz - sz) FILTER (epoch = 't2') AS m2, var_samp(tz - sz) FILTER (epoch = 't1') AS v1, var_samp(tz - sz) FILTER (epoch = 't2') AS v2 FROM {_UP} GROUP BY 1)"""
 
