@@ -12,7 +12,7 @@ import numpy as np
 
 #: Characters up to Latin Extended-B that no normal form and no splitting rule treats specially (no no-break space, no next-line).
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-#: Words remembered at most by each worker process, and as many of the generation before.
+#: Words remembered at most by each worker process.
 MAX_WORDS = 500_000
 
 
@@ -24,10 +24,14 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # the same merges for pieces that are normal and split already
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = None
+        self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
@@ -38,14 +42,14 @@ class WordTokens:
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
         if len(self.pieces) > self.most:
             self.pieces.clear()
         parts = self.split(" ".join(words).lower())
-        new = list(set(parts) - self.pieces.keys())
+        new = list(set(parts).difference(self.pieces))
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
-            ids = np.array(self.tokenizer.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.merger.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
             cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
             raw = ids.tobytes()
             if len(cuts) == len(block) and cuts[-1] == len(raw):
@@ -54,9 +58,9 @@ class WordTokens:
                 got = [self._raw(p) for p in block]
             self.pieces.update(zip(block, got, strict=True))
         get = self.pieces.__getitem__
-        for w in words:
-            low = w.lower()
-            self.known[w] = self.pieces[low] if low.isalpha() else b"".join(map(get, self.split(low)))
+        learned = {w: get(low) if (low := w.lower()).isalpha() else b"".join(map(get, self.split(low))) for w in words}
+        self.known.update(learned)
+        return learned
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own without special tokens added."""
@@ -67,15 +71,15 @@ class WordTokens:
                 plain[i] = t.split()
             else:
                 out[i] = self._raw(t)
-        every = set().union(*plain.values())
-        new = every - self.known.keys()
-        if new and len(self.known) + len(new) > self.most:
-            self.known, self.older = {}, self.known
-            new = every
-        for w in new & self.older.keys():
-            self.known[w] = self.older[w]
-        self._learn(new - self.older.keys())
-        get = self.known.__getitem__
+        # the batch's own words in a small map: few far looks into the large ones, however often a word stands
+        words = list(set().union(*plain.values()))
+        own = dict(zip(words, map(self.known.get, words), strict=True))
+        new = [w for w, ids in own.items() if ids is None]
+        if new:
+            if len(self.known) + len(new) > self.most:
+                self.known = {w: ids for w, ids in own.items() if ids is not None}
+            own.update(self._learn(new))
+        get = own.__getitem__
         for i, words in plain.items():
             out[i] = b"".join(map(get, words))
         return out
