@@ -13,7 +13,7 @@ import numpy as np
 #: Characters up to Latin Extended-B that no normal form and no splitting rule treats specially (no no-break space, no next-line).
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: Words remembered at most by each worker process.
-MAX_WORDS = 500_000
+MAX_WORDS = 1_000_000
 
 
 class WordTokens:
