@@ -20,7 +20,15 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
         tied = tied.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         tied = tied.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b")))
-    return tied.where("a <> b").distinct()
+    tied = tied.where("a <> b")
+    return tied if large else tied.distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether (a, b) are stars: no node has two centres, and no centre has one."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up > 1 OR (up > 0 AND down > 0)").limit(1).count()
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -30,13 +38,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     step groups by node with partial minima, and a node with many neighbours is a skewed join that adaptive execution
     splits. Each step is written to the shared folder. A chain of n nodes takes about log n steps; RuntimeError after `most`.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    seen = None
+    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(most):
-        now = written(_stars(_stars(now, True), False), "edges")
-        # a step changes neither count nor sums only when it changes nothing
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        if mark == seen:
+        if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        seen = mark
+        now = written(_stars(_stars(now, True), False), "edges")
     raise RuntimeError(f"components not settled after {most} steps")

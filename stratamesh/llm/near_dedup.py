@@ -4,13 +4,14 @@ Band keys of MinHash signatures give candidates; the low bits of the minima, pac
 candidate a collision-corrected similarity; those that pass are confirmed on the documents' full shingle sets.
 
 No group is ever turned into all of its pairs. Documents with equal shingle sets become one node. In every band
-bucket all nodes are compared with one hub; what that links becomes one component, which settles large groups of
+bucket all nodes are compared with two hubs, the least id and the smallest set; what that links becomes one component, which settles large groups of
 copies. What stays open are buckets whose nodes lie in several components: small ones are compared node by
 node across components, large ones by their rarest shingles (a prefix filter, which loses no pair of the wanted similarity).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,16 +24,20 @@ from stratamesh.llm._io import written
 from stratamesh.llm.components import components
 
 BANDS, ROWS, BITS = 32, 4, 4
-MINIMA = BANDS * ROWS
+#: Minima of a signature; the first BANDS * ROWS of them make the bands.
+MINIMA = 256
 #: 64-bit words of a bit plane.
 PLANE = MINIMA // 64
-#: Candidates whose estimate is lower than the wanted similarity by more than this aren't confirmed: five standard deviations of the estimate and more.
-SLACK = 0.25
+#: Candidates whose estimate is lower than the wanted similarity by more than this aren't confirmed: five standard deviations of the estimate at 0.75.
+SLACK = 0.145
 #: Bits of the filter that keeps texts nobody asks for from being shingled again. Its size is fixed; when it fills up it only filters less.
 FILTER_BITS = 1 << 24
 #: Buckets in which (nodes outside the largest component) * nodes is over this are compared by their rarest shingles.
 SMALL_BUCKET = 64 * 64
 
+#: Shingles whose counts tell the order of large buckets' shingles; a longer list would only order them better.
+FREQUENT = 65_536
+
 _RNG = np.random.default_rng(20_240_501)
 _A = _RNG.integers(1, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
@@ -74,7 +79,7 @@ def minima(h: np.ndarray) -> np.ndarray:
 
 
 def band_keys(m: np.ndarray) -> np.ndarray:
-    return mixed((mixed(m).reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)).view(np.int64)
+    return mixed((mixed(m[: BANDS * ROWS]).reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)).view(np.int64)
 
 
 def packed(m: np.ndarray) -> np.ndarray:
@@ -163,11 +168,28 @@ def _across(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
     return rows.join(groups, by), groups
 
 
-def _pairs(rows: DataFrame, by: str) -> DataFrame:
-    """Pairs of a group's members in different components; of two in the largest component, none is looked at."""
-    few = rows.where("comp <> main").select(by, F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("main").alias("ma"))
-    all_ = rows.select(by, F.col("id").alias("b"), F.col("comp").alias("cb"))
-    met = few.join(all_, by).where("ca <> cb").where("a < b OR cb = ma")
+def _with_partner(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(id, comp) of bucket members that have a member of another component with a signature alike enough; looking ends at the first."""
+    own = rows.select("band", "id", "comp", "k").join(nodes.select("id", "sig"), "id")
+    other = own.select(F.col("band").alias("b2"), F.col("comp").alias("c2"), F.col("k").alias("k2"), F.col("sig").alias("s2"))
+    sizes = F.least("k", "k2") >= F.lit(similarity) * F.greatest("k", "k2")
+    alike = estimate(F.col("sig"), F.col("s2")) >= similarity - SLACK
+    return own.join(other, (F.col("band") == F.col("b2")) & (F.col("comp") != F.col("c2")) & sizes & alike, "left_semi").select("id", "comp").distinct()
+
+
+def _pairs(rows: DataFrame, by: str, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a group's members in different components whose signatures are alike enough; of two in the largest component, none is looked at.
+
+    Rows have the set's size k and `behind`: how much of the set, in the order that all sets share, doesn't stand before
+    the shared shingle. Sets that first meet there have at most the smaller `behind` in common, which must be
+    similarity / (1 + similarity) of both sizes together; pairs short of that are never made.
+    """
+    rows = rows.join(nodes.select("id", "sig"), "id")
+    few = rows.where("comp <> main").select(by, F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("main").alias("ma"), F.col("k").alias("ka"), F.col("behind").alias("ra"), F.col("sig").alias("sa"))
+    all_ = rows.select(by, F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("k").alias("kb"), F.col("behind").alias("rb"), F.col("sig").alias("sb"))
+    enough = F.least("ra", "rb") * (1 + similarity) >= F.lit(similarity) * (F.col("ka") + F.col("kb")) - 1e-6
+    alike = estimate(F.col("sa"), F.col("sb")) >= similarity - SLACK
+    met = few.join(all_, by).where("ca <> cb").where("a < b OR cb = ma").where(enough).where(alike)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -189,29 +211,29 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     mapped = written(full.select("id", "digest").join(least, "digest").select("id", "rep").distinct(), "nodes-of")
     first = least.select(F.col("digest").alias("d"), F.col("rep"))
     nodes = written(full.join(first, (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("id", "digest", "n", "bands", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "nodes")
-    banded = nodes.select("id", F.explode("bands").alias("band"))
+    banded = nodes.select("id", "n", F.explode("bands").alias("band"))
 
     # a key whose rows have several sets ties their nodes
     multiple = mapped.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("id")
     own = mapped.join(multiple, "id").select(F.col("id").alias("a"), F.col("rep").alias("b"))
 
-    # every bucket against its hub
-    hubs = banded.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    star = banded.join(hubs, "band").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    # every bucket against two hubs: the least id, which many buckets have in common, and the smallest set, of texts around a shared passage the one that adds least
+    hubs = banded.groupBy("band").agg(F.min("id").alias("h1"), F.min_by("id", "n").alias("h2"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    met = banded.join(hubs, "band").select("id", F.explode(F.array_distinct(F.array("h1", "h2"))).alias("hub")).where("id <> hub")
+    star = met.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     links = written(confirmed(star, nodes, docs, key, text, width, similarity).unionByName(own), "links")
     comp = components(links)
 
     # buckets that still hold several components
-    labelled = nodes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), "bands")
-    left, _ = _across(labelled.select("id", "comp", F.explode("bands").alias("band")), "band")
+    labelled = nodes.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("comp"), F.col("n").alias("k"), "bands")
+    left, _ = _across(labelled.select("id", "comp", "k", F.col("k").alias("behind"), F.explode("bands").alias("band")), "band")
     left = written(left, "open")
-    small = _pairs(left.where(F.col("least") * F.col("n") <= SMALL_BUCKET), "band")
-    large = left.where(F.col("least") * F.col("n") > SMALL_BUCKET).select("id", "comp").distinct()
+    small = _pairs(left.where(F.col("least") * F.col("n") <= SMALL_BUCKET), "band", nodes, similarity)
+    large = _with_partner(left.where(F.col("least") * F.col("n") > SMALL_BUCKET), nodes, similarity)
     pairs = small
     if large.limit(1).count():
-        pairs = pairs.unionByName(_by_rare_shingles(written(large, "large"), docs, key, text, width, similarity)).distinct()
-    star_done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = confirmed(written(pairs.join(star_done, ["a", "b"], "left_anti"), "pairs"), nodes, docs, key, text, width, similarity)
+        pairs = pairs.unionByName(_by_rare_shingles(written(large, "large"), nodes, docs, key, text, width, similarity)).distinct()
+    more = confirmed(written(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), nodes, docs, key, text, width, similarity)
     more = written(more, "more")
     if more.limit(1).count():
         comp = components(links.select("a", "b").unionByName(more))
@@ -222,17 +244,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), whole.alias("component_id"), F.coalesce(whole == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def _by_rare_shingles(members: DataFrame, docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
+def _by_rare_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
     """Pairs of members (id, comp) in different components that share one of their rarest shingles.
 
-    Of a set of k shingles, ordered alike for all by (members that hold it, hash), the first k - ceil(similarity * k) + 1
-    must meet those of any set it is similar enough to.
+    Of a set of k shingles, in one order for all, the first k - ceil(similarity * k) + 1 must meet those of any set it is
+    similar enough to, and where two sets meet first tells how much they can share. That holds for any order; this one
+    puts the FREQUENT shingles that stand most often last, so that few sets meet by what everybody has.
     """
     held = shingle_sets(docs, members.select("id"), key, text, width).join(members, "id").select("id", "comp", "set")
     held = written(held, "held")
-    each = held.select("id", "comp", F.size("set").alias("k"), F.explode("set").alias("s"))
-    often = each.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    listed = each.join(often, "s").groupBy("id", "comp", "k").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
-    front = listed.select("id", "comp", F.explode(F.slice("l", F.lit(1), (F.col("k") - F.ceil(F.col("k") * F.lit(similarity) - 1e-9) + 1).cast("int"))).alias("x")).where("x.df > 1").select("id", "comp", F.col("x.s").alias("s"))
+
+    def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, c = np.unique(b.column(0).flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(v[c > 1]), pa.array(c[c > 1])], ["s", "c"])
+
+    often = held.select("set").mapInArrow(repeated, "s long, c long").groupBy("s").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "s").limit(FREQUENT).toArrow()
+    shingle, count = (often.column(c).to_numpy() for c in ("s", "c"))
+    by = np.argsort(shingle)
+    table = docs.sparkSession.sparkContext.broadcast((shingle[by], count[by]))
+
+    def fronts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = table.value
+        for b in batches:
+            sizes, behind, found = [], [], []
+            for own in b.column(2):
+                x = own.values.to_numpy()
+                k = len(x)
+                at = np.minimum(np.searchsorted(known, x), max(0, len(known) - 1))
+                c = np.where(known[at] == x, counts[at], 0) if len(known) else np.zeros(k, np.int64)
+                p = k - math.ceil(k * similarity - 1e-9) + 1
+                found.append(x[np.lexsort((x, c))][:p])
+                sizes.append(k)
+                behind.append(k - np.arange(p))
+            n = np.array([len(x) for x in found])
+            of = pa.array(np.repeat(np.arange(len(n)), n))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.repeat(sizes, n).astype(np.int64)), pa.array(np.concatenate(behind).astype(np.int64)), pa.array(np.concatenate(found))], ["id", "comp", "k", "behind", "s"])
+
+    front = held.mapInArrow(fronts, "id long, comp long, k long, behind long, s long")
     rows, _ = _across(front, "s")
-    return _pairs(written(rows, "rare"), "s")
+    return _pairs(written(rows, "rare"), "s", nodes, similarity)
