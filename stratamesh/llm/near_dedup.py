@@ -170,7 +170,7 @@ def _across(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
 
 def _with_partner(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(id, comp) of bucket members that have a member of another component with a signature alike enough; looking ends at the first."""
-    own = rows.select("band", "id", "comp", "k").join(nodes.select("id", "sig"), "id")
+    own = written(rows.select("band", "id", "comp", "k").join(nodes.select("id", "sig"), "id"), "large")
     other = own.select(F.col("band").alias("b2"), F.col("comp").alias("c2"), F.col("k").alias("k2"), F.col("sig").alias("s2"))
     sizes = F.least("k", "k2") >= F.lit(similarity) * F.greatest("k", "k2")
     alike = estimate(F.col("sig"), F.col("s2")) >= similarity - SLACK
