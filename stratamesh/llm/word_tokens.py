@@ -7,6 +7,7 @@ words' ids one after the other. Texts with characters for which that is not plai
 from __future__ import annotations
 
 import re
+from itertools import compress
 
 import numpy as np
 
@@ -45,8 +46,10 @@ class WordTokens:
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        parts = self.split(" ".join(words).lower())
-        new = list(set(parts).difference(self.pieces))
+        low = list(map(str.lower, words))
+        plain = list(map(str.isalpha, low))  # one piece each, without a look at the splitting rule
+        parts = set(compress(low, plain)).union(self.split(" ".join(x for x, one in zip(low, plain, strict=True) if not one)))
+        new = list(parts.difference(self.pieces))
         for i in range(0, len(new), 20_000):
             block = new[i : i + 20_000]
             ids = np.array(self.merger.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
@@ -58,7 +61,7 @@ class WordTokens:
                 got = [self._raw(p) for p in block]
             self.pieces.update(zip(block, got, strict=True))
         get = self.pieces.__getitem__
-        learned = {w: get(low) if (low := w.lower()).isalpha() else b"".join(map(get, self.split(low))) for w in words}
+        learned = {w: get(x) if one else b"".join(map(get, self.split(x))) for w, x, one in zip(words, low, plain, strict=True)}
         self.known.update(learned)
         return learned
 
