@@ -24,8 +24,6 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Candidate strings of the models.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
-#: Documents whose words are the corpus's part of the ordinary sample, at most.
-MAX_FIT_DOCS = 400
 #: Character classes of the models: itself for a letter, digit or one of +/_=-; one class for all else.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Parts of ordinary identifiers, joined to labelled samples by rule.
@@ -85,25 +83,28 @@ def _classes(word: Column) -> Column:
     return F.transform(F.split(word, ""), lambda c: (F.instr(F.lit(ALPHABET), c) + len(ALPHABET)) % (len(ALPHABET) + 1))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_FIT_DOCS) -> MarkovRatio:
-    """The models: random strings made by rule against identifiers made by rule and words of a bounded sample.
+def letter_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
+    """How often each pair of neighbouring letters stands in words of letters alone, of four characters or more, of all documents.
 
-    The sample: the max_docs documents with the smallest hashes of key and text. Its words of letters alone, of
-    four characters or more, are pair-counted by Spark; the driver gets at most len(ALPHABET)**2 counts.
-    Spark counts only letters, so no secret of the corpus is learned as ordinary.
+    One pass; every task adds up its pairs, so at most 52**2 rows of it are shuffled, and as many come to the driver.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
+    pairs = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")).select(F.expr("substring(w, i, 2)").alias("p"))
+    return {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def fit(docs: DataFrame, text: str = "text") -> MarkovRatio:
+    """The models: random strings made by rule against identifiers made by rule and words of all documents.
+
+    Documents give letter_pairs() alone, so no secret of the corpus is learned as ordinary.
     """
     n = len(ALPHABET) + 1
-    hashed = docs.select(text_of(text).alias("t"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    chosen = hashed.select("h").orderBy("h").limit(max_docs).distinct()  # hashes alone are ordered and sent
-    sample = hashed.join(F.broadcast(chosen), "h")
-    words = sample.select(F.explode(F.regexp_extract_all("t", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w")).select(_classes(F.col("w")).alias("c"))
-    pairs = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.element_at("c", i) * n + F.element_at("c", i + 1))).alias("p"))
-    found = {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found = letter_pairs(docs, text)
     rand_first, rand = _counts(random_samples())
     word_first, ordinary = _counts(ordinary_samples())
-    total = sum(found.values())
-    for p, k in found.items():  # the corpus weighs as much as the identifiers
-        ordinary[divmod(p, n)] += k * ordinary.sum() / max(total, 1) if total else 0
+    weight = ordinary.sum() / max(sum(found.values()), 1)  # the corpus weighs as much as the identifiers
+    for p, k in found.items():
+        ordinary[ALPHABET.index(p[0]), ALPHABET.index(p[1])] += k * weight
     smooth = lambda x: (x + 0.5) / (x + 0.5).sum(-1, keepdims=True)
     ratio = np.log(smooth(rand)) - np.log(smooth(ordinary))
     start = np.log(smooth(rand_first)) - np.log(smooth(word_first))

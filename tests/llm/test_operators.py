@@ -296,6 +296,17 @@ def test_markov(spark):
     assert [(s["kind"], s["hit"]) for s in found] == [(3, "qX7vRt2LpZ9wKd4HsB1nYc8F")]
 
 
+def test_markov_counts_every_document(spark):
+    rows = docs(spark, [*ODD, *[(i, "plain words") for i in range(100, 1100)], *[(i, "qqxx zzkk1 x_qqxx") for i in range(2000, 2003)]])
+    want = {}
+    for r in rows.collect():
+        for w in re.findall(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])", r["text"] or ""):
+            for a, b in zip(w, w[1:]):
+                want[a + b] = want.get(a + b, 0) + 1
+    assert want["qq"] == 3 and secrets.letter_pairs(rows) == want
+    assert secrets.fit(rows) == secrets.fit(rows.repartition(3)) and len(secrets.fit(empty(spark)).start) == len(secrets.ALPHABET) + 1
+
+
 # --- near-duplicates
 
 
