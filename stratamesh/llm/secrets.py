@@ -45,6 +45,8 @@ class MarkovRatio:
     ratio: tuple[float, ...]
     #: A token counts as random if its ratio is over this.
     bound: float = 0.0
+    #: The same for a token without a digit: most of those are words, so more has to speak for random.
+    letters: float = 4.0
 
 
 def random_samples(n: int = 4_000, seed: int = 11) -> list[str]:
@@ -153,8 +155,8 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", out: str = "se
     """Adds `out`: the text's secret spans as an array of (start, kind, end, hit), by start, then kind as in KINDS.
 
     Kinds assign, access and hex are the fixed patterns' leftmost non-overlapping matches; kind markov are strings of
-    TOKEN that hold a digit, don't overlap one of the fixed patterns' spans, aren't digits alone, and whose
-    log-likelihood ratio is over the model's bound. Places are code points, ends exclusive. Null and empty texts
+    TOKEN that hold a letter or digit, don't overlap one of the fixed patterns' spans, aren't digits alone, and whose
+    log-likelihood ratio is over the model's bound (`letters` for those without a digit). Places are code points, ends exclusive. Null and empty texts
     have no spans; repeated rows have equal ones; a column of the name `out` is replaced. One pass, no shuffle, no Python.
     """
     t = text_of(text)
@@ -162,11 +164,15 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", out: str = "se
         "_assign": _spans(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= ASSIGN_LEAST),
         "_access": _spans(t, ACCESS, 1, lambda h: F.lit(True)),
         "_hex": _spans(t, HEX, 2, lambda h: F.lit(True)),
-        "_token": _spans(t, TOKEN, 3, lambda h: h.rlike("[0-9]") & h.rlike("[^0-9]")),
+        "_token": _spans(t, TOKEN, 3, lambda h: h.rlike("[A-Za-z]") | (h.rlike("[0-9]") & h.rlike("[^0-9]"))),
     })
     df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
     free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    more = F.filter("_token", lambda s: free(s) & (log_ratio(s["hit"], model) > model.bound))
+    # ruled lines around words aren't random: without a digit, runs of +/_=- count once, and not at all at the ends
+    core = lambda h: F.regexp_replace(F.regexp_replace(h, "^[+/_=-]+|[+/_=-]+$", ""), "([+/_=-])[+/_=-]+", "$1")
+    digit = lambda h: h.rlike("[0-9]")
+    over = lambda h: log_ratio(F.when(digit(h), h).otherwise(core(h)), model) > F.when(digit(h), F.lit(model.bound)).otherwise(F.lit(model.letters))
+    more = F.filter("_token", lambda s: free(s) & over(s["hit"]))
     return df.withColumn(out, F.array_sort(F.concat("_base", more))).drop("_assign", "_access", "_hex", "_token", "_base")
 
 

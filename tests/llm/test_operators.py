@@ -307,6 +307,23 @@ def test_markov_counts_every_document(spark):
     assert secrets.fit(rows) == secrets.fit(rows.repartition(3)) and len(secrets.fit(empty(spark)).start) == len(secrets.ALPHABET) + 1
 
 
+def test_markov_letters_alone(spark):
+    model = secrets.fit(docs(spark, [(i, "ordinary words of a corpus are written here and elsewhere") for i in range(20)]))
+    rng = random.Random(12)
+    lower, upper = secrets.ALPHABET[:26], secrets.ALPHABET[26:52]
+    kinds = (lower, upper, lower + upper, lower + upper + "-_")
+    keys = [(i, f"see {''.join(rng.choice(kinds[i % 4]) for _ in range(rng.randint(20, 48)))} here") for i in range(400)]
+    words = [s for s in secrets.ordinary_samples(400, seed=97) if len(s) >= 16 and not re.search("[0-9]", s)]
+    words += ["-" * 40, "=" * 16, "+------+--------+", "________________Name", "----------------Name----------Value------", "//" * 20]
+    rows = docs(spark, keys + [(1000 + i, f"see {w} here") for i, w in enumerate(words)])
+    got = {r["doc_id"]: [(s["kind"], s["start"]) for s in r["secrets"]] for r in secrets.scan(rows, model).collect()}
+    for k in range(4):
+        assert sum(got[i] == [(3, 4)] for i in range(k, 400, 4)) >= 97
+    assert sum(bool(v) for i, v in got.items() if i >= 1000) == 0
+    one = secrets.scan(docs(spark, [(1, "a kqzvXwPbTjRmNcYdLfGhQsVt b")]), model).first()["secrets"]
+    assert [(s["kind"], s["hit"]) for s in one] == [(3, "kqzvXwPbTjRmNcYdLfGhQsVt")]
+
+
 # --- near-duplicates
 
 
