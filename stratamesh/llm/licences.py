@@ -10,6 +10,7 @@ import functools
 import json
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,6 +59,30 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "CC0 1.0 Universal. To the extent possible under law, the author has waived all copyright and related rights.",
         "This work is dedicated to the public domain.",
     ),
+    "lgpl": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Lesser General Public License, version 2.1.",
+    ),
+    "agpl": (
+        "This program is licensed under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "Licensed under the GNU Affero General Public License, version 3.",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Released under the ISC License.",
+    ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "Licensed under the Eclipse Public License, version 2.0.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Released under the Unlicense.",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Released under the zlib License.",
+    ),
     "proprietary": (
         "All rights reserved.",
         "Copyright 2020 Example Corporation. All rights reserved.",
@@ -65,12 +90,25 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     ),
 }
 FAMILIES = tuple(TEMPLATES)
-#: Words that carry a licence; every feature holds one of them, so a paragraph without any is surely unknown.
-ANCHORS = (
-    "apache bsd cc cc0 commercial commons copyright creative domain gnu gpl granted hereby licence license licensed modification "
-    "mozilla mpl nc noncommercial permission permitted redistribute redistribution reproduced reserved rights"
-).split()
-#: Ordinary sentences, some of them with those words.
+#: Short names and SPDX identifiers of the families, put into every one of FRAMES.
+NAMES: dict[str, tuple[str, ...]] = {
+    "apache": ("Apache-2.0", "Apache 2.0"),
+    "mit": ("MIT", "MIT License"),
+    "bsd": ("BSD-2-Clause", "BSD-3-Clause", "BSD"),
+    "gpl": ("GPLv2", "GPLv3", "GPL-2.0-only", "GPL-3.0-or-later", "GPL v3", "GNU GPL v2", "GPL"),
+    "lgpl": ("LGPLv2", "LGPLv3", "LGPL-2.1-only", "LGPL-3.0-or-later", "LGPL v3", "GNU LGPL v2.1", "LGPL"),
+    "agpl": ("AGPLv3", "AGPL-3.0-only", "AGPL-3.0-or-later", "AGPL v3", "GNU AGPL v3", "AGPL"),
+    "mpl": ("MPL-2.0", "MPLv2", "MPL"),
+    "cc-by": ("CC-BY-4.0", "CC-BY-SA-4.0"),
+    "cc-by-nc": ("CC-BY-NC-4.0", "CC-BY-NC-SA-4.0"),
+    "cc0": ("CC0-1.0", "CC0"),
+    "isc": ("ISC", "ISC License"),
+    "epl": ("EPL-2.0", "EPL-1.0", "EPL"),
+    "unlicense": ("Unlicense",),
+    "zlib": ("Zlib", "zlib License"),
+}
+FRAMES = ("{}", "Released under {}", "Released under the {}", "Licensed under the {}", "Distributed under the {}", "License: {}", "SPDX-License-Identifier: {}")
+#: Ordinary sentences, some of them with words of licences; `mit` is also the German word for with.
 ORDINARY = (
     "She renewed her driving license at the office in town last week.",
     "The pilot lost his licence after the incident and had to train again.",
@@ -92,6 +130,17 @@ ORDINARY = (
     "We use this file to keep the source of the data.",
     "The work was released in the spring and read by many people.",
     "It is free of charge for any person under the age of ten.",
+    "Er kam mit dem Zug und ging mit den Kindern nach Hause.",
+    "Mit der Zeit wurde es besser, und am Ende kam sie auch mit.",
+    "Das Haus mit einem Garten und ein Mann mit Hut sind mit im Bild.",
+    "She studied physics at MIT and works in Boston now.",
+    "The EPL season starts in August and the EPL clubs are ready.",
+    "The eclipse was seen by the public in the north.",
+    "The letter was released under pressure and distributed under the door.",
+    "The identifier of the item is printed on the label.",
+    "Licensed doctors work under the terms of the state.",
+    "The software was provided by the authors of the program, and we use it without any fee.",
+    "Version 3 of the plan has 2 parts, or 4 at a later time, and 0 or 1 only in the end.",
 )
 
 
@@ -103,20 +152,30 @@ class LicenceModel:
     temperature: float
 
 
+ALONE = "="
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    """The words, and ALONE behind a single one in capitals: so stands a licence's short name, but not the German word mit."""
+    words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+    return words + [ALONE] * (len(words) == 1 and text == text.upper())
 
 
 def grams_of(words: list[str]) -> set[str]:
-    """Words and pairs of neighbours that hold an anchor."""
-    own = set(ANCHORS)
-    return {w for w in words if w in own} | {f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in own or b in own}
+    """Words and pairs of neighbours."""
+    return {*words, *map(" ".join, zip(words, words[1:], strict=False))}
+
+
+def short_forms(family: str) -> list[str]:
+    return [f.format(n) for n in NAMES.get(family, ()) for f in FRAMES]
 
 
 def labelled_samples(copies: int = 30, seed: int = 5) -> list[tuple[list[str], int]]:
-    """(words, class): templates whole, with words left out, and inside ordinary words; ordinary sentences likewise."""
+    """(words, class): templates whole, with words left out, and inside ordinary words; short forms; ordinary sentences likewise and their words by chance."""
     rng, out = random.Random(seed), []
     filler = words_of(" ".join(ORDINARY))
+    names = set(words_of(" ".join(n for own in NAMES.values() for n in own)))
+    plain = [w for w in filler if w not in names]
     for k, texts in enumerate([*TEMPLATES.values(), ORDINARY]):
         unknown = k == len(FAMILIES)
         for t in texts:
@@ -124,11 +183,16 @@ def labelled_samples(copies: int = 30, seed: int = 5) -> list[tuple[list[str], i
             for i in range(copies):
                 own = [w for w in words if i == 0 or rng.random() > 0.1 * (len(words) > 4)]
                 if i % 3 == 2:
-                    plain = [w for w in filler if w not in ANCHORS]
-                    own = rng.sample(plain, rng.randint(1, 12)) + own + rng.sample(plain, rng.randint(1, 12))
+                    own = rng.sample(filler, rng.randint(1, 12)) + own + rng.sample(filler, rng.randint(1, 12))
                 out.append((own, k))
             if unknown:
                 out += [([rng.choice(filler) for _ in range(rng.randint(3, 30))], k) for _ in range(copies)]
+                out += [([rng.choice(plain), rng.choice((rng.choice(plain), ALONE))], k) for _ in range(copies)]
+        for t in () if unknown else short_forms(FAMILIES[k]):
+            own = words_of(t)
+            for i in range(copies if ALONE in own else copies // 3):
+                around = i % 3 == 2 and len(own) > 2
+                out.append(((rng.sample(filler, rng.randint(1, 12)) if around else []) + own + (rng.sample(filler, rng.randint(1, 12)) if around else []), k))
     return out
 
 
@@ -136,12 +200,15 @@ def labelled_samples(copies: int = 30, seed: int = 5) -> list[tuple[list[str], i
 def train(penalty: float = 0.0008, rounds: int = 300) -> LicenceModel:
     """Multinomial logistic regression with an L1 penalty on three quarters of the samples, its temperature fitted on the last quarter."""
     samples = labelled_samples()
-    grams = sorted({g for w, _ in samples for g in grams_of(w)})
+    learned = [grams_of(w) for i, (w, _) in enumerate(samples) if i % 4 != 3]
+    seen = Counter(g for own in learned for g in own)
+    # the loss's slope along a gram of n samples is n / len(learned) at most: under the penalty, its weight is surely zero
+    grams = sorted(g for g, n in seen.items() if n > penalty * len(learned))
     at = {g: i for i, g in enumerate(grams)}
-    x = np.zeros((len(samples), len(grams)))
-    y = np.zeros((len(samples), len(FAMILIES) + 1))
+    x = np.zeros((len(samples), len(grams)), np.float32)
+    y = np.zeros((len(samples), len(FAMILIES) + 1), np.float32)
     for i, (w, k) in enumerate(samples):
-        x[i, [at[g] for g in grams_of(w)]] = 1
+        x[i, [at[g] for g in grams_of(w) if g in at]] = 1
         y[i, k] = 1
     held = np.arange(len(samples)) % 4 == 3
     xs, ys = x[~held], y[~held]
@@ -150,9 +217,12 @@ def train(penalty: float = 0.0008, rounds: int = 300) -> LicenceModel:
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
-    w, b = np.zeros((len(grams), y.shape[1])), np.log(ys.mean(0))
+    w, b = np.zeros((len(grams), y.shape[1]), np.float32), np.log(ys.mean(0))
     z, zb, t = w.copy(), b.copy(), 1.0
-    rate = 2.0 / (1 + np.linalg.norm(xs, 2) ** 2 / len(xs))
+    v = np.ones(len(grams), np.float32)
+    for _ in range(50):  # the largest singular value, from below
+        v = xs.T @ (xs @ (v / np.linalg.norm(v)))
+    rate = float(2.0 / (1 + 1.05 * np.linalg.norm(v) / len(xs)))
     for _ in range(rounds):
         off = (soft(xs @ z + zb) - ys) / len(xs)
         new = z - rate * (xs.T @ off)
@@ -168,6 +238,45 @@ def train(penalty: float = 0.0008, rounds: int = 300) -> LicenceModel:
     return LicenceModel(kept, tuple(map(float, b.round(6))), float(heat))
 
 
+def telling(model: LicenceModel) -> list[str]:
+    """Grams of which every paragraph that can be listed has one: all the others for a family taken together weigh less than unknown's lead.
+
+    Words of ordinary sentences are left out first, then the lightest grams. Nothing is told by grams if unknown doesn't lead without any.
+    """
+    lead = model.bias[-1] - np.array(model.bias[:-1])
+    if lead.min() <= 0:
+        return []
+    gain = {g: np.maximum(np.array(w[:-1]) - w[-1], 0) for g, w in model.weights.items()}
+    common = {ALONE, *words_of(" ".join(ORDINARY))}
+    total, out = np.zeros(len(lead)), []
+    for g in sorted(gain, key=lambda g: (g not in common, gain[g].max(), g)):
+        if (total + gain[g] < lead - 1e-6).all():
+            total += gain[g]
+        else:
+            out.append(g)
+    return out
+
+
+def _tree(words: list[str]) -> str:
+    """A regular expression of any of the words, by common beginnings; a space is anything between two words of a line."""
+    if words == [""]:
+        return ""
+    heads: dict[str, list[str]] = {}
+    for w in words:
+        if w:
+            heads.setdefault(w[0], []).append(w[1:])
+    body = "|".join(("[^a-z0-9\\n]+" if c == " " else c) + _tree(tails) for c, tails in sorted(heads.items()))
+    return f"(?:{body})" + ("?" if "" in words else "")
+
+
+def prefilter(model: LicenceModel) -> str:
+    """A regular expression over lower-cased text that fits wherever one of telling() stands."""
+    grams = telling(model)
+    alone, within = [g.rstrip(" =") for g in grams if g.endswith(ALONE)], [g for g in grams if not g.endswith(ALONE)]
+    either = [rf"(?<![a-z0-9]){_tree(within)}(?![a-z0-9])"] if within else []
+    return "|".join(either + ([rf"(?md)^[^a-z0-9\n]*{_tree(alone) if all(alone) else '[a-z0-9]+'}[^a-z0-9\n]*$"] if alone else []))
+
+
 def _constant(value, ddl: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), ddl)
 
@@ -177,30 +286,32 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text",
 
     Paragraphs are the runs between line breaks, numbered from 0 with empty ones counted. A paragraph's class is that of the
     largest calibrated probability, ties to the first family; unknown and probabilities under `least` aren't listed.
-    confirmed: one of the family's templates has at least `overlap` of its n-grams in the paragraph. Null and empty
+    confirmed: of one of the family's templates or short forms, at least `overlap` of the n-grams that speak for the family are in the paragraph. Null and empty
     texts have none; repeated rows have equal results; a column of the name `out` is replaced. One pass, no shuffle.
-    A text without any anchor word is not cut into paragraphs, and neither classified: every feature holds an anchor.
+    Texts and paragraphs without any gram of telling() aren't classified, as their class is surely unknown.
     """
     model = model or train()
     t = text_of(text)
-    anchor = r"(?i)(?<![a-z0-9])(?:" + "|".join(ANCHORS) + r")(?![a-z0-9])"
+    maybe = prefilter(model)
     weights = _constant(model.weights, "map<string,array<double>>")
     known = _constant(sorted(model.weights), "array<string>")
     bias = _constant(model.bias, "array<double>")
-    anchors = _constant(list(ANCHORS), "array<string>")
-    templates = _constant([[sorted(grams_of(words_of(x))) for x in v] for v in TEMPLATES.values()], "array<array<array<string>>>")
+    speaks = lambda g, c: g in model.weights and model.weights[g][c] > model.weights[g][-1]
+    own = [[sorted(g for g in grams_of(words_of(x)) if speaks(g, c)) for x in (*v, *short_forms(f))] for c, (f, v) in enumerate(TEMPLATES.items())]
+    templates = _constant([[x for x in v if x] for v in own], "array<array<array<string>>>")
     families = _constant(list(FAMILIES), "array<string>")
     k = len(FAMILIES) + 1
 
     def words(p: Column) -> Column:
-        return F.filter(F.split(F.lower(p), "[^a-z0-9]+"), lambda w: w != "")
+        own = F.filter(F.split(F.lower(p), "[^a-z0-9]+"), lambda w: w != "")
+        return F.when((F.size(own) == 1) & (p == F.upper(p)), F.concat(own, F.array(F.lit(ALONE)))).otherwise(own)
 
     def grams(w: Column) -> Column:
-        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull() & (F.array_contains(anchors, a) | F.array_contains(anchors, b)), F.concat_ws(" ", a, b)))
-        return F.array_distinct(F.concat(F.array_intersect(w, anchors), F.filter(pairs, lambda g: g.isNotNull())))
+        pairs = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
+        return F.array_intersect(F.concat(w, F.filter(pairs, lambda g: g.isNotNull())), known)
 
     def soft(g: Column) -> Column:
-        logits = F.aggregate(F.array_intersect(g, known), bias, lambda s, x: F.zip_with(s, F.element_at(weights, x), lambda a, b: a + b), lambda s: F.transform(s, lambda v: F.exp(v / model.temperature)))
+        logits = F.aggregate(g, bias, lambda s, x: F.zip_with(s, F.element_at(weights, x), lambda a, b: a + b), lambda s: F.transform(s, lambda v: F.exp(v / model.temperature)))
         return logits
 
     def judged(p: Column) -> Column:
@@ -212,9 +323,9 @@ def scan(docs: DataFrame, model: LicenceModel | None = None, text: str = "text",
         return F.element_at(done, 1)
 
     cut = F.transform(F.split(t, "\n"), lambda p, i: F.struct(i.alias("i"), p.alias("t")))
-    some = F.filter(cut, lambda p: p["t"].rlike(anchor))
+    some = F.filter(cut, lambda p: F.lower(p["t"]).rlike(maybe))
     found = F.filter(F.transform(some, judged), lambda r: r["family"].isNotNull())
-    return docs.withColumn(out, F.when(t.rlike(anchor), found).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")))
+    return docs.withColumn(out, F.when(F.lower(t).rlike(maybe), found).otherwise(F.array().cast("array<struct<paragraph:int,family:string,probability:double,confirmed:boolean>>")))
 
 
 def classify(text: str, model: LicenceModel | None = None) -> tuple[str | None, float]:

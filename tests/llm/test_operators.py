@@ -92,6 +92,31 @@ def test_licences(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_licence_names(spark):
+    lines = {
+        "gpl": ("Released under GPLv3", "Licensed under the GPLv2", "SPDX-License-Identifier: GPL-3.0-or-later"),
+        "lgpl": ("LGPL-2.1-only", "GNU LGPL v2.1"), "agpl": ("Licensed under the AGPLv3", "AGPL-3.0-only"), "epl": ("Distributed under the EPL 2.0",),
+        "mit": ("MIT", "SPDX-License-Identifier: MIT", "Distributed under the MIT"), "isc": ("ISC", "SPDX-License-Identifier: ISC"),
+        "zlib": ("SPDX-License-Identifier: Zlib",), "unlicense": ("Unlicense", "Released under the Unlicense"),
+    }
+    rows = [(i, f"Some text.\n{t}\nmore", f) for i, (f, t) in enumerate((f, t) for f, own in lines.items() for t in own)]
+    got = {r["doc_id"]: [tuple(x)[:2] + (x["confirmed"],) for x in r["licences"]] for r in licences.scan(docs(spark, [r[:2] for r in rows])).collect()}
+    for i, t, f in rows:
+        assert got[i] == [(1, f, True)], t
+    plain = ["Mit.", "mit", "komm doch mit", "Er ging mit den anderen fort.", "The EPL season is over.", "HALLO", "released", "the license"]
+    assert not any(r["licences"] for r in licences.scan(docs(spark, list(enumerate(plain)))).collect())
+
+
+def test_licence_prefilter_loses_nothing(spark):
+    model, rng = licences.train(), random.Random(13)
+    grams, filler = sorted(model.weights), licences.words_of(" ".join(licences.ORDINARY))
+    texts = [" ".join(rng.choice(grams if rng.random() < 0.5 else filler) for _ in range(rng.randint(1, 9))) for _ in range(1500)]
+    texts = [t.upper() if i % 3 == 0 else t for i, t in enumerate(texts)]
+    fits = {r["doc_id"] for r in docs(spark, list(enumerate(texts))).where(F.lower("text").rlike(licences.prefilter(model))).collect()}
+    listed = {i for i, t in enumerate(texts) if licences.classify(t, model)[0]}
+    assert listed <= fits and len(listed) > 100
+
+
 # --- packing
 
 
