@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ BASE_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Maps the token index is dealt over; each stays small for as many rules as MAX_RULES.
 BUCKETS = 64
-#: The index is a literal of the plan, so its size is bounded; a longer list is refused, not cut.
+#: filter_urls() holds its index as a literal of the plan, so its size is bounded; filter_urls_by_table() takes longer lists.
 MAX_RULES = 20_000
 
 
@@ -126,7 +127,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[str] = DEFAU
     judged alike; columns of the added names are replaced. One pass, no shuffle; the pass that counts tokens reads the url column alone.
     """
     if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}")
+        raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}: use filter_urls_by_table()")
     by_token, rest = rule_index(pages, url, rules) if index is None else index
     entry = lambda i: {"id": i, "allow": rules[i].startswith("@@"), "re": to_regex(rules[i])}
     kind = "array<struct<id:int,allow:boolean,re:string>>"
@@ -150,6 +151,35 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[str] = DEFAU
     }).drop("_rules", "_low", "_hit")
 
 
+def filter_urls_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", rule: str = "rule", tried: str = "n_tried", matched: str = "matched", verdict: str = "pattern_verdict") -> DataFrame:
+    """filter_urls() for rules in a column of a table, of any number: nothing of them is a part of the plan or comes to the driver.
+
+    Distinct urls meet rules in a join by token; a rule stands under the one of its tokens that fewest distinct urls hold, and
+    rules without a token meet every distinct url. `matched` is in the order of the rules' text; null rules are none,
+    repeated ones count once. Rules are parsed by Python, urls aren't.
+    """
+    own = rules.select(F.col(rule).alias("_rule")).where("_rule IS NOT NULL").distinct()
+    regex = F.arrow_udf(lambda a: pa.array([to_regex(r) for r in a.to_pylist()], pa.string()), "string")
+    tokens = F.arrow_udf(lambda a: pa.array([literal_tokens(r) for r in a.to_pylist()], pa.list_(pa.string())), "array<string>")
+    parsed = own.select("_rule", F.col("_rule").startswith("@@").alias("_allow"), regex("_rule").alias("_re"), tokens("_rule").alias("_ts"))
+    pages = pages.withColumn("_low", lowered(F.coalesce(F.col(url), F.lit(""))))
+    urls = pages.select("_low").distinct()
+    words = urls.select("_low", F.explode(url_tokens(F.col("_low"))).alias("_t"))
+    asked = parsed.select("_rule", F.explode("_ts").alias("_t"))
+    counts = words.join(asked.select("_t").distinct(), "_t", "left_semi").groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = asked.join(counts, "_t", "left").groupBy("_rule").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t"))).alias("_at"))
+    fetched = words.join(parsed.join(rarest.select("_rule", F.col("_at.t").alias("_t")), "_rule"), "_t").select("_low", "_rule", "_allow", "_re")
+    always = urls.crossJoin(parsed.where(F.size("_ts") == 0)).select("_low", "_rule", "_allow", "_re")
+    ran = fetched.unionByName(always).withColumn("_fits", F.call_function("rlike", F.col("_low"), F.col("_re")))
+    judged = ran.groupBy("_low").agg(
+        F.count(F.lit(1)).cast("int").alias("_tried"), F.array_sort(F.collect_list(F.when(F.col("_fits"), F.col("_rule")))).alias("_matched"),
+        (F.max(F.col("_fits") & ~F.col("_allow")) & ~F.max(F.col("_fits") & F.col("_allow"))).alias("_block"))
+    return pages.join(judged, "_low", "left").withColumns({
+        tried: F.coalesce("_tried", F.lit(0)), matched: F.coalesce("_matched", F.array().cast("array<string>")),
+        verdict: F.when(F.col("_block"), F.lit("block")).otherwise(F.lit("allow")),
+    }).drop("_low", "_tried", "_matched", "_block")
+
+
 def base_rule_sql(rules: Sequence[tuple[str, str]] = BASE_RULES) -> tuple[str, str]:
     """base_rule() in DuckDB's SQL, over columns host and path."""
     rule = verdict = "NULL"

@@ -452,6 +452,22 @@ def test_url_filters(spark):
         urlfilter.filter_urls(df, rules=["x"] * (urlfilter.MAX_RULES + 1))
 
 
+def test_url_filters_by_table(spark):
+    rules = [*urlfilter.DEFAULT_RULES, "*plain*", "|https://only.", "end.html|", *(f"||host{i}.example." for i in range(urlfilter.MAX_RULES))]
+    urls = [None, "", "HTTP://SPAM-FARM.example.org/En/1", "http://spam-farm.example.org/en/abuse", "http://x/completelyplainly", "https://only.x/", "http://x/wp-login.php", "http://x/wp-login.php", "http://a.host7.example.com/", "http://host19999.example.org/end.html", "http://host20000.example.org/"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("matched", F.lit(0))
+    table = spark.createDataFrame([(r,) for r in [*rules, None, rules[0]]], "rule string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls_by_table(df, table).collect()}
+    assert len(got) == len(urls)
+    for i, u in enumerate(urls):
+        low = (u or "").translate(str.maketrans(urlfilter.UPPER, urlfilter.LOWER))
+        want = sorted(r for r in rules if re.search(urlfilter.to_regex(r).replace(r"\z", r"\Z"), low))
+        assert got[i]["matched"] == want and got[i]["n_tried"] <= 6, u
+        assert got[i]["pattern_verdict"] == ("block" if any(not r.startswith("@@") for r in want) and not any(r.startswith("@@") for r in want) else "allow")
+    few = table.limit(0)
+    assert {(r["n_tried"], r["pattern_verdict"]) for r in urlfilter.filter_urls_by_table(df, few).collect()} == {(0, "allow")}
+
+
 def test_url_parts(spark):
     urls = [None, "x", "a://B.Com/en/7?x#y", "://", "q?z=http://h.com/en/", "http://net", "http://EXAMPLE.NET/de/8/1", "http://myexample.com/en/7", "http://É.org/es/", "ftp://a.org/es/#"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
