@@ -20,7 +20,7 @@ from stratamesh.llm._io import parts
 
 #: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint.
 WIDTH, TUPLE, TUPLES = 8, 2, 32
-#: Bits for places and for repeats, below a k-mer's hash.
+#: Bits for repeats, and for the places of texts that have fewer k-mers, below a k-mer's hash.
 _AT = 24
 #: Ranges of ids for each shuffle partition: enough for partitions to come out even.
 RANGES = 8
@@ -52,22 +52,40 @@ def _kmers(codes: np.ndarray, width: int) -> np.ndarray:
     return _mixed(done)
 
 
+_LOW = np.uint64((1 << _AT) - 1)
+
+
+def _sorted(h: np.ndarray, packed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(k-mers, places) by k-mer, then place. packed: both fit into one number, which is faster to sort."""
+    if packed:
+        tagged = np.sort((h & ~_LOW) | np.arange(len(h), dtype=np.uint64))
+        return tagged & ~_LOW, tagged & _LOW
+    at = np.argsort(h & ~_LOW, kind="stable")
+    return h[at] & ~_LOW, at.astype(np.uint64)
+
+
+def _numbered(kmer: np.ndarray) -> np.ndarray:
+    """A hash of every one of the sorted k-mers and its number among its equals, from 0 in text order."""
+    n = len(kmer)
+    new = np.flatnonzero(np.concatenate([[True], kmer[1:] != kmer[:-1]]))
+    if len(new) == n:
+        return _mixed(kmer)
+    again = (np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))).astype(np.uint64)
+    item, high = _mixed(kmer | (again & _LOW)), again >> np.uint64(_AT)
+    return np.where(high > 0, _mixed(item + high * _P[0]), item) if high.any() else item
+
+
 def sketch(text: str, width: int = WIDTH) -> np.ndarray:
-    """TUPLES hashes of 32 bits. The empty text has zeros, a text of fewer than `width` characters counts as one k-mer."""
+    """TUPLES hashes of 32 bits. The empty text has zeros, a text of fewer than `width` characters counts as one k-mer.
+
+    Texts of any length: k-mers are told apart by the same 40 bits in all of them, so long and short texts can be compared.
+    """
     if not text:
         return np.zeros(TUPLES, np.uint32)
     h = _kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), width)
     n = len(h)
-    if n >= 1 << _AT:
-        raise ValueError(f"texts of {1 << _AT} characters and more aren't supported")
-    low = np.uint64((1 << _AT) - 1)
-    tagged = np.sort((h & ~low) | np.arange(n, dtype=np.uint64))
-    at, kmer = tagged & low, tagged & ~low
-    new = np.flatnonzero(np.concatenate([[True], kmer[1:] != kmer[:-1]]))
-    if len(new) < n:  # repeats are numbered from 0 in text order
-        again = np.arange(n) - np.repeat(new, np.diff(np.append(new, n)))
-        kmer = kmer | again.astype(np.uint64)
-    item = _mixed(kmer)
+    kmer, at = _sorted(h, n < 1 << _AT)
+    item = _numbered(kmer)
     take = min(TUPLE, n)
     best = np.full((TUPLES, take), _MAX)
     where = np.zeros((TUPLES, take), np.int64)

@@ -70,6 +70,20 @@ def test_order_minhash_likeness():
         assert len(k) == 16 - w and len(set(k.tolist())) == min(3, 16 - w)
 
 
+def test_order_minhash_of_very_long_texts():
+    rng = np.random.default_rng(14)
+    for h in (rng.integers(0, 1 << 63, 4000, dtype=np.uint64), order_minhash._mixed(rng.integers(0, 50, 4000, dtype=np.uint64))):
+        for a, b in zip(order_minhash._sorted(h, True), order_minhash._sorted(h, False), strict=True):
+            assert (a == b).all()
+    n = (1 << order_minhash._AT) + 100
+    text = rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    long = order_minhash.sketch(text)
+    assert order_minhash.likeness(long, order_minhash.sketch(text[: n - 200])) > 0.9
+    assert order_minhash.likeness(long, order_minhash.sketch(text[n // 2 :] + text[: n // 2])) < 0.9
+    items = order_minhash._numbered(np.zeros(n, np.uint64))
+    assert len(np.unique(items)) == n and (items[:1000] == order_minhash._numbered(np.zeros(1000, np.uint64))).all()
+
+
 def test_fingerprint_column(spark):
     got = [r["fingerprint"] for r in order_minhash.fingerprints(docs(spark)).orderBy("doc_id").collect()]
     assert len(got) == len(ODD) and len({r["fingerprint"] for r in order_minhash.fingerprints(docs(spark)).where("doc_id > 6").collect()}) == 1
