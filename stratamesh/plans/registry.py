@@ -146,6 +146,14 @@ def _(pts):
     return files_for_tiles(grid.tiles(pts.sparkSession, EXTENT, 300.0, 20.0), files)
 
 
+@register("tile_files_all", """SELECT CAST(i AS INT) AS tile_i, CAST(j AS INT) AS tile_j, file FROM range(4) a(i), range(4) b(j), (SELECT classification || '-' || epoch || '-' || CAST(floor(x / 250) AS BIGINT) || '-' || CAST(floor(y / 250) AS BIGINT) AS file, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts GROUP BY 1) f
+WHERE x0 <= least(1100, (i + 1) * 300 + 20) AND x1 >= greatest(0, i * 300 - 20) AND y0 <= least(1000, (j + 1) * 300 + 20) AND y1 >= greatest(0, j * 300 - 20)""")
+def _(pts):
+    block = [F.floor(F.col(c) / 250).cast("string") for c in "xy"]
+    files = file_bounds(pts.withColumn("file", F.concat_ws("-", F.col("classification").cast("string"), "epoch", *block)))
+    return files_for_tiles(grid.tiles(pts.sparkSession, EXTENT, 300.0, 20.0), files)
+
+
 @register("class_filter_stats", "SELECT count(*) AS total, count(*) FILTER (classification IN (2, 5)) AS kept, round(100.0::double * count(*) FILTER (classification IN (2, 5)) / count(*), 6) AS percent FROM pts")
 def _(pts):
     return r6(filters.filter_statistics(pts, classes=[2, 5]), "percent")

@@ -36,3 +36,9 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tile_files_of_all_points(spark, sf):
+    pts = registry.lineitem_points(spark, sf, 1.0)
+    got = {r["file"].split("-")[0] for r in registry.QUERIES["tile_files_all"](spark, sf).select("file").distinct().collect()}
+    assert got == {str(r["classification"]) for r in pts.select("classification").distinct().collect()}
