@@ -291,6 +291,12 @@ def _(pts):
     return neighbors.nearest_within(t1, t1, 1.0).select("source_id", "distance")
 
 
+@register("knn_self_k5", f"SELECT sid AS source_id, tid AS target_id, round(sqrt(d2), 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2, tid) AS r FROM (SELECT s.*, t.*, {_D2} AS d2 FROM {_PAIRS.replace(chr(39) + 't2' + chr(39), chr(39) + 't1' + chr(39))} ON true)) WHERE r <= 5")
+def _(pts):
+    t1, _ = epochs(pts)
+    return r6(neighbors.knn(t1, t1, 5), "distance").select("source_id", "target_id", "distance", "rank")
+
+
 #: Moves exact ties off the middle before both sides round.
 _NUDGE = 1.3e-8
 

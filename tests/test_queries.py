@@ -42,3 +42,9 @@ def test_tile_files_of_all_points(spark, sf):
     pts = registry.lineitem_points(spark, sf, 1.0)
     got = {r["file"].split("-")[0] for r in registry.QUERIES["tile_files_all"](spark, sf).select("file").distinct().collect()}
     assert got == {str(r["classification"]) for r in pts.select("classification").distinct().collect()}
+
+
+def test_knn_self_finds_others(spark, sf):
+    got = registry.QUERIES["knn_self_k5"](spark, sf).collect()
+    assert all(r["source_id"] == r["target_id"] or r["distance"] == 0 for r in got if r["rank"] == 1)
+    assert any(r["distance"] > 0 for r in got) and any(r["source_id"] != r["target_id"] for r in got)
