@@ -1,4 +1,4 @@
-"""Fast exact ids of a lower-casing word BPE tokenizer: words are encoded once and remembered.
+"""Fast exact ids of a lower-casing word BPE tokenizer: words are encoded once in a batch, and the latest are remembered.
 
 The tokenizer splits at white space before anything else and its merges never cross words, so a text's ids are its
 words' ids one after the other. Texts with characters for which that is not plain to see go to the tokenizer whole.
@@ -13,57 +13,90 @@ import numpy as np
 
 #: Characters up to Latin Extended-B that no normal form and no splitting rule treats specially (no no-break space, no next-line).
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
-#: Words remembered at most by each worker process.
-MAX_WORDS = 1_000_000
+#: Bytes that a worker process spends on the words it remembers, and what one of them takes besides its characters and ids.
+MEMORY, OVERHEAD = 48 << 20, 160
+#: Places of the filter that tells whether a word came before; it is emptied when half full.
+FILTER = 1 << 21
+#: New words that are encoded in one go, and the control character between them, which no plain text holds.
+BLOCK, MARK = 500, "\x01"
+
+
+class Recent:
+    """Words and their ids, of bounded size: what was asked for lately is in `young`; when that is full, it takes the place of `old`.
+
+    A word is let in when it comes for the second time, as far as a small filter of hashes tells: most words of a large corpus stand once.
+    """
+
+    def __init__(self, memory: int = MEMORY):
+        self.half, self.size = memory // 2, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.met = np.zeros(FILTER, bool)
+
+    def recall(self, words: list[str]) -> tuple[dict[str, bytes | None], list[str]]:
+        """(words with the ids of those that are remembered, the others)."""
+        own = dict(zip(words, map(self.young.get, words), strict=True))
+        new = [w for w, ids in own.items() if ids is None]
+        if new and self.old:
+            back = {w: ids for w, ids in zip(new, map(self.old.get, new), strict=True) if ids is not None}
+            self._put(back)
+            own.update(back)
+            new = [w for w in new if w not in back]
+        return own, new
+
+    def keep(self, words: dict[str, bytes]) -> None:
+        at = np.fromiter(map(hash, words), np.int64, len(words)) % FILTER
+        again = self.met[at]
+        if self.met[:: FILTER // 1024].mean() > 0.5:
+            self.met[:] = False
+        self.met[at] = True
+        self._put(dict(compress(words.items(), again)))
+
+    def _put(self, words: dict[str, bytes]) -> None:
+        cost = OVERHEAD * len(words) + sum(map(len, words)) + sum(map(len, words.values()))
+        if self.size + cost > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        if cost <= self.half:
+            self.young.update(words)
+            self.size += cost
 
 
 class WordTokens:
-    def __init__(self, path: str, most: int = MAX_WORDS):
+    def __init__(self, path: str, memory: int = MEMORY):
         import os
 
-        import regex
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
-        # the same merges for pieces that are normal and split already
-        self.merger = Tokenizer.from_file(path)
-        self.merger.normalizer = None
-        self.merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.normalizer = self.tokenizer.normalizer
+        self.recent = Recent(memory)
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        size = self.tokenizer.get_vocab_size()
-        self.ends = np.array([str(self.tokenizer.id_to_token(i)).endswith("</w>") for i in range(size)])
+        (self.mark,) = self._ids(MARK)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self._ids(text), "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        low = list(map(str.lower, words))
-        plain = list(map(str.isalpha, low))  # one piece each, without a look at the splitting rule
-        parts = set(compress(low, plain)).union(self.split(" ".join(x for x, one in zip(low, plain, strict=True) if not one)))
-        new = list(parts.difference(self.pieces))
-        for i in range(0, len(new), 20_000):
-            block = new[i : i + 20_000]
-            ids = np.array(self.merger.encode(" ".join(block), add_special_tokens=False).ids, "<u4")
-            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
-            raw = ids.tobytes()
-            if len(cuts) == len(block) and cuts[-1] == len(raw):
-                got = [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
-            else:  # a piece that stands differently among others
-                got = [self._raw(p) for p in block]
-            self.pieces.update(zip(block, got, strict=True))
-        get = self.pieces.__getitem__
-        learned = {w: get(x) if one else b"".join(map(get, self.split(x))) for w, x, one in zip(words, low, plain, strict=True)}
-        self.known.update(learned)
-        return learned
+        """The ids of plain words, which need no other normal form than lower case."""
+        out: dict[str, bytes] = {}
+        self.tokenizer.normalizer = None
+        try:
+            for i in range(0, len(words), BLOCK):
+                block = words[i : i + BLOCK]
+                ids = np.array(self._ids(f" {MARK} ".join([*block, ""]).lower()), "<u4")
+                cuts = (4 * np.flatnonzero(ids == self.mark)).tolist()
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(block, [0, *(c + 4 for c in cuts)], cuts, strict=False))
+                assert len(cuts) == len(block)
+        finally:
+            self.tokenizer.normalizer = self.normalizer
+        self.recent.keep(out)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers, equal to the tokenizer's own without special tokens added."""
@@ -75,12 +108,8 @@ class WordTokens:
             else:
                 out[i] = self._raw(t)
         # the batch's own words in a small map: few far looks into the large ones, however often a word stands
-        words = list(set().union(*plain.values()))
-        own = dict(zip(words, map(self.known.get, words), strict=True))
-        new = [w for w, ids in own.items() if ids is None]
+        own, new = self.recent.recall(list(set().union(*plain.values())))
         if new:
-            if len(self.known) + len(new) > self.most:
-                self.known = {w: ids for w, ids in own.items() if ids is not None}
             own.update(self._learn(new))
         get = own.__getitem__
         for i, words in plain.items():
