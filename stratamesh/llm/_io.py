@@ -2,48 +2,40 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where stages are written when the session names no shared folder (tests, one machine).
-LOCAL_STAGE = "/tmp/checkpoints/stratamesh"
+from stratamesh.staging import stage_dir, staged, unstage
+
+__all__ = ["BLANK", "WORD", "beside", "parts", "stage_dir", "table", "text_of", "unstage", "written"]
 #: Code points that separate words, as the inside of a character class.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
+written = staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local default."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_STAGE
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: lost executors lose none of it. Goes when the session's process ends."""
-    spark = df.sparkSession
-    path = f"{stage_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(col: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def beside(df: DataFrame, inputs: dict[str, Column], work: Callable[[DataFrame], DataFrame], outputs: dict[str, str]) -> DataFrame:
+    """df with new columns that work() adds to a frame of `inputs` and the whole row.
+
+    work() sees no column of df by name, so no name of df can clash with one it uses; outputs: name in the result -> name
+    in what work() returns. A column of a result's name is replaced, all others stay as they are.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    done = work(df.select(row, *(c.alias(k) for k, c in inputs.items())))
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in df.columns if c not in outputs]
+    return done.select(*kept, *(F.col(v).alias(k) for k, v in outputs.items()))
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

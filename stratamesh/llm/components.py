@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratamesh.llm._io import written
+from stratamesh.llm._io import unstage, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,11 +36,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Edges are undirected; loops, repeated edges and edges with nulls are let go. No component is ever in one task: a
     step groups by node with partial minima, and a node with many neighbours is a skewed join that adaptive execution
-    splits. Each step is written to the shared folder. A chain of n nodes takes about log n steps; RuntimeError after `most`.
+    splits. Each step is written to the shared folder, the one before it deleted. A chain of n nodes takes about log n steps; RuntimeError after `most`.
     """
     now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(most):
         if _settled(now):
             return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        now = written(_stars(_stars(now, True), False), "edges")
+        then = written(_stars(_stars(now, True), False), "edges")
+        unstage(now)
+        now = then
     raise RuntimeError(f"components not settled after {most} steps")
