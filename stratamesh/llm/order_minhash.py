@@ -19,19 +19,21 @@ from pyspark.sql import functions as F
 from stratamesh.llm._io import parts
 
 #: Characters of a k-mer, k-mers of a tuple, tuples of a fingerprint.
-WIDTH, TUPLE, TUPLES = 8, 2, 32
+WIDTH, TUPLE, TUPLES = 8, 2, 128
 #: Bits for repeats, and for the places of texts that have fewer k-mers, below a k-mer's hash.
 _AT = 24
 #: Ranges of ids for each shuffle partition: enough for partitions to come out even.
 RANGES = 8
 
 _RNG = np.random.default_rng(20_240_607)
-_A = _RNG.integers(1, 1 << 63, TUPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _RNG.integers(0, 1 << 63, TUPLES, dtype=np.uint64)
+_A = _RNG.integers(1, 1 << 31, TUPLES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _RNG.integers(0, 1 << 32, TUPLES, dtype=np.uint32)
 _BASE = int(_RNG.integers(1, 1 << 62)) * 2 + 1
 #: The base to the powers 1, 2, 4, ...
 _P = [np.uint64(pow(_BASE, 1 << i, 1 << 64)) for i in range(8)]
-_MAX = np.uint64(np.iinfo(np.uint64).max)
+_MAX = np.uint32(np.iinfo(np.uint32).max)
+#: K-mers that are looked at together by all hash functions.
+_BLOCK = 8192
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -76,37 +78,38 @@ def _numbered(kmer: np.ndarray) -> np.ndarray:
 
 
 def sketch(text: str, width: int = WIDTH) -> np.ndarray:
-    """TUPLES hashes of 32 bits. The empty text has zeros, a text of fewer than `width` characters counts as one k-mer.
+    """TUPLES hashes of 16 bits. The empty text has zeros, a text of fewer than `width` characters counts as one k-mer.
 
     Texts of any length: k-mers are told apart by the same 40 bits in all of them, so long and short texts can be compared.
     """
     if not text:
-        return np.zeros(TUPLES, np.uint32)
+        return np.zeros(TUPLES, np.uint16)
     h = _kmers(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), width)
     n = len(h)
     kmer, at = _sorted(h, n < 1 << _AT)
     item = _numbered(kmer)
     take = min(TUPLE, n)
+    short = (item >> np.uint64(32)).astype(np.uint32)  # orders are drawn from 32 bits, which is twice as fast
+    rows = np.arange(TUPLES)
     best = np.full((TUPLES, take), _MAX)
-    where = np.zeros((TUPLES, take), np.int64)
-    for lo in range(0, n, 2048):
-        x = np.multiply.outer(_A, item[lo : lo + 2048])
+    where = np.full((TUPLES, take), -1)
+    for lo in range(0, n, _BLOCK):
+        x = np.multiply.outer(_A, short[lo : lo + _BLOCK])
         x += _B[:, None]
-        for j in range(min(take, x.shape[1])):  # the least of what is left goes through the best so far
+        for _ in range(min(take, x.shape[1])):  # the least of what is left goes through the best so far
             k = x.argmin(1)
-            v = x[np.arange(TUPLES), k]
-            x[np.arange(TUPLES), k] = _MAX
-            w = k + lo
+            v, w = x[rows, k], k + lo
+            x[rows, k] = _MAX
             for i in range(take):
-                swap = v < best[:, i]
+                swap = (v < best[:, i]) | (where[:, i] < 0)
                 v, best[swap, i] = np.where(swap, best[:, i], v), v[swap]
                 w, where[swap, i] = np.where(swap, where[:, i], w), w[swap]
     order = np.argsort(at[where], axis=1, kind="stable")
     picked = np.take_along_axis(item[where], order, 1)
     out = np.full(TUPLES, n if n < TUPLE else TUPLE, np.uint64)
     for i in range(take):
-        out = _mixed((out ^ picked[:, i]) * np.uint64(0x9E3779B97F4A7C15) + np.arange(TUPLES, dtype=np.uint64))
-    return (out >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        out = _mixed((out ^ picked[:, i]) * np.uint64(0x9E3779B97F4A7C15) + rows.astype(np.uint64))
+    return (out >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -115,7 +118,7 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def fingerprint(x: np.ndarray) -> str:
-    return x.astype(">u4").tobytes().hex()
+    return x.astype(">u2").tobytes().hex()
 
 
 def edited(text: str, following: str) -> str:
