@@ -137,14 +137,19 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity()
     """Adds sequence_id and offset to pieces (key, piece, start, length, ids_crc32, ...).
 
     Pieces of a sequence lie one after the other from offset 0 without gaps and keep every capacity. Pieces of no tokens
-    or of a null length raise ValueError, as do those no empty sequence can hold. Repeated rows are pieces of their own. Other columns stay.
+    or of a null length raise ValueError, as do those no empty sequence can hold. Repeated rows are pieces of their own. Columns named
+    sequence_id and offset are replaced, all others stay, whatever their names.
     Pieces are numbered inside (length, hash) sub-groups, so no task holds all of a common length; the driver gets counts
     by length and sub-group: at most capacity.tokens * SUBS rows.
     """
     spark: SparkSession = pieces.sparkSession
-    pieces = written(pieces, "pieces").withColumn("_sub", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(SUBS)).cast("int"))
-    seen = pieces.groupBy("length", "_sub").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    length, sub, n = (seen.column(c).to_numpy() for c in ("length", "_sub", "n"))
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    at = {c: f"c{i}" for i, c in enumerate(names)}  # inside, columns go by their places
+    order = [at[key], at["piece"], at["ids_crc32"]]
+    rows = written(pieces, "pieces").select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()))
+    rows = rows.withColumns({"size": F.col(at["length"]), "sub": F.pmod(F.xxhash64(*order), F.lit(SUBS)).cast("int")})
+    seen = rows.groupBy("size", "sub").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    length, sub, n = (seen.column(c).to_numpy() for c in ("size", "sub", "n"))
     if len(length) and (not np.issubdtype(length.dtype, np.integer) or length.min() <= 0):
         raise ValueError("pieces must have a length of one token at least")
     table = np.zeros((capacity.tokens + 1, SUBS), np.int64)
@@ -154,18 +159,17 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity()
     plan = plan_bins({int(k): int(v) for k, v in enumerate(table.sum(1)) if v}, capacity, rule, weights)
     ranks = table.cumsum(1) - table  # where each sub-group begins among the pieces of its length
     held = spark.sparkContext.broadcast((ranks, plan.key, plan.bin, plan.offset))
-    place = F.row_number().over(Window.partitionBy("length", "_sub").orderBy(key, "piece", "ids_crc32")) - 1
-    numbered = pieces.withColumn("_rank", place.cast("long"))
-    names = [c for c in numbered.columns if c not in ("sequence_id", "offset")]
+    place = F.row_number().over(Window.partitionBy("size", "sub").orderBy(*order)) - 1
+    numbered = rows.withColumn("rank", place.cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, keys, bins, offsets = held.value
+        own = list(at.values())
         for b in batches:
-            length, sub, rank = (b.column(c).to_numpy() for c in ("length", "_sub", "_rank"))
+            length, sub, rank = (b.column(c).to_numpy() for c in ("size", "sub", "rank"))
             k = length << _SHIFT | (rank + ranks[length, sub])
             step = np.searchsorted(keys, k, "right") - 1
-            own = [c for c in names if not c.startswith("_")]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(bins[step] + k - keys[step]), pa.array(offsets[step])], [*own, "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(bins[step] + k - keys[step]), pa.array(offsets[step])], [*own, "bin", "at"])
 
-    schema = numbered.select(*(c for c in names if not c.startswith("_"))).schema
-    return numbered.select(*names).mapInArrow(run, schema.add("sequence_id", "long").add("offset", "long"))
+    out = numbered.mapInArrow(run, rows.select(*at.values()).schema.add("bin", "long").add("at", "long"))
+    return out.select(*(F.col(a).alias(c) for c, a in at.items()), F.col("bin").alias("sequence_id"), F.col("at").alias("offset"))
