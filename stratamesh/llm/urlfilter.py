@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamesh.llm._io import beside
+
 #: The rules of the registered query.
 DEFAULT_RULES = (
     "||spam-farm.",
@@ -124,7 +126,7 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[str] = DEFAU
     A url's tokens fetch the rules that stand under them; only those, and the rules without any token, run their
     regular expressions. The verdict is block if a rule matches and no exception does, else allow.
     Null and empty urls have no tokens and match nothing but rules that match the empty text. Repeated rows are
-    judged alike; columns of the added names are replaced. One pass, no shuffle; the pass that counts tokens reads the url column alone.
+    judged alike; columns of the added names are replaced, all others stay. One pass, no shuffle; the pass that counts tokens reads the url column alone.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"{len(rules)} rules; the index holds {MAX_RULES}: use filter_urls_by_table()")
@@ -138,17 +140,22 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: Sequence[str] = DEFAU
     place = lambda t: F.aggregate(F.split(t, ""), F.lit(0), lambda a, c: a + F.ascii(c)) % BUCKETS + 1
     maps = _literal(buckets, f"array<map<string,{kind}>>")
     known = F.array(*(F.lit(t) for t in sorted(by_token))) if by_token else F.array().cast("array<string>")
-    hits = F.array_intersect(url_tokens(F.coalesce(F.col(url), F.lit(""))), known)
-    fetched = F.flatten(F.transform(hits, lambda t: F.element_at(F.element_at(maps, place(t).cast("int")), t)))
     always = _literal([entry(i) for i in rest], kind)
-    df = pages.withColumn("_rules", F.concat(fetched, always)).withColumn("_low", lowered(F.coalesce(F.col(url), F.lit(""))))
-    ran = F.filter(F.col("_rules"), lambda r: F.call_function("rlike", F.col("_low"), r["re"]))
-    df = df.withColumn(tried, F.size("_rules")).withColumn("_hit", F.array_sort(ran))
     names = F.array(*(F.lit(r) for r in rules)) if rules else F.array().cast("array<string>")
-    return df.withColumns({
-        matched: F.transform("_hit", lambda r: F.element_at(names, r["id"] + 1)),
-        verdict: F.when(F.exists("_hit", lambda r: ~r["allow"]) & ~F.exists("_hit", lambda r: r["allow"]), F.lit("block")).otherwise(F.lit("allow")),
-    }).drop("_rules", "_low", "_hit")
+
+    def work(df: DataFrame) -> DataFrame:
+        hits = F.array_intersect(url_tokens(F.col("low")), known)
+        fetched = F.flatten(F.transform(hits, lambda t: F.element_at(F.element_at(maps, place(t).cast("int")), t)))
+        df = df.withColumn("fetched", F.concat(fetched, always))
+        ran = F.filter(F.col("fetched"), lambda r: F.call_function("rlike", F.col("low"), r["re"]))
+        df = df.withColumn("hit", F.array_sort(ran))
+        return df.withColumns({
+            "tried": F.size("fetched"),
+            "matched": F.transform("hit", lambda r: F.element_at(names, r["id"] + 1)),
+            "verdict": F.when(F.exists("hit", lambda r: ~r["allow"]) & ~F.exists("hit", lambda r: r["allow"]), F.lit("block")).otherwise(F.lit("allow")),
+        })
+
+    return beside(pages, {"low": lowered(F.coalesce(F.col(f"`{url}`"), F.lit("")))}, work, {tried: "tried", matched: "matched", verdict: "verdict"})
 
 
 def filter_urls_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", rule: str = "rule", tried: str = "n_tried", matched: str = "matched", verdict: str = "pattern_verdict") -> DataFrame:
@@ -158,26 +165,29 @@ def filter_urls_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", r
     rules without a token meet every distinct url. `matched` is in the order of the rules' text; null rules are none,
     repeated ones count once. Rules are parsed by Python, urls aren't.
     """
-    own = rules.select(F.col(rule).alias("_rule")).where("_rule IS NOT NULL").distinct()
+    own = rules.select(F.col(f"`{rule}`").alias("rule")).where("rule IS NOT NULL").distinct()
     regex = F.arrow_udf(lambda a: pa.array([to_regex(r) for r in a.to_pylist()], pa.string()), "string")
     tokens = F.arrow_udf(lambda a: pa.array([literal_tokens(r) for r in a.to_pylist()], pa.list_(pa.string())), "array<string>")
-    parsed = own.select("_rule", F.col("_rule").startswith("@@").alias("_allow"), regex("_rule").alias("_re"), tokens("_rule").alias("_ts"))
-    pages = pages.withColumn("_low", lowered(F.coalesce(F.col(url), F.lit(""))))
-    urls = pages.select("_low").distinct()
-    words = urls.select("_low", F.explode(url_tokens(F.col("_low"))).alias("_t"))
-    asked = parsed.select("_rule", F.explode("_ts").alias("_t"))
-    counts = words.join(asked.select("_t").distinct(), "_t", "left_semi").groupBy("_t").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = asked.join(counts, "_t", "left").groupBy("_rule").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_t").alias("t"))).alias("_at"))
-    fetched = words.join(parsed.join(rarest.select("_rule", F.col("_at.t").alias("_t")), "_rule"), "_t").select("_low", "_rule", "_allow", "_re")
-    always = urls.crossJoin(parsed.where(F.size("_ts") == 0)).select("_low", "_rule", "_allow", "_re")
-    ran = fetched.unionByName(always).withColumn("_fits", F.call_function("rlike", F.col("_low"), F.col("_re")))
-    judged = ran.groupBy("_low").agg(
-        F.count(F.lit(1)).cast("int").alias("_tried"), F.array_sort(F.collect_list(F.when(F.col("_fits"), F.col("_rule")))).alias("_matched"),
-        (F.max(F.col("_fits") & ~F.col("_allow")) & ~F.max(F.col("_fits") & F.col("_allow"))).alias("_block"))
-    return pages.join(judged, "_low", "left").withColumns({
-        tried: F.coalesce("_tried", F.lit(0)), matched: F.coalesce("_matched", F.array().cast("array<string>")),
-        verdict: F.when(F.col("_block"), F.lit("block")).otherwise(F.lit("allow")),
-    }).drop("_low", "_tried", "_matched", "_block")
+    parsed = own.select("rule", F.col("rule").startswith("@@").alias("allow"), regex("rule").alias("re"), tokens("rule").alias("ts"))
+
+    def work(df: DataFrame) -> DataFrame:
+        urls = df.select("low").distinct()
+        words = urls.select("low", F.explode(url_tokens(F.col("low"))).alias("t"))
+        asked = parsed.select("rule", F.explode("ts").alias("t"))
+        counts = words.join(asked.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+        rarest = asked.join(counts, "t", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "t")).alias("at"))
+        fetched = words.join(parsed.join(rarest.select("rule", F.col("at.t").alias("t")), "rule"), "t").select("low", "rule", "allow", "re")
+        always = urls.crossJoin(parsed.where(F.size("ts") == 0)).select("low", "rule", "allow", "re")  # both sides distinct; such rules have to run on every url
+        ran = fetched.unionByName(always).withColumn("fits", F.call_function("rlike", F.col("low"), F.col("re")))
+        judged = ran.groupBy("low").agg(
+            F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(F.when(F.col("fits"), F.col("rule")))).alias("hit"),
+            (F.max(F.col("fits") & ~F.col("allow")) & ~F.max(F.col("fits") & F.col("allow"))).alias("block"))
+        return df.join(judged, "low", "left").withColumns({
+            "tried": F.coalesce("n", F.lit(0)), "matched": F.coalesce("hit", F.array().cast("array<string>")),
+            "verdict": F.when(F.col("block"), F.lit("block")).otherwise(F.lit("allow")),
+        })
+
+    return beside(pages, {"low": lowered(F.coalesce(F.col(f"`{url}`"), F.lit("")))}, work, {tried: "tried", matched: "matched", verdict: "verdict"})
 
 
 def base_rule_sql(rules: Sequence[tuple[str, str]] = BASE_RULES) -> tuple[str, str]:
