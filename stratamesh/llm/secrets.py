@@ -6,14 +6,15 @@ Everything on the way from texts to spans is a column expression: no Python runs
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamesh.llm._io import text_of
+from stratamesh.llm._io import beside, text_of
 
 #: Fixed values: (kind, pattern over the whole text, group and least length its match must have).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,6 +22,10 @@ ASSIGN_LEAST = 6
 #: A run is one match of `x+`, so asking for its least length at once finds the same runs as dropping short ones.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
+#: Share of ordinary samples that the bounds may call random.
+FALSE_RATE = 0.002
+#: Share of random samples that they may miss, where that can be had with it.
+MISS_RATE = 0.01
 KINDS = ("assign", "access", "hex", "markov")
 #: Candidate strings of the models.
 TOKEN = r"[A-Za-z0-9+/_=-]{16,}"
@@ -45,15 +50,20 @@ class MarkovRatio:
     ratio: tuple[float, ...]
     #: A token counts as random if its ratio is over this.
     bound: float = 0.0
-    #: The same for a token without a digit: most of those are words, so more has to speak for random.
-    letters: float = 4.0
+    #: The same for a token without a digit, most of which are words.
+    letters: float = 0.0
 
 
-def random_samples(n: int = 4_000, seed: int = 11) -> list[str]:
-    """Labelled random strings: hex of either case, base 32, base 36, base 62 and base 64, of 16 to 64 characters."""
+LOWER, CAPITALS, DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+#: What random strings are made of: hex of either case, base 32, base 36, base 62 and base 64.
+KEYS = (DIGITS + "abcdef", DIGITS + "ABCDEF", CAPITALS + "234567", LOWER + DIGITS, LOWER + CAPITALS + DIGITS, LOWER + CAPITALS + DIGITS + "+/", LOWER + CAPITALS + DIGITS + "-_")
+#: The same for strings of letters alone.
+LETTERS = (LOWER, CAPITALS, LOWER + CAPITALS)
+
+
+def random_samples(n: int = 4_000, seed: int = 11, kinds: Sequence[str] = KEYS) -> list[str]:
+    """Labelled random strings of each of the kinds in turn, of 16 to 64 characters."""
     rng = random.Random(seed)
-    lower, upper, digits = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
-    kinds = ("0123456789abcdef", "0123456789ABCDEF", upper + "234567", lower + digits, lower + upper + digits, lower + upper + digits + "+/", lower + upper + digits + "-_")
     return ["".join(rng.choice(kinds[i % len(kinds)]) for _ in range(rng.randint(16, 64))) for i in range(n)]
 
 
@@ -95,22 +105,66 @@ def letter_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
     return {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
-def fit(docs: DataFrame, text: str = "text") -> MarkovRatio:
+def _chained(pairs: np.ndarray, n: int, seed: int = 13) -> list[str]:
+    """n words of 16 to 32 letters that follow each other as often as the counts say: long words like a corpus's."""
+    rng, out = np.random.default_rng(seed), []
+    letters = pairs[:52, :52]
+    if not letters.sum():
+        return []
+    after, first = np.cumsum(letters + 1e-9, 1), np.cumsum(letters.sum(1))
+    for _ in range(n):
+        own = [int(np.searchsorted(first, rng.random() * first[-1]))]
+        while len(own) < 16 or (len(own) < 32 and rng.random() > 0.2):
+            row = after[own[-1]]
+            own.append(int(np.searchsorted(row, rng.random() * row[-1])))
+        out.append("".join(ALPHABET[i] for i in own))
+    return out
+
+
+def ratio_of(token: str, model: MarkovRatio) -> float:
+    """log_ratio() off Spark."""
+    n = len(ALPHABET) + 1
+    at = {c: i for i, c in enumerate(ALPHABET)}
+    ids = [at.get(c, n - 1) for c in token]
+    return model.start[ids[0]] + sum(model.ratio[a * n + b] for a, b in zip(ids, ids[1:], strict=False))
+
+
+def _squeezed(token: str) -> str:
+    return re.sub(r"([+/_=-])[+/_=-]+", r"\1", token.strip("+/_=-"))
+
+
+def fit(docs: DataFrame, text: str = "text", false_rate: float = FALSE_RATE) -> MarkovRatio:
     """The models: random strings made by rule against identifiers made by rule and words of all documents.
 
-    Documents give letter_pairs() alone, so no secret of the corpus is learned as ordinary.
+    Three quarters of the labelled samples are counted. The bounds are fitted on the last quarter: each lies
+    midway between what `false_rate` of the ordinary ones exceed and what MISS_RATE of the random ones don't, or at the former if that
+    is higher. Strings without a digit have a bound of their own, where the ordinary ones are joined by words chained from
+    the documents' own letter pairs. Documents give letter_pairs() alone, so no secret of the corpus is learned as ordinary.
     """
     n = len(ALPHABET) + 1
     found = letter_pairs(docs, text)
-    rand_first, rand = _counts(random_samples())
-    word_first, ordinary = _counts(ordinary_samples())
-    weight = ordinary.sum() / max(sum(found.values()), 1)  # the corpus weighs as much as the identifiers
+    rand, plain = random_samples(), ordinary_samples()
+    learned = lambda x: [s for i, s in enumerate(x) if i % 4 != 3]
+    rand_first, rand_pairs = _counts(learned(rand))
+    word_first, ordinary = _counts(learned(plain))
+    corpus = np.zeros((n, n))
     for p, k in found.items():
-        ordinary[ALPHABET.index(p[0]), ALPHABET.index(p[1])] += k * weight
+        corpus[ALPHABET.index(p[0]), ALPHABET.index(p[1])] = k
+    ordinary = ordinary + corpus * (ordinary.sum() / max(corpus.sum(), 1))  # the corpus weighs as much as the identifiers
     smooth = lambda x: (x + 0.5) / (x + 0.5).sum(-1, keepdims=True)
-    ratio = np.log(smooth(rand)) - np.log(smooth(ordinary))
+    ratio = np.log(smooth(rand_pairs)) - np.log(smooth(ordinary))
     start = np.log(smooth(rand_first)) - np.log(smooth(word_first))
-    return MarkovRatio(tuple(map(float, start.round(6))), tuple(map(float, ratio.ravel().round(6))))
+    model = MarkovRatio(tuple(map(float, start.round(6))), tuple(map(float, ratio.ravel().round(6))))
+    held = [s for s in plain[3::4] if len(s) >= 16]
+    digit = [s for s in held if any(c in DIGITS for c in s)]
+    words = [_squeezed(s) for s in held if s not in digit] + _chained(corpus, 2_000)
+    scores = lambda own: [ratio_of(s, model) for s in own] or [0.0]
+
+    def between(ordinary: list[str], random_ones: list[str]) -> float:
+        low, high = np.quantile(scores(ordinary), 1 - false_rate), np.quantile(scores(random_ones), MISS_RATE)
+        return round(float(max(low, (low + high) / 2)), 6)
+
+    return replace(model, bound=between(digit, rand[3::4]), letters=between(words, random_samples(1_000, 14, LETTERS)))
 
 
 def _numbers(values: Sequence[float]) -> Column:
@@ -155,25 +209,30 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", out: str = "se
     """Adds `out`: the text's secret spans as an array of (start, kind, end, hit), by start, then kind as in KINDS.
 
     Kinds assign, access and hex are the fixed patterns' leftmost non-overlapping matches; kind markov are strings of
-    TOKEN that hold a letter or digit, don't overlap one of the fixed patterns' spans, aren't digits alone, and whose
-    log-likelihood ratio is over the model's bound (`letters` for those without a digit). Places are code points, ends exclusive. Null and empty texts
-    have no spans; repeated rows have equal ones; a column of the name `out` is replaced. One pass, no shuffle, no Python.
+    TOKEN that hold a letter, or a digit and something else, whose log-likelihood ratio is over the model's bound (`letters` for those without a digit).
+    They may overlap spans of the fixed patterns (the value of an assignment), but one equal to such a span isn't named again.
+    Places are code points, ends exclusive. Null and empty texts have no spans; repeated rows have equal ones; a column of
+    the name `out` is replaced, all others stay, whatever their names. One pass, no shuffle, no Python.
     """
-    t = text_of(text)
-    df = docs.withColumns({
-        "_assign": _spans(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= ASSIGN_LEAST),
-        "_access": _spans(t, ACCESS, 1, lambda h: F.lit(True)),
-        "_hex": _spans(t, HEX, 2, lambda h: F.lit(True)),
-        "_token": _spans(t, TOKEN, 3, lambda h: h.rlike("[A-Za-z]") | (h.rlike("[0-9]") & h.rlike("[^0-9]"))),
-    })
-    df = df.withColumn("_base", F.concat("_assign", "_access", "_hex"))
-    free = lambda s: ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     # ruled lines around words aren't random: without a digit, runs of +/_=- count once, and not at all at the ends
     core = lambda h: F.regexp_replace(F.regexp_replace(h, "^[+/_=-]+|[+/_=-]+$", ""), "([+/_=-])[+/_=-]+", "$1")
     digit = lambda h: h.rlike("[0-9]")
     over = lambda h: log_ratio(F.when(digit(h), h).otherwise(core(h)), model) > F.when(digit(h), F.lit(model.bound)).otherwise(F.lit(model.letters))
-    more = F.filter("_token", lambda s: free(s) & over(s["hit"]))
-    return df.withColumn(out, F.array_sort(F.concat("_base", more))).drop("_assign", "_access", "_hex", "_token", "_base")
+
+    def work(df: DataFrame) -> DataFrame:
+        t = F.col("t")
+        df = df.withColumns({
+            "assign": _spans(t, ASSIGN, 0, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= ASSIGN_LEAST),
+            "access": _spans(t, ACCESS, 1, lambda h: F.lit(True)),
+            "hex": _spans(t, HEX, 2, lambda h: F.lit(True)),
+            "token": _spans(t, TOKEN, 3, lambda h: h.rlike("[A-Za-z]") | (h.rlike("[0-9]") & h.rlike("[^0-9]"))),
+        })
+        df = df.withColumn("base", F.concat("assign", "access", "hex"))
+        named = lambda s: F.exists("base", lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"]))
+        more = F.filter("token", lambda s: ~named(s) & over(s["hit"]))
+        return df.withColumn("found", F.array_sort(F.concat("base", more)))
+
+    return beside(docs, {"t": text_of(text)}, work, {out: "found"})
 
 
 def redacted(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
