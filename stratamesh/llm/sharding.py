@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratamesh.llm._io import beside
+
 #: Sub-shards in which slots are numbered: no task ever numbers a whole shard. A constant, so that slots depend on nothing but the rows.
 SUBSHARD_DIGITS = 3
 
@@ -28,7 +30,7 @@ def rendezvous(df: DataFrame, key: str, shards: int, weights: Sequence[float] |
     """Adds `out`, the shard that bids most for the row's key; `grown`, if named, is the same with one more shard of the last weight.
 
     A shard's bid depends on the key and that shard alone, so one more shard only takes rows into itself, and a
-    changed weight moves only rows from or to that shard. Weights: positive, one a shard (none: all equal).
+    changed weight moves only rows from or to that shard. Weights: positive, one a shard; none: all equal, without the arithmetic.
     A null key is a key of its own; equal keys share a shard; ties go to the smaller shard number.
     No shuffle. An existing column of the name `out` or `grown` is replaced; other columns stay.
     """
@@ -36,16 +38,15 @@ def rendezvous(df: DataFrame, key: str, shards: int, weights: Sequence[float] |
         raise ValueError("shards must be at least 1")
     if weights is not None and (len(weights) != shards or min(weights) <= 0):
         raise ValueError("weights: one positive number for each shard")
-    if weights is not None and len(set(weights)) == 1:
-        weights = None
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    best = F.greatest(*(_bid(name, i, weights[i] if weights else None) for i in range(shards))) if shards > 1 else _bid(name, 0, weights[0] if weights else None)
-    df = df.withColumn("_best", best)
-    cols = {out: -F.col("_best.neg")}
-    if grown:
-        more = _bid(name, shards, weights[-1] if weights else None)
-        cols[grown] = F.when(more["bid"] > F.col("_best.bid"), F.lit(shards)).otherwise(-F.col("_best.neg"))
-    return df.withColumns(cols).drop("_best")
+    own = list(weights) if weights else [None] * shards
+
+    def work(df: DataFrame) -> DataFrame:
+        bids = [_bid(F.col("name"), i, w) for i, w in enumerate([*own, own[-1]])]
+        df = df.withColumn("best", F.greatest(*bids[:-1]) if shards > 1 else bids[0])
+        df = df.withColumn("shard", -F.col("best.neg"))
+        return df.withColumn("grown", F.when(bids[-1]["bid"] > F.col("best.bid"), F.lit(shards)).otherwise(F.col("shard")))
+
+    return beside(df, {"name": F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null"))}, work, {out: "shard"} | ({grown: "grown"} if grown else {}))
 
 
 def with_slots(df: DataFrame, key: str, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
@@ -53,17 +54,20 @@ def with_slots(df: DataFrame, key: str, shard: str, order: Sequence[str], out: s
 
     Shards fall into 16**SUBSHARD_DIGITS sub-shards by a hash of the key and the `order` columns. Sub-shards are
     counted (one row each, whatever the input's size), and rows are numbered inside theirs from where it begins.
-    `order` must tell rows apart up to full equality; equal rows get neighbouring places in any order.
-    The counted table has at most shards * 4096 rows, which bounds the broadcast.
+    `order` must tell rows apart up to full equality; shards must not be null; equal rows get neighbouring places in any order.
+    The counted table has at most shards * 4096 rows, which bounds the broadcast. A column named `out` is replaced, all others stay.
     """
-    name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    # where keys are null, the rest of the row spreads the rows
-    spread = F.when(F.col(key).isNull(), F.concat_ws("|", *(F.col(c).cast("string") for c in order))).otherwise(name)
-    df = df.withColumn("_sub", F.substring(F.md5(spread), 1, SUBSHARD_DIGITS))
-    counts = df.groupBy(shard, "_sub").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(F.col(shard).alias("_s"), F.col("_sub").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    place = F.row_number().over(Window.partitionBy(shard, "_sub").orderBy(*order))
-    numbered = df.withColumn("_row", place)
-    joined = numbered.join(F.broadcast(starts), (F.col(shard) == F.col("_s")) & (F.col("_sub") == F.col("_b")))
-    return joined.withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_s", "_b", "_sub", "_start", "_row")
+    keys = {f"o{i}": F.col(f"`{c}`") for i, c in enumerate(order)}
+
+    def work(df: DataFrame) -> DataFrame:
+        # where keys are null, the rest of the row spreads the rows
+        spread = F.coalesce(F.col("name"), F.concat_ws("|", *(F.col(k).cast("string") for k in keys)))
+        df = df.withColumn("sub", F.substring(F.md5(spread), 1, SUBSHARD_DIGITS))
+        counts = df.groupBy("shard", "sub").agg(F.count(F.lit(1)).alias("n"))
+        before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select(F.col("shard").alias("s"), F.col("sub").alias("b"), "n").select("s", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+        place = F.row_number().over(Window.partitionBy("shard", "sub").orderBy(*keys))
+        placed = df.withColumn("place", place).join(F.broadcast(starts), (F.col("shard") == F.col("s")) & (F.col("sub") == F.col("b")))
+        return placed.withColumn("slot", (F.col("start") + F.col("place") - 1).cast("long"))
+
+    return beside(df, {"name": F.col(f"`{key}`").cast("string"), "shard": F.col(f"`{shard}`")} | keys, work, {out: "slot"})
