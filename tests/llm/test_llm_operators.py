@@ -70,6 +70,37 @@ def test_order_minhash_likeness():
         assert len(k) == 16 - w and len(set(k.tolist())) == min(3, 16 - w)
 
 
+def naive_fingerprint(text: str) -> str:
+    """Order MinHash in plain integers: every k-mer with its number among its equals, the least two of each order, in text order."""
+    m64 = (1 << 64) - 1
+
+    def mix(h: int) -> int:
+        h = (h ^ h >> 32) * 0x9FB21C651E98DF25 & m64
+        return h ^ h >> 29
+
+    w, seen, items = min(order_minhash.WIDTH, len(text)), {}, []
+    for i in range(len(text) - w + 1):
+        h = 0
+        for c in text[i : i + w]:
+            h = (h * order_minhash._BASE + ord(c) + 1) & m64
+        h = mix(h) & ~((1 << order_minhash._AT) - 1)
+        seen[h] = seen.get(h, -1) + 1
+        items.append((mix(h | seen[h]), h, i))
+    out = b""
+    for j, (a, b) in enumerate(zip(order_minhash._A.tolist(), order_minhash._B.tolist(), strict=True)):
+        least = sorted(items, key=lambda x: ((a * (x[0] >> 32) + b) % (1 << 32), x[1], x[2]))[: order_minhash.TUPLE]
+        v = len(least)
+        for item, _, _ in sorted(least, key=lambda x: x[2]):
+            v = mix((v ^ item) * 0x9E3779B97F4A7C15 + j & m64)
+        out += (v >> 48 | 1).to_bytes(2, "big")
+    return out.hex()
+
+
+@pytest.mark.parametrize("text", ["a", "abcdefg", "abcdefgh", "abcdefghi", "ab" * 300, "The quick brown fox jumps over the lazy dog; " * 5, "".join(map(chr, range(33, 900))), "ß😀" * 40])
+def test_order_minhash_equals_brute_force(text):
+    assert order_minhash.fingerprint(order_minhash.sketch(text)) == naive_fingerprint(text)
+
+
 def test_order_minhash_of_very_long_texts():
     rng = np.random.default_rng(14)
     for h in (rng.integers(0, 1 << 63, 4000, dtype=np.uint64), order_minhash._mixed(rng.integers(0, 50, 4000, dtype=np.uint64))):
