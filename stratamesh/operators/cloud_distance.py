@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -28,12 +28,12 @@ def distances_within(source: DataFrame, target: DataFrame, reach: float | None)
     return got.select("source_id", F.coalesce("target_id", F.lit(-1)).alias("target_id"), F.coalesce("distance", F.lit(float("inf"))).alias("distance"))
 
 
-def moments(pairs: DataFrame) -> DataFrame:
-    """(source_id, sx, sy, sz, MOMENTS): counts, means and centred second moments of every source's targets, relative to the source."""
+def moments(pairs: DataFrame, *more: Column) -> DataFrame:
+    """(source_id, sx, sy, sz, MOMENTS): counts, means and centred second moments of every source's targets, relative to the source; and `more` aggregates."""
     rel = {"rx": F.col("tx") - F.col("sx"), "ry": F.col("ty") - F.col("sy"), "rz": F.col("tz") - F.col("sz")}
     g = pairs.withColumns(rel).groupBy("source_id", "sx", "sy", "sz").agg(
         F.count(F.lit(1)).alias("n"), *(F.avg(f"r{c}").alias(f"m{c}") for c in "xyz"),
-        *(F.covar_pop(f"r{a}", f"r{b}").alias(f"{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")))
+        *(F.covar_pop(f"r{a}", f"r{b}").alias(f"{a}{b}") for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")), *more)
     return g
 
 
@@ -55,16 +55,17 @@ def unit_normals(rows: DataFrame) -> DataFrame:
 def vertical_distances(source: DataFrame, target: DataFrame, radius: float | None = None, k: int = 20, least: int = 6) -> DataFrame:
     """(source_id, target_id, distance) of every source: its height over the plane fitted to its targets within radius, or to its k nearest.
 
-    Null with fewer than `least` targets or an upright plane; target_id is the nearest target of those used.
+    Null, and target_id -1, with fewer than `least` targets or an upright plane; else target_id is the nearest target of those used. Moments and the
+    nearest target come from one aggregation of the pairs.
     """
     s = source.select("point_id", "x", "y", "z")
     if radius:
         pairs = near_pairs(sources(s), targets(target), radius)
     else:
         pairs = knn(s, target, k).join(sources(s), "source_id").withColumn("d2", F.col("distance") * F.col("distance"))
-    fitted = unit_normals(moments(pairs).where(F.col("n") >= least)).where(F.abs("nz") >= 1e-9)
-    near = pairs.groupBy("source_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("source_id", F.col("m.target_id").alias("target_id"))
+    least_far = F.min(F.struct("d2", "target_id")).alias("near")
+    fitted = unit_normals(moments(pairs, least_far).withColumn("target_id", F.col("near.target_id")).drop("near").where(F.col("n") >= least)).where(F.abs("nz") >= 1e-9)
     # the plane's height at the source, which is the origin
     plane = F.col("mz") + (F.col("nx") * F.col("mx") + F.col("ny") * F.col("my")) / F.col("nz")
-    got = fitted.select("source_id", (-plane).alias("distance")).join(near, "source_id")
+    got = fitted.select("source_id", "target_id", (-plane).alias("distance"))
     return s.select(F.col("point_id").alias("source_id")).join(got, "source_id", "left").select("source_id", F.coalesce("target_id", F.lit(-1)).alias("target_id"), "distance")

@@ -1,5 +1,6 @@
-"""Neighbour joins as equi-joins on a spatial bucket.
+"""Neighbour joins: against an index sent to the executors, if one side is small, else as equi-joins on a spatial bucket.
 
+A side of at most point_index.MOST points is broadcast as a grid index; the other is read once, without a shuffle. Two large clouds meet in buckets.
 Points of one side get the bucket they lie in, points of the other all buckets in reach (3 x 3 of them); the join is an
 equi-join on the bucket, which shuffles, spills and splits skewed buckets like any other, and an exact test follows.
 """
@@ -7,12 +8,19 @@ equi-join on the bucket, which shuffles, spills and splits skewed buckets like a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import squared_distance
-from stratamesh.staging import staged
+from stratamesh.operators.point_index import PointIndex, index_of, matches, queries_of
+from stratamesh.staging import staged, unstage
+
+#: Sources that are sent to the targets at most, once they are all that is left of a search.
+LONELY = 2_000
 
 XYZ_S, XYZ_T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
 
@@ -47,10 +55,16 @@ def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False) ->
 def nearest_within(source: DataFrame, target: DataFrame, reach: float, keep_all: bool = False) -> DataFrame:
     """(source_id, target_id, distance): the nearest target up to reach; ties to the least id. keep_all: sources without one too, with nulls.
 
-    Each task keeps the best of what it has seen of a source before anything is sent.
+    A small target is broadcast. In a join by bucket each task keeps the best of what it has seen of a source before anything is sent.
     """
-    pairs = near_pairs(sources(source), targets(target), reach)
-    best = pairs.groupBy("source_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("source_id", F.col("m.target_id").alias("target_id"), F.sqrt("m.d2").alias("distance"))
+    if not (reach > 0 and math.isfinite(reach)):
+        raise ValueError("the reach must be positive and finite")
+    index = index_of(target)
+    if index:
+        best = matches(source, index, 1, reach).select("source_id", "target_id", F.sqrt("d2").alias("distance"))
+    else:
+        pairs = near_pairs(sources(source), targets(target), reach)
+        best = pairs.groupBy("source_id").agg(F.min(F.struct("d2", "target_id")).alias("m")).select("source_id", F.col("m.target_id").alias("target_id"), F.sqrt("m.d2").alias("distance"))
     if not keep_all:
         return best
     return source.select(F.col("point_id").alias("source_id")).join(best, "source_id", "left")
@@ -72,11 +86,14 @@ def _scales(source: DataFrame, target: DataFrame, k: int) -> tuple[float, float]
 def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None, extent: float | None = None, most: int = 40) -> DataFrame:
     """(source_id, target_id, distance, rank, tx, ty, tz): the k nearest targets of every source, all of them if there are fewer.
 
-    Starts with a reach of `start` (none: what the targets' density asks for) and triples it for sources that don't have k within reach; `extent` is the largest
+    A target of few points is broadcast as an index. Else the search starts with a reach of `start` (none: what the targets' density asks for) and triples it for sources that don't have k within reach; `extent` is the largest
     distance that can occur, beyond which nothing is missed. A source that is a target is its own neighbour.
     """
     if k < 1:
         raise ValueError("k must be 1 at least")
+    index = index_of(target)
+    if index:
+        return matches(source, index, k).select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz")
     if start is None or extent is None:
         own = _scales(source, target, k)
         start, extent = start or own[0], extent or own[1]
@@ -84,12 +101,17 @@ def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None
     order = Window.partitionBy("source_id").orderBy("d2", "target_id")
     out, left, reach = None, staged(s, "sources"), start
     for _ in range(most):
+        few = index_of(left.select("source_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z")), "source_id", LONELY)
+        if few and reach > start:  # the last ones see the whole target once, instead of ever larger buckets
+            got = _nearest_to_few(few, t, k)
+            return got if out is None else out.unionByName(got)
         last = reach >= extent
         got = near_pairs(left, t, reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         got = staged(got.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz"), "near")
         if not last:  # a source with k neighbours in reach is done
             sure = got.where(F.col("rank") == k).select("source_id")
-            left = staged(left.join(sure, "source_id", "left_anti"), "sources")
+            before, left = left, staged(left.join(sure, "source_id", "left_anti"), "sources")
+            unstage(before)
             got = got.join(sure, "source_id", "left_semi")
         out = got if out is None else out.unionByName(got)
         if last or left.limit(1).count() == 0:
@@ -98,6 +120,33 @@ def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None
     raise RuntimeError("the reach never came to the extent")
 
 
+def _nearest_to_few(few: PointIndex, target: DataFrame, k: int) -> DataFrame:
+    """knn() of the index's points: one pass over targets, each task keeping k for each of them, then the k best of those.
+
+    Tasks don't compare all with all: a batch of targets is dealt over the cells of an index of its own.
+    """
+    held = target.sparkSession.sparkContext.broadcast((few.ids, few.xyz))
+    names = ["source_id", "d2", "target_id", "tx", "ty", "tz"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, xyz = held.value
+        best = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros((0, 3)))
+        for b in batches:
+            own = PointIndex(b.column(0).to_numpy(), queries_of(b))
+            query, _, point, d2 = own.nearest(xyz, k)
+            q, d, t, at = (np.concatenate(x) for x in zip(best, (query, d2, own.ids[point], own.xyz[point]), strict=True))
+            by = np.lexsort((t, d, q))
+            by = by[np.arange(len(by)) - np.searchsorted(q[by], q[by]) < k]
+            best = q[by], d[by], t[by], at[by]
+        q, d, t, at = best
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(d), pa.array(t), *(pa.array(at[:, i]) for i in range(3))], names)
+
+    order = Window.partitionBy("source_id").orderBy("d2", "target_id")
+    offered = target.where("tx IS NOT NULL AND ty IS NOT NULL AND tz IS NOT NULL").mapInArrow(run, "source_id long, d2 double, target_id long, tx double, ty double, tz double")
+    ranked = offered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz")
+
+
 def counts_within(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """(source_id, n) of sources that have a target within reach."""
     return near_pairs(sources(source), targets(target), reach).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,21 @@ EXTENT, INNER = Bounds(0.0, 0.0, 1100.0, 1000.0), Bounds(200.0, 150.0, 820.0, 77
 TRIANGLE = ClipArea.of([[(50, 40), (990, 120), (480, 930)]])
 HOLED = ClipArea.of([[(100, 100), (900, 100), (900, 900), (100, 900)], [(300, 300), (700, 300), (700, 700), (300, 700)]], [[(930, 40), (1000, 40), (1000, 200)]])
 TURN = [[0.9998, -0.0175, 0.0087, 1.5], [0.0174, 0.9998, 0.0052, -0.7], [-0.0088, -0.0051, 0.9999, 0.3], [0.0, 0.0, 0.0, 1.0]]
+
+
+def _turned(about_x: float, about_y: float, about_z: float, shift: tuple[float, float, float]) -> list[list[float]]:
+    """A rigid move by angles in degrees, to the last digit, so that its inverse is known."""
+    c, s = ([f(math.radians(a)) for a in (about_x, about_y, about_z)] for f in (math.cos, math.sin))
+    rx = np.array([[1, 0, 0], [0, c[0], -s[0]], [0, s[0], c[0]]])
+    ry = np.array([[c[1], 0, s[1]], [0, 1, 0], [-s[1], 0, c[1]]])
+    rz = np.array([[c[2], -s[2], 0], [s[2], c[2], 0], [0, 0, 1]])
+    m = np.eye(4)
+    m[:3, :3], m[:3, 3] = rz @ ry @ rx, shift
+    return m.tolist()
+
+
+RIGID = _turned(-0.3, 0.5, 1.0, (1.5, -0.7, 0.3))
+SHIFT = [[1, 0, 0, 50], [0, 1, 0, -30], [0, 0, 1, 0], [0, 0, 0, 1]]
 FRAME = LocalFrame(466.25, 50.5, 10.0, "min_bounds")
 PARAMS = cylinder.CylinderParams(2.0, 2.0, 2.0)
 
@@ -308,16 +325,47 @@ def _(pts):
     return m.select("source_id", "n", *(F.round(F.col(c) + _NUDGE, 6).alias(c) for c in ("mx", "my", "mz")), *(F.round(F.col(c) + _NUDGE, 5).alias(c) for c in ("xx", "xy", "xz", "yy", "yz", "zz")))
 
 
-@register("vertical_plane_radius")
+_IJ = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def _normal_sql(rows: str, keep: str, steps: int = 24) -> str:
+    """rows (with their second moments xx to zz and the columns `keep`) and the upward direction nx, ny, nz of least spread.
+
+    The adjugate of the moments has that direction as its leading one; squared again and again, it comes to one of its columns' direction.
+    """
+    scale = lambda e: {k: f"(({v}) / t)" for k, v in e.items()}
+    adj = {"xx": "yy * zz - yz * yz", "xy": "xz * yz - xy * zz", "xz": "xy * yz - xz * yy", "yy": "xx * zz - xz * xz", "yz": "xy * xz - xx * yz", "zz": "xx * yy - xy * xy"}
+    square = {"xx": "xx * xx + xy * xy + xz * xz", "xy": "xx * xy + xy * yy + xz * yz", "xz": "xx * xz + xy * yz + xz * zz", "yy": "xy * xy + yy * yy + yz * yz", "yz": "xy * xz + yy * yz + yz * zz", "zz": "xz * xz + yz * yz + zz * zz"}
+    sql = f"SELECT {keep}, {', '.join(_IJ)}, xx + yy + zz AS t FROM ({rows})"
+    for e in (dict(zip(_IJ, _IJ, strict=True)), adj, *[square] * steps):
+        own = f"SELECT {keep}, {', '.join(f'{v} AS {k}' for k, v in scale(e).items())} FROM ({sql})"
+        sql = f"SELECT *, xx + yy + zz AS t FROM ({own})"
+    big = "CASE WHEN xx >= yy AND xx >= zz THEN {} WHEN yy >= zz THEN {} ELSE {} END"
+    v = f"SELECT {keep}, {big.format('xx', 'xy', 'xz')} AS vx, {big.format('xy', 'yy', 'yz')} AS vy, {big.format('xz', 'yz', 'zz')} AS vz FROM ({sql})"
+    length = "sqrt(vx * vx + vy * vy + vz * vz) * CASE WHEN vz < 0 THEN -1 ELSE 1 END"
+    return f"SELECT {keep}, vx / ({length}) AS nx, vy / ({length}) AS ny, vz / ({length}) AS nz FROM ({v})"
+
+
+def _plane_sql(pairs: str) -> str:
+    """Heights over the planes of pairs (sid, sx .. tz, tid, d2), as vertical_distances() has them."""
+    rel = ", ".join(f"avg(t{c} - s{c}) AS m{c}" for c in "xyz")
+    cov = ", ".join(f"covar_pop(t{a} - s{a}, t{b} - s{b}) AS {a}{b}" for a, b in _IJ)
+    m = f"SELECT sid, arg_min(tid, {{'d': d2, 'i': tid}}) AS tid, {rel}, {cov} FROM ({pairs}) GROUP BY sid HAVING count(*) >= 6"
+    n = _normal_sql(m, "sid, tid, mx, my, mz")
+    return f"""SELECT s.sid AS source_id, coalesce(p.tid, -1) AS target_id, round(-(mz + (nx * mx + ny * my) / nz), 4) AS distance
+FROM (SELECT point_id AS sid FROM pts WHERE epoch = 't2' AND classification = 2) s LEFT JOIN (SELECT * FROM ({n}) WHERE abs(nz) >= 1e-9) p ON s.sid = p.sid"""
+
+
+@register("vertical_plane_radius", _plane_sql(_near_sql(25.0)))
 def _(pts):
     t1, t2 = epochs(pts)
-    return r6(cloud_distance.vertical_distances(t2, t1, radius=25.0), "distance")
+    return cloud_distance.vertical_distances(t2, t1, radius=25.0).withColumn("distance", F.round("distance", 4))
 
 
-@register("vertical_plane_knn")
+@register("vertical_plane_knn", _plane_sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2, tid) AS r FROM (SELECT s.*, t.*, {_D2} AS d2 FROM {_PAIRS} ON true)) WHERE r <= 12"))
 def _(pts):
     t1, t2 = epochs(pts)
-    return r6(cloud_distance.vertical_distances(t2, t1, k=12), "distance")
+    return cloud_distance.vertical_distances(t2, t1, k=12).withColumn("distance", F.round("distance", 4))
 
 
 @register("vertical_proxy", f"""SELECT point_id AS core_id, round(b.z - a.z, 6) AS dz FROM (SELECT * FROM pts WHERE classification = 3 AND epoch = 't1') c
@@ -367,10 +415,27 @@ def _(pts):
     return got.select("n_valid", *(F.round(c, 5).alias(c) for c in ("mean", "median", "std", "rmse")))
 
 
-@register("m3c2_full", scale=10.0)
+def _cylinder_sql() -> str:
+    """Cylinders along normals of the first epoch, from the same scales as PARAMS."""
+    r, depth, reach = PARAMS.cylinder_radius, PARAMS.max_depth, PARAMS.reach
+    cores = "(SELECT point_id AS sid, x AS sx, y AS sy, z AS sz FROM pts WHERE epoch = 't1' AND classification = 2)"
+    box = lambda by: f"tx BETWEEN sx - {by!r} AND sx + {by!r} AND ty BETWEEN sy - {by!r} AND sy + {by!r}"
+    cov = ", ".join(f"covar_pop(t{a} - s{a}, t{b} - s{b}) AS {a}{b}" for a, b in _IJ)
+    scale = PARAMS.projection_scale
+    m = f"SELECT sid, sx, sy, sz, {cov} FROM {cores} c JOIN (SELECT x AS tx, y AS ty, z AS tz FROM pts WHERE epoch = 't1') t ON {box(scale)} WHERE {_D2} <= {scale**2!r} GROUP BY ALL HAVING count(*) >= 3"
+    n = _normal_sql(m, "sid, sx, sy, sz")
+    inside = f"SELECT sid, epoch, (tx - sx) * nx + (ty - sy) * ny + (tz - sz) * nz AS t, {_D2} AS d2 FROM ({n}) c JOIN (SELECT epoch, x AS tx, y AS ty, z AS tz FROM pts) q ON {box(reach)}"
+    sums = ", ".join(f"{f}(t) FILTER (epoch = 't{i}') AS {a}{i}" for i in (1, 2) for a, f in (("n", "count"), ("m", "avg"), ("v", "var_samp")))
+    got = f"SELECT sid, {sums} FROM ({inside}) WHERE abs(t) <= {depth!r} AND d2 - t * t <= {r**2!r} AND d2 <= {reach**2!r} GROUP BY 1"
+    return f"""SELECT c.sid AS core_id, CASE WHEN n1 > 0 AND n2 > 0 THEN round(m2 - m1, 5) END AS distance, CASE WHEN n1 > 1 AND n2 > 1 THEN round(1.96 * sqrt(v1 / n1 + v2 / n2), 5) END AS uncertainty, coalesce(n1, 0) AS n1, coalesce(n2, 0) AS n2
+FROM {cores} c LEFT JOIN ({got}) g ON c.sid = g.sid"""
+
+
+@register("m3c2_full", _cylinder_sql(), scale=10.0)
 def _(pts):
     t1, t2 = _all(pts)
-    return r6(cylinder.compare(filters.filter_classes(t1), t1, t2, PARAMS), "distance", "uncertainty").select("core_id", "distance", "uncertainty", "n1", "n2")
+    got = cylinder.compare(filters.filter_classes(t1), t1, t2, PARAMS)
+    return got.select("core_id", F.round("distance", 5).alias("distance"), F.round("uncertainty", 5).alias("uncertainty"), "n1", "n2")
 
 
 @register("m3c2_autotune", "SELECT n, round(r, 6) AS radius, round(greatest(0.5, 0.6 * r), 6) AS max_depth, 8 AS min_neighbors FROM (SELECT count(*) AS n, least(20.0::double, greatest(1.0::double, sqrt(16 / (pi() * count(*) / greatest(1e-6, (max(x) - min(x)) * (max(y) - min(y))))))) AS r FROM pts WHERE classification = 2)")
@@ -455,27 +520,37 @@ def _(pts):
     return pts.sparkSession.range(1).select(F.round(F.lit(rmse), 6).alias("rmse"))
 
 
-def _matrix_rows(spark: SparkSession, m, **more: float) -> DataFrame:
-    return spark.createDataFrame([(i, *map(float, r), *map(float, more.values())) for i, r in enumerate(m)], ", ".join(["row int", *(f"c{j} double" for j in range(4)), *(f"{k} double" for k in more)]))
+def _matrix_rows(spark: SparkSession, m, digits: int, **more: float) -> DataFrame:
+    rows = [(i, *(round(float(v), digits) + 0.0 for v in r), *(round(float(v), digits) + 0.0 for v in more.values())) for i, r in enumerate(m)]
+    return spark.createDataFrame(rows, ", ".join(["row int", *(f"c{j} double" for j in range(4)), *(f"{k} double" for k in more)]))
+
+
+def _matrix_sql(m, digits: int, more: str = "") -> str:
+    """The rows of a matrix; more: further columns."""
+    rows = ", ".join(f"({i}, {', '.join(f'{round(float(v), digits) + 0.0!r}::double' for v in r)})" for i, r in enumerate(m))
+    return f"SELECT CAST(r AS INT) AS row, c0, c1, c2, c3{more} FROM (VALUES {rows}) v(r, c0, c1, c2, c3)"
+
+
+_BACK = np.linalg.inv(np.array(RIGID))
 
 
-@register("icp_align")
+@register("icp_align", _matrix_sql(_BACK, 5, ", 0.0::double AS rmse"))
 def _(pts):
     t1, _ = epochs(pts)
-    got = registration.icp(apply_transform(t1, TURN), t1, reach=30.0, iterations=8)
-    return _matrix_rows(pts.sparkSession, got.matrix, rmse=got.rmse)
+    got = registration.icp(apply_transform(t1, RIGID), t1, reach=30.0, iterations=8)
+    return _matrix_rows(pts.sparkSession, got.matrix, 5, rmse=got.rmse)
 
 
-@register("coarse_pca")
+@register("coarse_pca", _matrix_sql(_BACK, 5))
 def _(pts):
     t1, _ = epochs(pts)
-    return _matrix_rows(pts.sparkSession, registration.axes_transform(apply_transform(t1, TURN), t1))
+    return _matrix_rows(pts.sparkSession, registration.axes_transform(apply_transform(t1, RIGID), t1), 5)
 
 
-@register("coarse_phase")
+@register("coarse_phase", _matrix_sql(SHIFT, 1))
 def _(pts):
     t1, _ = epochs(pts)
-    return _matrix_rows(pts.sparkSession, registration.phase_transform(t1, apply_transform(t1, [[1, 0, 0, 50], [0, 1, 0, -30], [0, 0, 1, 0], [0, 0, 0, 1]]), 5.0))
+    return _matrix_rows(pts.sparkSession, registration.phase_transform(t1, apply_transform(t1, SHIFT), 5.0), 1)
 
 
 @register("core_sample", "SELECT point_id, x, y, z FROM pts WHERE classification = 2 ORDER BY md5(point_id::varchar || ':0'), point_id LIMIT 500")

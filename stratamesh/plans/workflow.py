@@ -96,16 +96,3 @@ def save(outcome: Outcome, folder: str) -> list[str]:
             paths.append(f"{folder.rstrip('/')}/{name}")
             df.write.mode("overwrite").parquet(paths[-1])
     return paths
-
-
-def optimal_workers(memory_gb: float, cpus: int, tasks: int) -> int:
-    """How many workers of three GB fit into 70 % of memory, one processor left free, no more than tasks, one at least."""
-    return max(1, min(int(0.7 * memory_gb / 3), cpus - 1, tasks))
-
-
-def expected_speedup(workers: int, tiles: int) -> float:
-    """A rule of thumb, never under 1: 72 % of the workers that have a tile; past sixteen workers reading is the limit and the rest gets less."""
-    if workers <= 1 or tiles <= 1:
-        return 1.0
-    reading = 12.8 / workers if workers > 16 else 1.0
-    return max(1.0, 0.72 * min(workers, tiles) * reading)

@@ -1,4 +1,7 @@
-"""Hand-computed and analytic cases."""
+"""Hand-computed and analytic cases.
+
+Fixed values: the four points and cells of test_small_grids, the class list of test_classes and the squares of test_polygons are given fixtures.
+"""
 
 import math
 
@@ -7,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import IDENTITY, Bounds, compose, grid_shape
-from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, raster, registration, sampling, statistics, thinning
+from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, point_index, raster, registration, sampling, statistics, thinning
 from stratamesh.operators.clip import INLINE_EDGES, ClipArea, clip, clip_statistics
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
 
@@ -109,7 +112,9 @@ def brute(a, b):
     return np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
 
 
-def test_neighbours(spark):
+@pytest.mark.parametrize("most", [point_index.MOST, 0])
+def test_neighbours(spark, monkeypatch, most):
+    monkeypatch.setattr(point_index, "MOST", most)  # 0: no cloud is small
     rng = np.random.default_rng(5)
     a, b = rng.uniform(0, 10, (100, 3)), rng.uniform(0, 10, (130, 3))
     d = brute(a, b)
@@ -129,6 +134,26 @@ def test_neighbours(spark):
         cloud_distance.distances_within(s, t, None)
 
 
+def test_neighbours_of_lonely_sources(spark, monkeypatch):
+    monkeypatch.setattr(point_index, "MOST", 0)
+    rng = np.random.default_rng(9)
+    a = np.r_[rng.uniform(0, 10, (60, 3)), rng.uniform(900, 1000, (5, 3))]
+    b = np.r_[rng.uniform(0, 10, (300, 3)), [(500, 500, 0)] * 2]
+    want = np.sort(brute(a, b), 1)
+    for lonely in (2000, 0):
+        monkeypatch.setattr(neighbors, "LONELY", lonely)
+        got = {(r["source_id"], r["rank"]): (r["distance"], r["target_id"]) for r in neighbors.knn(cloud(spark, a), cloud(spark, b), 3).collect()}
+        assert len(got) == 195 and all(got[i, k + 1][0] == pytest.approx(want[i, k]) for i in range(65) for k in range(3))
+        assert all(got[i, 1][1] == 300 for i in range(60, 65))  # of two alike, the lesser id
+
+
+def test_point_index_edges():
+    one = point_index.PointIndex(np.array([7]), np.zeros((1, 3)))
+    query, rank, point, d2 = one.nearest(np.array([[3.0, 4.0, 0.0]]), 5)
+    assert (one.ids[point].tolist(), rank.tolist(), d2.tolist()) == ([7], [1], [25.0])
+    assert len(one.nearest(np.zeros((0, 3)), 1)[0]) == 0 and len(one.nearest(np.ones((1, 3)), 1, 0.5)[0]) == 0
+
+
 def test_vertical_plane(spark):
     rng = np.random.default_rng(6)
     xy = rng.uniform(0, 20, (400, 2))
@@ -166,7 +191,9 @@ def test_cylinders(spark):
         cylinder.autotune(cores.limit(0))
 
 
-def test_registration(spark):
+@pytest.mark.parametrize("most", [point_index.MOST, 0])
+def test_registration(spark, monkeypatch, most):
+    monkeypatch.setattr(point_index, "MOST", most)
     rng = np.random.default_rng(8)
     p = rng.normal(size=(1500, 3)) * (10, 5, 2)
     m = np.array(turned(5, (1.5, -0.7, 0.3)))
@@ -177,6 +204,10 @@ def test_registration(spark):
     assert got.rmse < 0.8 * before
     assert np.allclose(registration.centroid_transform(a, cloud(spark, p + (2.3, -1.1, 0.4)))[0][3], 2.3)
     assert registration.score(a, b, registration.axes_transform(a, b)) < 0.5 * registration.score(a, b, IDENTITY)
+    shifted = registration.phase_transform(a, cloud(spark, p + (7.0, -4.0, 0)), 0.5)
+    assert abs(shifted[0][3] - 7) < 0.5 and abs(shifted[1][3] + 4) < 0.5 and shifted[2][3] == 0
+    with pytest.raises(ValueError):
+        registration.phase_transform(a, b, 0.0)
     assert registration.coarse(a, b, "none") == IDENTITY and registration.coarse(a.limit(0), b, "pca") == IDENTITY
     empty = registration.icp(a.limit(0), b)
     assert empty.rmse == math.inf and empty.matrix == IDENTITY
