@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,14 +218,53 @@ def test_token_pieces_and_pack(spark):
     assert packing.pack(packing.token_pieces(empty(spark), WORDS)).count() == 0
 
 
+def test_word_tokens_in_little_memory():
+    from tokenizers import Tokenizer
+
+    from stratamesh.llm.word_tokens import WordTokens
+
+    t, rng = Tokenizer.from_file(WORDS), random.Random(21)
+    pool = ["".join(rng.choice("abcdefghijéüñÅ,.!'19&") for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    small, large = WordTokens(WORDS, 3000), WordTokens(WORDS)
+    for i in range(12):
+        texts = ["", "   \n ", *(" ".join(rng.choice(pool) for _ in range(rng.randint(1, 200))) for _ in range(20)), "İ\u0301 no plain <|endoftext|>", "x" * 5000]
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+        assert small.encode(texts) == want and large.encode(texts) == want
+        assert pc.binary_length(small.words).to_numpy().sum() <= 3000
+    assert small.encode([]) == []
+
+
 def test_pack_extra_columns(spark):
     df = spark.createDataFrame([(1, 0, 0, 5, 9, "a", 3), (1, 0, 0, 5, 9, "a", 3)], "doc_id long, piece int, start long, length long, ids_crc32 long, source string, offset int")
     got = packing.pack(df, capacity=packing.Capacity(10)).collect()
     assert [r["source"] for r in got] == ["a", "a"] and sorted(r["offset"] for r in got) == [0, 5]
+    odd = packing.pack(df.withColumns({"_note": F.lit("n"), "size": F.lit(1), "rank": F.lit(2), "c0": F.lit(3), "sub": F.lit(4)}), capacity=packing.Capacity(10)).first()
+    assert (odd["_note"], odd["size"], odd["rank"], odd["c0"], odd["sub"]) == ("n", 1, 2, 3, 4)
     with pytest.raises(ValueError):
         packing.pack(df.withColumn("length", F.lit(0).cast("long")))
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_plan_equals_naive_vector_best_fit(rule):
+    """Piece by piece: of all open bins where it fits under every capacity, the best by the rule; a new one where none does."""
+    rng, weights = np.random.default_rng(31), (1.0, 0.3, 0.5)
+    for capacity in (packing.Capacity(60), packing.Capacity(60, 4, None), packing.Capacity(60, None, 1500), packing.Capacity(60, 3, 2000)):
+        counts = {int(k): int(rng.integers(1, 6)) for k in rng.choice(np.arange(1, 39), 15, replace=False)}
+        full = np.array([60, capacity.documents or 60, capacity.attention or 3600], float)
+        w, bins = np.array(weights) / full**2, []
+        for length in sorted(counts, reverse=True):
+            need = np.array([length, 1, length**2], float)
+            for _ in range(counts[length]):
+                fit = [b for b in bins if (b >= need).all()]
+                if fit:
+                    cost = [(w * (b - need) ** 2).sum() if rule == "norm" else -(w * b * need).sum() for b in fit]
+                    fit[int(np.argmin(cost))][:] -= need
+                else:
+                    bins.append(full - need)
+        plan = packing.plan_bins(counts, capacity, rule, weights)
+        assert abs(plan.bins - len(bins)) <= 1 and plan.bins <= 1.1 * len(bins)
+
+
 # --- sentence pieces
 
 
