@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -63,6 +64,44 @@ class ClipArea:
             raise ValueError("no polygons found")
         return cls.of(*out)
 
+    @classmethod
+    def from_shapefile(cls, content: bytes) -> ClipArea:
+        """The polygons of an .shp file's content (shape types 5, 15 and 25). Rings that run clockwise are outlines, the others holes of the outline before them. ValueError if nothing is left."""
+        if len(content) < 100 or struct.unpack_from(">i", content, 0)[0] != 9994:
+            raise ValueError("not a shapefile")
+        at, out = 100, []
+        while at + 12 <= len(content):
+            words = struct.unpack_from(">i", content, at + 4)[0]
+            kind = struct.unpack_from("<i", content, at + 8)[0]
+            if kind in (5, 15, 25):
+                parts, points = struct.unpack_from("<2i", content, at + 44)
+                first = [*struct.unpack_from(f"<{parts}i", content, at + 52), points]
+                flat = struct.unpack_from(f"<{2 * points}d", content, at + 52 + 4 * parts)
+                for a, b in zip(first, first[1:], strict=False):
+                    ring = list(zip(flat[2 * a : 2 * b : 2], flat[2 * a + 1 : 2 * b : 2], strict=True))
+                    if _turn(ring) <= 0 or not out:
+                        out.append([ring])
+                    else:
+                        out[-1].append(ring)
+            elif kind != 0:
+                raise ValueError(f"shape type {kind} isn't a polygon")
+            at += 8 + 2 * words
+        if not out:
+            raise ValueError("no polygons found")
+        return cls.of(*out)
+
+    def to_shapefile(self) -> bytes:
+        """An .shp file's content, a record for each polygon."""
+        records = b""
+        for n, poly in enumerate(self.polygons, 1):
+            rings = [[*r, r[0]] if (_turn(r) <= 0) == (i == 0) else [*r[::-1], r[-1]] for i, r in enumerate(poly)]
+            flat = [v for r in rings for p in r for v in p]
+            starts = [sum(map(len, rings[:i])) for i in range(len(rings))]
+            body = struct.pack("<i4d2i", 5, min(flat[::2]), min(flat[1::2]), max(flat[::2]), max(flat[1::2]), len(rings), len(flat) // 2) + struct.pack(f"<{len(rings)}i", *starts) + struct.pack(f"<{len(flat)}d", *flat)
+            records += struct.pack(">2i", n, len(body) // 2) + body
+        b = self.bounds
+        return struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(records)) // 2) + struct.pack("<2i8d", 1000, 5, b.min_x, b.min_y, b.max_x, b.max_y, 0, 0, 0, 0) + records
+
     def to_geojson(self) -> str:
         closed = [[[list(p) for p in (*r, r[0])] for r in poly] for poly in self.polygons]
         g = {"type": "Polygon", "coordinates": closed[0]} if len(closed) == 1 else {"type": "MultiPolygon", "coordinates": closed}
@@ -108,6 +147,11 @@ class ClipArea:
         return "(" + " OR ".join(polys) + ")"
 
 
+def _turn(r: Sequence[Sequence[float]]) -> float:
+    """Positive for rings that run anticlockwise."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, [*r[1:], r[0]], strict=True))
+
+
 def _ring_area(r: Ring) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True))) / 2
 

@@ -12,8 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratamesh.functions.geometry import Bounds
 from stratamesh.operators.cloud_distance import moments, unit_normals
+from stratamesh.operators.grid import in_tiles_meeting, tile_of
 from stratamesh.operators.neighbors import near_pairs, sources, targets
+from stratamesh.operators.sampling import percent_per
 from stratamesh.operators.statistics import density
 
 Z95 = 1.96
@@ -108,5 +111,13 @@ def compare_upright(cores: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderP
     return _compared(cores, sources(cores), t1, t2, p, registration_error, False, upright=True)
 
 
+def compare_tiles(t1: DataFrame, t2: DataFrame, b: Bounds, tile: float, percent: float, p: CylinderParams, box: Bounds | None = None, seed: int = 0, cores_of: DataFrame | None = None) -> DataFrame:
+    """compare() at a share of the first epoch's points of every tile (of cores_of's, if given), of tiles that meet the box only, with tile_i and tile_j. A tile with points has a core at least."""
+    points = t1 if cores_of is None else cores_of
+    tiled = tile_of(points, b, tile) if box is None else in_tiles_meeting(points, b, tile, box)
+    cores = percent_per(tiled, ["tile_i", "tile_j"], percent, seed=seed)
+    return compare(cores, t1, t2, p).join(cores.select(F.col("point_id").alias("core_id"), "tile_i", "tile_j"), "core_id")
+
+
 def compare_planes(*_: object) -> DataFrame:
     raise NotImplementedError("plane-to-plane comparison isn't defined")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import Bounds, cell_centre, cell_clamped, cell_strict, grid_shape
+from stratamesh.operators.statistics import grid_statistics
+from stratamesh.staging import staged
 
 AGGREGATES = {
     "mean": F.avg,
@@ -66,10 +71,7 @@ def dod(t1: DataFrame, t2: DataFrame, cell: float = 1.0, b: Bounds | None = None
 
 def dod_statistics(grid: DataFrame, column: str = "dod") -> DataFrame:
     """(n_cells, mean_change, median_change, rmse, min_change, max_change) over cells with a difference."""
-    c = F.col(column)
-    return grid.where(c.isNotNull()).agg(
-        F.count(c).alias("n_cells"), F.avg(c).alias("mean_change"), F.median(c).alias("median_change"),
-        F.sqrt(F.avg(c * c)).alias("rmse"), F.min(c).alias("min_change"), F.max(c).alias("max_change"))
+    return grid_statistics(grid, column)
 
 
 def tiles(spark, b: Bounds, tile: float, halo: float = 0.0) -> DataFrame:
@@ -94,6 +96,35 @@ def tile_of(points: DataFrame, b: Bounds, tile: float) -> DataFrame:
     return points.withColumns({"tile_i": cell_clamped(F.col("x"), b.min_x, tile, tx), "tile_j": cell_clamped(F.col("y"), b.min_y, tile, ty)})
 
 
+def in_tiles_meeting(points: DataFrame, b: Bounds, tile: float, box: Bounds) -> DataFrame:
+    """Points of tiles that meet the box, edges included, with tile_i and tile_j."""
+    own = tile_of(points, b, tile)
+    meets = lambda c, low, lo, hi: (F.lit(low) + F.col(c) * F.lit(tile) <= F.lit(hi)) & (F.lit(low) + (F.col(c) + 1) * F.lit(tile) >= F.lit(lo))
+    return own.where(meets("tile_i", b.min_x, box.min_x, box.max_x) & meets("tile_j", b.min_y, box.min_y, box.max_y))
+
+
+def map_tiles(points: DataFrame, b: Bounds, tile: float, halo: float, work: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """work(inner, outer) of every tile with inner points; outer: those within `halo` of it too. Its rows get tile_i and tile_j.
+
+    A point goes to its own tile and to those whose halo it lies in. A task holds one tile's points, so `tile` is to be chosen by density.
+    """
+    tx, ty = (max(1, -int(-(hi - lo) // tile)) for lo, hi in ((b.min_x, b.max_x), (b.min_y, b.max_y)))
+    own = tile_of(points, b, tile)
+    near = lambda c, i, low, n: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - F.lit(low + halo)) / tile)), F.least(F.lit(n - 1), F.floor((F.col(c) - F.lit(low - halo)) / tile)))
+    span = lambda c, i, low, n: F.array_union(F.array(F.col(i).cast("long")), near(c, i, low, n))
+    spread = own.withColumn("_i", F.explode(span("x", "tile_i", b.min_x, tx))).withColumn("_j", F.explode(span("y", "tile_j", b.min_y, ty)))
+    spread = spread.withColumn("_inner", (F.col("_i") == F.col("tile_i")) & (F.col("_j") == F.col("tile_j"))).drop("tile_i", "tile_j")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        inner = part["_inner"]
+        rest = part.drop(columns=["_i", "_j", "_inner"])
+        if not inner.any():
+            return pd.DataFrame(columns=["tile_i", "tile_j", *(c.split()[0] for c in schema.split(", "))])
+        return work(rest[inner], rest).assign(tile_i=int(key[0]), tile_j=int(key[1]))
+
+    return spread.groupBy("_i", "_j").applyInPandas(run, f"{schema}, tile_i int, tile_j int")
+
+
 def mosaic(points: DataFrame, b: Bounds, cell: float, tile: float) -> DataFrame:
     """(cell_x, cell_y, value): mean of a cell's tile means, each tile of weight 1."""
     nx, ny = grid_shape(b, cell)
@@ -102,8 +133,8 @@ def mosaic(points: DataFrame, b: Bounds, cell: float, tile: float) -> DataFrame:
 
 
 def occupancy(points: DataFrame, b: Bounds, cell: float) -> DataFrame:
-    """(cell_x, cell_y, n, share): counts, and counts over the largest."""
-    counts = with_cells(points, b, cell, True).groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n"))
+    """(cell_x, cell_y, n, share): counts, and counts over the largest. Points are counted once; the counts are written and read again."""
+    counts = staged(with_cells(points, b, cell, True).groupBy("cell_x", "cell_y").agg(F.count(F.lit(1)).alias("n")), "occupancy")
     top = counts.agg(F.max("n")).first()[0]
     return counts.withColumn("share", F.col("n") / F.lit(float(top or 1)))
 

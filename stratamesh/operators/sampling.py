@@ -22,11 +22,20 @@ def sample_per(points: DataFrame, by: list[str], n: int, id_col: str = "point_id
 
 
 def percent_per(points: DataFrame, by: list[str], percent: float, id_col: str = "point_id", seed: int = 0) -> DataFrame:
-    """max(1, floor(n * percent / 100)) rows of each group of n."""
-    counts = points.groupBy(*by).agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(percent / 100.0))).alias("_take"))
-    w = Window.partitionBy(*by).orderBy(order_hash(id_col, seed), id_col)
-    ranked = points.withColumn("_r", F.row_number().over(w))
-    return ranked.join(counts, by).where(F.col("_r") <= F.col("_take")).drop("_r", "_take")
+    """max(1, floor(n * percent / 100)) rows of each group of n, those first in the order of their ids' hashes.
+
+    A group falls into 4096 parts by its hashes' first digits. Counts of the parts, in order, tell which are taken whole, and the
+    one that is cut is numbered by itself, so a crowded group is never in one task. Rows with null keys are a group as any other.
+    """
+    hashed = points.withColumns({"_h": order_hash(id_col, seed), **{f"_g{i}": F.struct(c) for i, c in enumerate(by)}}).withColumn("_part", F.substring("_h", 1, 3))
+    group = [f"_g{i}" for i in range(len(by))]
+    counts = hashed.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = counts.withColumns({"_all": F.sum("_n").over(whole), "_before": F.coalesce(F.sum("_n").over(before), F.lit(0))})
+    take = sums.withColumn("_need", F.greatest(F.lit(1), F.floor(F.col("_all") * F.lit(percent / 100.0))) - F.col("_before")).where("_need > 0").select(*group, "_part", "_need")
+    ranked = hashed.join(take, [*group, "_part"]).withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_part").orderBy("_h", id_col)))
+    return ranked.where(F.col("_r") <= F.col("_need")).select(*points.columns)
 
 
 def core_points(points: DataFrame, percent: float = 10.0, count: int | None = None, seed: int = 0) -> DataFrame:

@@ -2,23 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratamesh.operators.quantiles import quantiles
+from stratamesh.staging import staged, unstage
+
+
+_TYPES = {int: "long", float: "double", type(None): "double"}
+
+
+def _described(df: DataFrame, column: str, aggregates: Callable[[Column], dict[str, Column]], at: dict[str, float]) -> tuple[dict, DataFrame]:
+    """(the aggregates of a column named v and its exact quantiles, the column's values as a written table). Values are written once and read by each pass."""
+    values = staged(df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL"), "values")
+    row = values.agg(F.count("v").alias("_n"), *(c.alias(k) for k, c in aggregates(F.col("v")).items())).first().asDict()
+    return row | dict(zip(at, quantiles(values, "v", list(at.values()), row["_n"]), strict=True)), values
+
+
+def _one_row(spark: SparkSession, **columns) -> DataFrame:
+    return spark.createDataFrame([tuple(columns.values())], ", ".join(f"{k} {_TYPES[type(v)]}" for k, v in columns.items()))
+
 
 def distance_statistics(df: DataFrame, column: str = "distance", cutoff: float | None = None) -> DataFrame:
-    """(n, mean, median, rmse) over values up to the cutoff; without any: 0, NaN, NaN, infinity."""
-    c = F.col(column)
-    rows = df.where(c.isNotNull()) if cutoff is None else df.where(c <= cutoff)
-    a = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.sqrt(F.avg(c * c)).alias("rmse"))
-    nan = F.lit(float("nan"))
-    return a.select("n", F.coalesce("mean", nan).alias("mean"), F.coalesce("median", nan).alias("median"), F.coalesce("rmse", F.lit(float("inf"))).alias("rmse"))
+    """(n, mean, median, rmse) over values up to the cutoff; without any: 0, NaN, NaN, infinity. The median is exact and no task holds all values."""
+    rows = df if cutoff is None else df.where(F.col(column) <= cutoff)
+    d, values = _described(rows, column, lambda v: {"mean": F.avg(v), "rmse": F.sqrt(F.avg(v * v))}, {"median": 0.5})
+    unstage(values)
+    none = {"mean": math.nan, "median": math.nan, "rmse": math.inf} if not d["_n"] else d
+    return _one_row(df.sparkSession, n=d["_n"], mean=none["mean"], median=none["median"], rmse=none["rmse"])
 
 
 def change_statistics(df: DataFrame, column: str = "distance") -> DataFrame:
-    """(n_valid, mean, median, std, rmse) with the population's standard deviation."""
-    c = F.col(column)
-    return df.where(c.isNotNull()).agg(F.count(c).alias("n_valid"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.stddev_pop(c).alias("std"), F.sqrt(F.avg(c * c)).alias("rmse"))
+    """(n_valid, mean, median, std, rmse) with the population's standard deviation; nulls without any value."""
+    d, values = _described(df, column, lambda v: {"mean": F.avg(v), "std": F.stddev_pop(v), "rmse": F.sqrt(F.avg(v * v))}, {"median": 0.5})
+    unstage(values)
+    return _one_row(df.sparkSession, n_valid=d["_n"], mean=d["mean"], median=d["median"], std=d["std"], rmse=d["rmse"])
+
+
+def grid_statistics(df: DataFrame, column: str = "dod") -> DataFrame:
+    """(n_cells, mean_change, median_change, rmse, min_change, max_change) over cells with a difference; nulls without any."""
+    d, values = _described(df, column, lambda v: {"mean": F.avg(v), "rmse": F.sqrt(F.avg(v * v)), "min": F.min(v), "max": F.max(v)}, {"median": 0.5})
+    unstage(values)
+    return _one_row(df.sparkSession, n_cells=d["_n"], mean_change=d["mean"], median_change=d["median"], rmse=d["rmse"], min_change=d["min"], max_change=d["max"])
 
 
 def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 256) -> DataFrame:
@@ -30,12 +58,12 @@ def histogram(df: DataFrame, column: str, low: float, high: float, bins: int = 2
 
 
 def sign_summary(df: DataFrame, column: str) -> DataFrame:
-    """(n, percent_positive, percent_negative, median, p5, p95, p95_abs)."""
-    c = F.col(column)
-    share = lambda cond: F.try_divide(100.0 * F.count_if(cond), F.count(c))
-    return df.where(c.isNotNull()).agg(
-        F.count(c).alias("n"), share(c > 0).alias("percent_positive"), share(c < 0).alias("percent_negative"), F.median(c).alias("median"),
-        F.percentile(c, F.lit(0.05)).alias("p5"), F.percentile(c, F.lit(0.95)).alias("p95"), F.percentile(F.abs(c), F.lit(0.95)).alias("p95_abs"))
+    """(n, percent_positive, percent_negative, median, p5, p95, p95_abs); nulls without any value."""
+    share = lambda cond: F.try_divide(100.0 * F.count_if(cond), F.count("v"))
+    d, values = _described(df, column, lambda v: {"up": share(v > 0), "down": share(v < 0)}, {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    (p95_abs,) = quantiles(values.select(F.abs("v").alias("v")), "v", [0.95], d["_n"])
+    unstage(values)
+    return _one_row(df.sparkSession, n=d["_n"], percent_positive=d["up"], percent_negative=d["down"], median=d["median"], p5=d["p5"], p95=d["p95"], p95_abs=p95_abs)
 
 
 def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -46,14 +74,13 @@ def pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def distance_report(df: DataFrame, column: str = "distance") -> DataFrame:
-    """(count, min, max, mean, std, median, p5, p95, significant, percent_significant); significant: over mean + 2 std."""
-    c = F.col(column)
-    base = df.where(c.isNotNull()).agg(
-        F.count(c).alias("count"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("std"), F.median(c).alias("median"),
-        F.percentile(c, F.lit(0.05)).alias("p5"), F.percentile(c, F.lit(0.95)).alias("p95"))
-    limit = F.broadcast(base.select((F.col("mean") + 2 * F.col("std")).alias("_limit")))  # one row
-    over = df.join(limit, c > F.col("_limit")).agg(F.count(F.lit(1)).alias("significant"))
-    return base.join(F.broadcast(over)).withColumn("percent_significant", F.coalesce(F.try_divide(100.0 * F.col("significant"), F.col("count")), F.lit(0.0)))
+    """(count, min, max, mean, std, median, p5, p95, significant, percent_significant); significant: over mean + 2 std. Without any value: 0 and nulls, percent 0."""
+    d, values = _described(df, column, lambda v: {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "std": F.stddev_pop(v)}, {"median": 0.5, "p5": 0.05, "p95": 0.95})
+    over = values.where(F.col("v") > d["mean"] + 2 * d["std"]).count() if d["_n"] else 0
+    unstage(values)
+    return _one_row(
+        df.sparkSession, count=d["_n"], min=d["min"], max=d["max"], mean=d["mean"], std=d["std"], median=d["median"], p5=d["p5"], p95=d["p95"],
+        significant=over, percent_significant=100.0 * over / d["_n"] if d["_n"] else 0.0)
 
 
 def class_histogram(points: DataFrame, *by: str) -> DataFrame:

@@ -615,7 +615,19 @@ def _(spark, sf_dir):
     return statistics.file_validity(order_points(spark, sf_dir))
 
 
-@register("synthetic_change", points=False)
+def _synthetic_sql(seed: int, bumps: str) -> str:
+    u = lambda i: f"((('0x' || substr(md5(id || ':{seed}:{i}'), 1, 13))::BIGINT::DOUBLE + 0.5) / {float(1 << 52)!r}::DOUBLE)"
+    return f"""(SELECT x, y, 10 + 2 * sin(x / 35) + 1.5::DOUBLE * cos(y / 27) + 0.01::DOUBLE * x {bumps} + 0.02::DOUBLE * sqrt(-2 * ln({u(0)})) * cos(2 * pi() * {u(1)}) AS z
+FROM (SELECT id, (id % 200 - 100)::DOUBLE AS x, (id // 200 - 100)::DOUBLE AS y FROM range(40000) r(id)) WHERE {u(2)} < 0.25::DOUBLE)"""
+
+
+_BUMPS = "+ 0.6::DOUBLE * exp(-((x + 50) * (x + 50) + (y - 60) * (y - 60)) / 1250) - 0.5::DOUBLE * exp(-((x - 40) * (x - 40) + (y + 30) * (y + 30)) / 800)"
+
+
+@register("synthetic_change", f"""WITH a AS {_synthetic_sql(1, "")}, b AS {_synthetic_sql(2, _BUMPS)}, o AS (SELECT min(x) AS x0, min(y) AS y0 FROM (SELECT x, y FROM a UNION ALL SELECT x, y FROM b))
+SELECT p.cx AS cell_x, p.cy AS cell_y, round(p.v, 6) AS dem1, round(q.v, 6) AS dem2, round(q.v - p.v, 6) AS dod
+FROM (SELECT CAST(floor((x - x0) / 10) AS INT) AS cx, CAST(floor((y - y0) / 10) AS INT) AS cy, avg(z) AS v FROM a, o GROUP BY 1, 2) p
+JOIN (SELECT CAST(floor((x - x0) / 10) AS INT) AS cx, CAST(floor((y - y0) / 10) AS INT) AS cy, avg(z) AS v FROM b, o GROUP BY 1, 2) q ON p.cx = q.cx AND p.cy = q.cy""", points=False)
 def _(spark, sf_dir):
     a = synthetic(spark, 200, 200, epoch="t1", seed=1)
     b = synthetic(spark, 200, 200, epoch="t2", seed=2, features=[("mound", 0.6, -50, 60, 25), ("pit", 0.5, 40, -30, 20)])
@@ -634,3 +646,6 @@ def _(pts):
 @register("spatial_thinning", "SELECT point_id FROM (SELECT point_id, row_number() OVER (PARTITION BY floor(x / 20), floor(y / 20), floor(z / 20) ORDER BY point_id) AS r FROM pts) WHERE r = 1")
 def _(pts):
     return thinning.one_per_voxel(pts, 20.0).select("point_id")
+
+
+from stratamesh.plans import registry_files  # noqa: E402, F401  it registers its queries here

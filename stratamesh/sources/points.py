@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
 
@@ -95,15 +96,22 @@ def discover(spark: SparkSession, base: str, layout: str = "nested", area: str |
 
 
 def load_dataset(spark: SparkSession, catalog: DataFrame, per_file: int | None = None, seed: int = 0) -> DataFrame:
-    """All points of a catalog's files with area, time_period and file; columns that a file lacks are null there. per_file: a sample of each file."""
+    """All points of a catalog's files with area, time_period and file; columns that a file lacks are null there. per_file: a sample of each file. ValueError for an empty catalog.
+
+    One scan of all paths, whatever their number; the catalog, one row a file, meets it by the path that Spark knows of each row.
+    """
     from stratamesh.operators.sampling import sample_per
 
-    out = None
-    for r in catalog.collect():  # a row for each file to open, none for a point
-        df = spark.read.parquet(r["path"]).withColumns({"area": F.lit(r["area"]), "time_period": F.lit(r["time_period"]), "file": F.lit(r["path"])})
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    if out is None:
+    entries = [tuple(r) for r in catalog.select("path", "area", "time_period").collect()]  # a row for each file to open, none for a point
+    if not entries:
         raise ValueError("the catalog is empty")
+    df = spark.read.option("mergeSchema", True).parquet(*(p for p, _, _ in entries))
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+    own = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(own, "/[^/]*$", "")  # a file written by Spark is a folder
+    df = df.withColumn("_at", plain(F.when(folder.rlike(r"\.parquet$"), folder).otherwise(own)))
+    names = spark.createDataFrame([(re.sub("^([a-z0-9]+):/+", r"\1:/", p if ":" in p.split("/")[0] else f"file:{p}"), a, t, p) for p, a, t in entries], "_at string, area string, time_period string, file string")
+    out = df.join(names, "_at").drop("_at")
     return sample_per(out, ["file"], per_file, seed=seed) if per_file else out
 
 
@@ -132,8 +140,14 @@ def distance_column(df: DataFrame) -> DataFrame:
 _SHAPES = re.compile("mound|pit|slide|ridge")
 
 
+def _uniform(key: Column, seed: int, draw: int) -> Column:
+    """A number between 0 and 1 that depends on nothing but key, seed and draw."""
+    digits = F.substring(F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed)), F.lit(str(draw)))), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
 def synthetic(spark: SparkSession, nx: int = 500, ny: int = 500, step: float = 1.0, keep: float = 0.25, epoch: str = "t1", noise: float = 0.02, features: Sequence[tuple[str, float, float, float, float]] = (), seed: int = 0) -> DataFrame:
-    """A rolling surface around the origin, each raster point kept with probability `keep`, made on the executors.
+    """A rolling surface around the origin with normal noise, each raster point kept with probability `keep`, made on the executors and the same however it is partitioned.
 
     features: (mound, pit, slide or ridge; height; x; y; radius). A slide rises on one side and sinks on the other.
     """
@@ -151,5 +165,7 @@ def synthetic(spark: SparkSession, nx: int = 500, ny: int = 500, step: float = 1
         if kind == "slide":
             bell = bell * F.cos(F.atan2(dy, dx))
         z = z + (-height if kind == "pit" else height) * bell
-    shaped = base.select(F.lit(epoch).alias("epoch"), F.col("id").alias("point_id"), x.cast("double").alias("x"), y.cast("double").alias("y"), (z + noise * F.randn(seed)).alias("z"), F.lit(2).alias("classification"), F.rand(seed + 1).alias("_u"))
+    u, v, w = (_uniform(F.col("id"), seed, i) for i in range(3))
+    bell_noise = F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)
+    shaped = base.select(F.lit(epoch).alias("epoch"), F.col("id").alias("point_id"), x.cast("double").alias("x"), y.cast("double").alias("y"), (z + noise * bell_noise).alias("z"), F.lit(2).alias("classification"), w.alias("_u"))
     return shaped.where(F.col("_u") < keep).drop("_u")

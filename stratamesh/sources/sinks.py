@@ -46,16 +46,21 @@ def write_raster(points: DataFrame, value: str, path: str, cell: float = 1.0, fr
     interpolate(frame.to_global(points) if frame else points, value, cell).write.mode("overwrite").parquet(path)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small text (a transform, a boundary, the input of a run) wherever Spark can write."""
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file wherever Spark can write."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text (a transform, a boundary, the input of a run) wherever Spark can write."""
+    write_bytes(spark, path, text.encode())
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]

@@ -33,11 +33,25 @@ def _remove(path: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A place in the shared folder for files, deleted when the process ends."""
+    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _open[path] = spark
+    return path
+
+
+def mounted(path: str) -> str:
+    """The path as the file system of driver and executors has it; ValueError for stores that aren't mounted."""
+    scheme, _, rest = path.partition(":") if ":" in path.split("/")[0] else ("file", "", path)
+    if scheme != "file":
+        raise ValueError(f"not a mounted folder: {path}")
+    return "/" + rest.lstrip("/") if rest.startswith("/") else rest
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: lost executors lose none of it. It goes with unstage(), or when the process ends."""
     spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _open[path] = spark
+    path = stage_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_at = path

@@ -3,6 +3,7 @@
 Fixed values: the four points and cells of test_small_grids, the class list of test_classes and the squares of test_polygons are given fixtures.
 """
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,8 +11,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import IDENTITY, Bounds, compose, grid_shape
-from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, point_index, raster, registration, sampling, statistics, thinning
+from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, point_index, quantiles, raster, registration, sampling, statistics, thinning
 from stratamesh.operators.clip import INLINE_EDGES, ClipArea, clip, clip_statistics
+from stratamesh.operators.estimator import NearestNeighbors
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
 
 
@@ -215,6 +217,54 @@ def test_registration(spark, monkeypatch, most):
     assert np.allclose(registration.rigid_fit(registration.pair_sums(pairs).first()), m)
 
 
+def test_quantiles_of_many_values(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    for v in (rng.normal(size=4000), np.round(rng.normal(size=4000)), np.zeros(50), np.array([3.0])):
+        df = spark.createDataFrame([(float(x),) for x in v], "v double")
+        at = [0.0, 0.05, 0.5, 0.95, 1.0]
+        for most in (quantiles.AT_ONCE, 10):
+            monkeypatch.setattr(quantiles, "AT_ONCE", most)
+            assert quantiles.quantiles(df, "v", at, len(v)) == pytest.approx(np.quantile(v, at).tolist())
+    assert quantiles.quantiles(df, "v", [0.5], 0) == [None]
+    none = statistics.sign_summary(df.limit(0), "v").first()
+    assert none["n"] == 0 and none["median"] is None and none["p95_abs"] is None
+    assert statistics.distance_report(df.limit(0), "v").first()["percent_significant"] == 0
+    assert statistics.change_statistics(df.limit(0), "v").first()["n_valid"] == 0
+
+
+def test_percent_of_one_crowded_group(spark):
+    pts = cloud(spark, [(i % 50, i // 50, 0) for i in range(3000)]).withColumn("g", F.when(F.col("point_id") < 2990, "a"))
+    got = {(r["g"], r["point_id"]) for r in sampling.percent_per(pts, ["g"], 7.0).select("g", "point_id").collect()}
+    by_hash = lambda ids: sorted(ids, key=lambda i: hashlib.md5(f"{i}:0".encode()).hexdigest())
+    assert got == {("a", i) for i in by_hash(range(2990))[:209]} | {(None, by_hash(range(2990, 3000))[0])}
+
+
+def test_octree(spark):
+    rng = np.random.default_rng(15)
+    p = rng.uniform(0, 8, (400, 3))
+    got = {r["point_id"] for r in thinning.octree(cloud(spark, p), 2, (0, 0, 0), 8.0).collect()}
+    best = {}
+    for i, q in enumerate(p):
+        cell = tuple(np.minimum(q // 2, 3).astype(int))
+        best[cell] = min(best.get(cell, (9e9, 0)), (((q - (np.array(cell) + 0.5) * 2) ** 2).sum(), i))
+    assert got == {i for _, i in best.values()}
+    assert thinning.octree(cloud(spark, p), 0).count() == 1 and thinning.octree(cloud(spark, p).limit(0), 3).count() == 0
+    with pytest.raises(ValueError):
+        thinning.octree(cloud(spark, p), 21)
+
+
+def test_tiles(spark):
+    pts = cloud(spark, [(i % 10, i // 10, i) for i in range(100)])
+    seen = grid.map_tiles(pts, Bounds(0, 0, 10, 10), 5.0, 1.0, lambda a, b: a.iloc[:1].assign(n=len(a), m=len(b))[["n", "m"]], "n long, m long").collect()
+    assert sorted((r["tile_i"], r["tile_j"], r["n"], r["m"]) for r in seen) == [(0, 0, 25, 36), (0, 1, 25, 36), (1, 0, 25, 36), (1, 1, 25, 36)]
+    assert grid.in_tiles_meeting(pts, Bounds(0, 0, 10, 10), 5.0, Bounds(6, 6, 7, 7)).count() == 25
+    with pytest.raises(ValueError):
+        NearestNeighbors().kneighbors(pts)
+    own = NearestNeighbors(2).fit(pts)
+    assert all(r["source_id"] == r["target_id"] for r in own.kneighbors().where("rank = 1").collect())
+    assert own.radius_neighbors(radius=1.5).where("source_id = 0").count() >= 1
+
+
 def test_samples_and_raster(spark):
     pts = cloud(spark, [(i % 10, i // 10, i) for i in range(100)])
     assert sampling.sample(pts, 30).count() == 30 and sampling.sample(pts, 1000).count() == 100

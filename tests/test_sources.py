@@ -11,7 +11,7 @@ from stratamesh.operators.transforms import LocalFrame
 from stratamesh.plans.config import Settings, parse_settings
 from stratamesh.plans.facade import ChangeDetector
 from stratamesh.plans.workflow import compare_epochs, save
-from stratamesh.sources import las, sinks
+from stratamesh.sources import las, rasters, sinks
 from stratamesh.sources.points import discover, distance_column, epsg_of, histogram_csv, load_dataset, scan_points, synthetic
 from stratamesh.streaming.elevation import arriving_points, running_dod
 
@@ -68,6 +68,100 @@ def test_small_readers(spark, tmp_path):
         distance_column(df)
 
 
+def test_las_pushes_conditions(tmp_path):
+    from pyspark.sql import datasource as ds
+
+    out = las._File(str(tmp_path / "a.las"), [], None, 0.01)
+    out.add({"x": np.arange(10.0), "y": np.arange(10.0), "z": np.zeros(10), "classification": np.arange(10)})
+    out.close()
+    reader = las.LasReader({"path": str(tmp_path), "chunk": "4"})
+    left = list(reader.pushFilters([ds.GreaterThanOrEqual(("x",), 3.0), ds.In(("classification",), (2, 5, 7)), ds.IsNotNull(("x",)), ds.EqualTo(("file",), "a.las")]))
+    assert [type(f).__name__ for f in left] == ["IsNotNull", "EqualTo"]
+    got = [v for p in reader.partitions() for b in reader.read(p) for v in b.column(las.NAMES.index("x")).to_pylist()]
+    assert got == [5.0, 7.0]
+    far = las.LasReader({"path": str(tmp_path)})
+    assert not list(far.pushFilters([ds.LessThan(("y",), -5.0)])) and [p.n for p in far.partitions()] == [0]
+    with pytest.raises(FileNotFoundError):
+        las.LasReader({"path": str(tmp_path / "no*.las")})
+
+
+@pytest.mark.parametrize("fmt", [0, 1, 2, 3, 6, 7, 8])
+def test_las_attributes(fmt):
+    """A record of every point format, its fields set one by one."""
+    raw = np.zeros((1, las._LENGTH[fmt]), np.uint8)
+    raw[0, :12] = np.array([100, -200, 300], "<i4").view(np.uint8)
+    raw[0, 12:14] = np.array([7], "<u2").view(np.uint8)
+    if fmt < 6:
+        raw[0, 14], raw[0, 15], raw[0, 16], raw[0, 17] = 2 | 3 << 3 | 1 << 6 | 1 << 7, 5 | 1 << 6, 256 - 11, 9
+        raw[0, 18:20] = np.array([77], "<u2").view(np.uint8)
+        want = {"return_number": 2, "number_of_returns": 3, "scan_direction_flag": 1, "edge_of_flight_line": 1, "classification": 5, "synthetic": 0, "key_point": 1, "withheld": 0, "scan_angle": -11.0}
+    else:
+        raw[0, 14], raw[0, 15], raw[0, 16], raw[0, 17] = 2 | 3 << 4, 1 | 4 | 1 << 7, 64, 9
+        raw[0, 18:20], raw[0, 20:22] = np.array([-1000], "<i2").view(np.uint8), np.array([77], "<u2").view(np.uint8)
+        want = {"return_number": 2, "number_of_returns": 3, "scan_direction_flag": 0, "edge_of_flight_line": 1, "classification": 64, "synthetic": 1, "key_point": 0, "withheld": 1, "scan_angle": -6.0}
+    if fmt in las._GPS:
+        raw[0, las._GPS[fmt] : las._GPS[fmt] + 8] = np.array([12.5]).view(np.uint8)
+        want["gps_time"] = 12.5
+    if fmt in las._COLOURS:
+        raw[0, las._COLOURS[fmt] : las._COLOURS[fmt] + 6] = np.array([1, 2, 3], "<u2").view(np.uint8)
+        want |= {"red": 1, "green": 2, "blue": 3}
+    head = {"path": "x/a.las", "point_format": fmt, "record": las._LENGTH[fmt], "scales": (0.01, 0.01, 0.01), "offsets": (0, 0, 10)}
+    got = las.batch_of(head, raw, 5).to_pylist()[0]
+    assert {k: got[k] for k in want} == pytest.approx(want) and (got["file"], got["point_id"], got["intensity"], got["user_data"], got["point_source_id"]) == ("a.las", 5, 7, 9, 77)
+    assert (got["x"], got["y"], got["z"], got["distance"]) == (1.0, -2.0, 13.0, None)
+    assert set(las.dimensions(fmt)) == {k for k, v in got.items() if v is not None} - {"file", "point_id"}
+
+
+def test_las_files_stay_small(spark, tmp_path):
+    pts = synthetic(spark, 40, 40, keep=1.0).withColumn("odd", F.col("point_id") % 2 == 1)
+    assert las.write(pts.coalesce(1), str(tmp_path / "o"), extra=["odd"], wkt=sinks.wkt_of(25832), per_file=600) == 3
+    names = sorted(str(p) for p in (tmp_path / "o").iterdir())
+    assert [las.read_header(n)["n_points"] for n in names] == [600, 600, 400] and "25832" in las.wkt_in(names[0])
+    assert las.headers(spark, names).select(F.sum("n_points")).first()[0] == 1600
+    with pytest.raises(Exception, match="too far apart"):
+        las.write(pts.withColumn("x", F.col("x") * 1e9), str(tmp_path / "far"))
+
+
+def test_rasters():
+    v = np.array([[1.5, np.nan, 3.0], [4.0, 5.0, np.nan]])
+    for epsg in (None, 25833, 4326):
+        got, left, top, cell = rasters.decode_tiff(rasters.encode_tiff(v, 100.0, 50.0, 2.0, epsg))
+        assert np.array_equal(got, v, equal_nan=True) and (left, top, cell) == (100.0, 50.0, 2.0)
+    with pytest.raises(ValueError):
+        rasters.decode_tiff(b"MM\0*")
+
+
+def test_shapefiles():
+    area = ClipArea.of([[(0, 0), (10, 0), (10, 10), (0, 10)], [(2, 2), (2, 4), (4, 4), (4, 2)]], [[(20, 0), (20, 5), (25, 5)]])
+    back = ClipArea.from_shapefile(area.to_shapefile())
+    assert back.area == area.area and back.bounds == area.bounds and [len(p) for p in back.polygons] == [2, 1]
+    with pytest.raises(ValueError):
+        ClipArea.from_shapefile(b"x" * 200)
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    from stratamesh import staging
+
+    held = staging.staged(spark.range(3), "t")
+    assert held.count() == 3
+    staging.unstage(held, spark.range(1))
+    with pytest.raises(Exception, match="(?i)not.*exist|no such file|not_exist"):
+        held.count()
+
+    class Cluster:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        staging.stage_dir(Cluster)
+    with pytest.raises(ValueError):
+        staging.mounted("hdfs://host/a")
+    assert staging.mounted("file:///a/b") == "/a/b" and staging.mounted("/a") == "/a"
+
+
 def test_settings():
     assert parse_settings(None) == Settings() and parse_settings(" ") == Settings()
     s = parse_settings(json.dumps({"dod": {"cell": 2.0}, "c2c": {"reach": None}, "seed": 3}))
