@@ -2,6 +2,8 @@
 
 import hashlib
 import random
+import textwrap
+import math
 import re
 import zlib
 
@@ -153,6 +155,55 @@ def test_licence_names(spark):
     assert not any(r["licences"] for r in licences.scan(docs(spark, list(enumerate(plain)))).collect())
 
 
+MIT_NOTICE = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions."""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+
+
+@pytest.mark.parametrize("width", [45, 60, 72, 100])
+def test_wrapped_notices_are_found_whole(spark, width):
+    wrap = lambda t, mark="": "\n".join(mark + x for x in textwrap.wrap(t, width))
+    rows = []
+    for family, notice in (("mit", MIT_NOTICE), ("gpl", GPL_NOTICE)):
+        for mark in ("", "# ", " * ", "// "):
+            text = wrap(notice, mark)
+            rows += [(text, family), (text.upper(), family), ("Some words of a heading\n\n" + text + "\n\nIt went on in another way.", family)]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs(spark, [(i, t) for i, (t, _) in enumerate(rows)])).collect()}
+    for i, (t, family) in enumerate(rows):
+        assert [(r["family"], r["confirmed"]) for r in got[i]] == [(family, True)], t
+
+
+def test_licences_never_seen():
+    """Sentences of no template: families are told, other licences and ordinary use of the same words are not."""
+    model = licences.train()
+    known = {
+        "Licensed under the MIT licence": "mit", "This module is covered by the MIT License": "mit", "This file is licensed under the GNU GPL version 2": "gpl", "You may use it under the GNU General Public License": "gpl",
+        "Covered by the Apache 2.0 licence": "apache", "The Apache License, Version 2.0 applies to all files": "apache", "Use is governed by a BSD-style license found in the LICENSE file": "bsd", "Text is available under CC BY-SA 4.0": "cc-by",
+        "Images are under CC BY-NC 4.0": "cc-by-nc", "The library is under the GNU Lesser General Public License": "lgpl", "Offered under the GNU Affero General Public License": "agpl", "Code under the Mozilla Public License 2.0": "mpl",
+        "Made available under the Eclipse Public License v2.0": "epl", "Copyright 2018 Some Publisher. All rights reserved.": "proprietary",
+    }
+    other = ["Licensed under the Open Software License 3.0", "Licensed under the Q Public License", "Released under the Sleepycat License", "Distributed under the Zope Public License 2.1", "Her driving licence was revoked in the spring.", "Permission to leave was granted free of charge.", "The public was generally free to use the software room.", "Version 2 of the report was released under pressure.", "All seats were reserved, and all rights respected.", "The foundation published the terms of the prize."]
+    right = sum(licences.classify(t, model)[0] == f for t, f in known.items())
+    wrong = [t for t in other if licences.classify(t, model)[0] and licences.classify(t, model)[1] >= 0.5]
+    assert right >= 13 and len(wrong) <= 1, ([(t, licences.classify(t, model)) for t, f in known.items() if licences.classify(t, model)[0] != f], wrong)
+
+
+def test_licence_scores_equal_plain_sums(spark):
+    """The plan's probabilities against sums over words and pairs of neighbours, made without the scan's own code."""
+    model, rng = licences.train(), random.Random(17)
+    grams, filler = sorted(model.weights), [w for x in licences.ORDINARY for w in re.findall("[a-z0-9]+", x.lower())]
+    texts = [" ".join(rng.choice(grams if rng.random() < 0.6 else filler) for _ in range(rng.randint(2, 9))).replace("=", "") for _ in range(300)]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall("[a-z0-9]+", t)
+        own = set(words) | {f"{a} {b}" for a, b in zip(words, words[1:])}
+        z = [b + sum(model.weights[g][c] for g in own if g in model.weights) for c, b in enumerate(model.bias)]
+        e = [math.exp(v / model.temperature) for v in z]
+        best = max(range(len(e)), key=lambda c: e[c])
+        want = [(licences.FAMILIES[best], pytest.approx(e[best] / sum(e)))] if best < len(licences.FAMILIES) and e[best] / sum(e) >= 0.5 else []
+        if len(words) > 1:
+            assert [(r["family"], r["probability"]) for r in got[i]] == want, t
+
+
 def test_licence_prefilter_loses_nothing(spark):
     model, rng = licences.train(), random.Random(13)
     grams, filler = sorted(model.weights), licences.words_of(" ".join(licences.ORDINARY))
