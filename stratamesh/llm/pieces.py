@@ -3,13 +3,14 @@
 The distinct words of a batch are laid into one text. Its suffix array, sorted as deep as the longest piece, is searched
 for every piece of the vocabulary at once; the ranges found are edges (from, to, piece) of a graph over the text's
 places. Edges are sorted by where they end and relaxed in that order: of the edges into a place, exactly one
-continues the merges' result of the prefix before it, and that one is kept.
+continues the merges' result of the prefix before it, and that one is kept. A very long word is indexed in parts and relaxed by itself.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from zlib import crc32
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 #: Words remembered at most by each worker process, and characters that are indexed at once.
 MAX_WORDS, MAX_CHARS = 600_000, 1_500_000
+#: Characters from which a word is matched by itself, place by place, and characters of it that are indexed at once.
+LONG, PART = 2_000, 200_000
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _BIG = np.int64(1) << 40
 
@@ -104,6 +107,8 @@ class PieceMatcher:
         self.quads = (coded.reshape(len(rows), -1, 4) << shift).sum(2, dtype=np.uint64)
         self.masks = ((coded > 0).astype(np.uint64).reshape(len(rows), -1, 4) * np.uint64(0xFFFF) << shift).sum(2, dtype=np.uint64)
         self.known: dict[str, bytes] = {}
+        self.piece_length = [len(p) for p in order]
+        self.scalar: tuple[dict[int, int], list[int], list[int]] | None = None
 
     def _made(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """What two neighbours merge into, in making order; _BIG for nothing."""
@@ -180,11 +185,10 @@ class PieceMatcher:
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of words, none of which has a run of spaces."""
         sizes = np.array([len(w) + 1 for w in words])
-        raw = np.frombuffer("\0".join([*words, ""]).encode("utf-32-le"), np.uint32)
         begin = np.cumsum(sizes) - sizes
         ends = begin + sizes - 1
-        at = np.minimum(np.searchsorted(self.alphabet, raw), len(self.alphabet) - 1)
-        codes = np.where(self.alphabet[at] == raw, at + 2, 1)
+        raw = "\0".join([*words, ""])
+        codes = self._coded(raw)
         codes[ends] = 0
         word = np.repeat(np.arange(len(words)), sizes)
         start, end, piece = self._edges(codes)
@@ -221,7 +225,66 @@ class PieceMatcher:
         self.known.update((w, flat[4 * a : 4 * b]) for w, a, b in zip(words, [0, *cuts.tolist()], cuts.tolist(), strict=False))
         for i in set(owner[by][ids < 0].tolist()):
             own = ids[cuts[i - 1] if i else 0 : cuts[i]].tolist()
-            self.known[words[i]] = _packed(chain.from_iterable(self._raw(chr(raw[-3 - k])) if k < 0 else (k,) for k in own))
+            self.known[words[i]] = _packed(chain.from_iterable(self._raw(raw[-3 - k]) if k < 0 else (k,) for k in own))
+
+    def _coded(self, text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.minimum(np.searchsorted(self.alphabet, raw), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == raw, at + 2, 1)
+
+    def _fits(self, a: int, b: int) -> bool:
+        """adjacent() of one pair."""
+        (made, left, right), n, most = self.scalar, len(self.order_ids), int(_BIG)
+        limit = most
+        while made.get(a * n + b, most) >= limit:
+            inner_a, inner_b = right[a], left[b]
+            if inner_a != a and (a > b or inner_b == b):
+                limit, a = a, inner_a
+            elif inner_b != b:
+                limit, b = b + 1, inner_b
+            else:
+                return True
+        return False
+
+    def _long(self, word: str) -> bytes:
+        """The ids of one long word without a run of spaces: edges of one part after the other, relaxed place by place.
+
+        Besides the word, a part's index and four bytes for each character are held.
+        """
+        if self.scalar is None:
+            self.scalar = dict(zip(self.pair_keys.tolist(), self.pair_made.tolist(), strict=True)), self.left.tolist(), self.right.tolist()
+        size, known = len(self.order_ids), {}
+        best = array("i", [-2]) * (len(word) + 1)
+        for lo in range(0, len(word), PART):
+            codes = np.append(self._coded(word[lo : lo + PART + self.depth]), 0)
+            start, end, piece = self._edges(codes)
+            odd = np.flatnonzero(codes == 1)
+            start, end, piece = np.concatenate([start, odd]), np.concatenate([end, odd + 1]), np.concatenate([piece, np.full(len(odd), -1)])
+            own = np.flatnonzero(start < PART)
+            own = own[np.argsort(end[own], kind="stable")]
+            for s, e, p in zip((start[own] + lo).tolist(), (end[own] + lo).tolist(), piece[own].tolist(), strict=True):
+                before = best[s]
+                if s == 0 or (before != -2 and (p < 0 or before == -1)):
+                    best[e] = p
+                elif before >= 0:
+                    key = before * size + p
+                    good = known.get(key)
+                    if good is None:
+                        if len(known) > MAX_WORDS:
+                            known.clear()
+                        good = known[key] = self._fits(before, p)
+                    if good:
+                        best[e] = p
+        ids, place, length = array("I"), len(word), self.piece_length
+        while place > 0:
+            p = best[place]
+            if p < 0:
+                place -= 1
+                ids.extend(self._raw(word[place])[::-1])
+            else:
+                place -= length[p]
+                ids.append(int(self.order_ids[p]))
+        return np.array(ids, "<u4")[::-1].tobytes()
 
     def _raw(self, char: str) -> list[int]:
         if not self.bytes:
@@ -238,6 +301,8 @@ class PieceMatcher:
         if len(self.known) + len(new) > MAX_WORDS:
             self.known = {k: v for k, v in own.items() if v is not None}
         plain, chars = [], 0
+        own.update((w, self._long(w)) for w in new if len(w) > LONG and SPACE * 2 not in w)
+        new = [w for w in new if own[w] is None]
         for w in new:
             if SPACE * 2 in w or "\0" in w:
                 self.known[w] = _packed(chain.from_iterable((self.ids[s],) if s in self.ids else self._raw(s) for s in merged(w, self.rank)))

@@ -1,10 +1,11 @@
 """Each operator against a brute-force version, and on odd rows: nulls, empty and long texts, ties, repeats, empty tables, clashing names."""
 
 import hashlib
-import random
-import textwrap
 import math
+import random
 import re
+import textwrap
+import time
 import zlib
 
 import numpy as np
@@ -338,6 +339,25 @@ def test_pieces_equal_the_library():
         m.decode([10**6])
 
 
+@pytest.mark.parametrize("letters", ["abcdefghij", "aaaab", "etaoinshr", "abc漢é\U0001f600x\0", "0123456789=-", "a"])
+def test_pieces_of_long_words(monkeypatch, letters):
+    import sentencepiece
+
+    monkeypatch.setattr(pieces, "PART", 3000)
+    sp, m, rng = sentencepiece.SentencePieceProcessor(model_file=SENTENCES), pieces.PieceMatcher(SENTENCES), random.Random(7)
+    for n in (pieces.LONG, pieces.LONG + 1, 3000, 6001, 10_000):
+        text = f"so {''.join(rng.choice(letters) for _ in range(n))} on"
+        ids = m.encode([text])[0]
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(text) and m.decode(ids) == text
+
+
+def test_a_word_of_half_a_million_characters_takes_seconds():
+    m, rng = pieces.matcher_of(SENTENCES), random.Random(8)
+    word = "".join(rng.choice("etaoinshrdlu") for _ in range(500_000))
+    began = time.process_time()
+    assert m.decode(m.encode([word])[0]) == word and time.process_time() - began < 30
+
+
 def test_pieces_columns(spark):
     rows = pieces.encoded(docs(spark), SENTENCES)
     back = {(r["doc_id"]): r["text"] for r in pieces.decoded(rows, SENTENCES).collect()}
