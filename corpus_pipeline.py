@@ -15,27 +15,39 @@ from stratamesh.llm._io import table, written
 from stratamesh.llm.queries import TOKENIZER, held_out
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    while name in docs.columns:
+        name = f"{name}_"
+    return name
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble scores 0.5 or more. Trained on labelled documents of the whole table."""
     model = quality_model.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held_out()))
-    return quality_model.score(docs, model, out="_score").where("_score >= 0.5").drop("_score")
+    score = unused(docs, "score")
+    return quality_model.score(docs, model, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are content for the most part. Trained on labelled documents of the whole table."""
     model = line_crf.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return line_crf.mark(docs, model).where("kept").select(*docs.columns)
+    places = {c: f"column{i}" for i, c in enumerate(docs.columns)}  # marks have names that a column may have too
+    marked = line_crf.mark(docs.select(*(F.col(c).alias(p) for c, p in places.items())), model, text=places["text"])
+    return marked.where("kept").select(*(F.col(p).alias(c) for c, p in places.items()))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every near-duplicate group."""
-    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    other = unused(docs, "gone")
+    gone = near_dedup.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(other), "left_anti")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret's span replaced by a mark, n_chars counted anew."""
-    out = secrets.redacted(secrets.scan(docs, secrets.fit(docs), out="_spans"), spans="_spans").drop("_spans")
+    spans = unused(docs, "spans")
+    out = secrets.redacted(secrets.scan(docs, secrets.fit(docs), out=spans), spans=spans).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
