@@ -160,11 +160,13 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, tex
     return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
 
 
-def _across(rows: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-    """(open, largest): rows (by, id, comp) of the groups that hold several components, with n and least: members, and members outside the largest component."""
+def _across(rows: DataFrame, by: str, staged: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(open, largest): rows (by, id, comp) of the groups that hold several components, with n and least: members, and members outside the largest component. staged: groups are written before rows meet them."""
     sizes = rows.groupBy(by, "comp").agg(F.count(F.lit(1)).alias("k"))
     groups = sizes.groupBy(by).agg(F.sum("k").alias("n"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("top")).where("comps > 1")
     groups = groups.select(by, "n", (F.col("n") - F.col("top.k")).alias("least"), F.col("top.comp").alias("main"))
+    if staged:
+        groups = written(groups, "groups")
     return rows.join(groups, by), groups
 
 
@@ -281,6 +283,7 @@ def _by_rare_shingles(members: DataFrame, nodes: DataFrame, docs: DataFrame, key
             of = pa.array(np.repeat(np.arange(len(n)), n))
             yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(np.repeat(sizes, n).astype(np.int64)), pa.array(np.concatenate(behind).astype(np.int64)), pa.array(np.concatenate(found))], ["id", "comp", "k", "behind", "s"])
 
-    front = held.mapInArrow(fronts, "id long, comp long, k long, behind long, s long")
-    rows, _ = _across(front, "s")
+    # written, so that both sides of the next join are plain exchanges, whose crowded keys adaptive execution can split
+    front = written(held.mapInArrow(fronts, "id long, comp long, k long, behind long, s long"), "fronts")
+    rows, _ = _across(front, "s", staged=True)
     return _pairs(written(rows, "rare"), "s", nodes, similarity)
