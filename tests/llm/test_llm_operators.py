@@ -426,6 +426,34 @@ def test_viterbi_is_the_best_path():
     assert line_crf.viterbi(model, []) == []
 
 
+def test_line_verdicts_of_the_table(spark, sf):
+    """Every document's verdict, from the best of all label sequences found by plain forward maxima over labels of each line."""
+    from stratamesh.llm import queries
+
+    d = table(spark, sf, "documents")
+    model = line_crf.fit(d, table(spark, sf, "labels"))
+    got = {r["doc_id"]: r for r in queries.op6_line_crf(spark, sf).collect()}
+    for r in d.collect():
+        text = r["text"] or ""
+        base = base_brute(text) if len(text) < 3000 else None
+        lines, _, words = line_crf.read_lines(text)
+        paths = {0: (0.0, []), 1: (model.start, [])}
+        for i, (_, feats) in enumerate(lines):
+            e = (0.0, sum(model.emit[k] for k in feats))
+            if i:
+                paths = {y: max(((paths[x][0] + model.move[x][y] + e[y], [*paths[x][1], y]) for x in (0, 1)), key=lambda p: p[0]) for y in (0, 1)}
+            else:
+                paths = {y: (paths[y][0] + e[y], [y]) for y in (0, 1)}
+        labels = max(paths.values(), key=lambda p: p[0])[1] if lines else []
+        total = sum(n for n, _ in lines)
+        share = sum(n for (n, _), y in zip(lines, labels) if not y) / total if total else 0.0
+        own = got[r["doc_id"]]
+        if base:
+            assert (own["n_words"], own["word_chars"], own["n_symbols"], own["n_dup_lines"], own["n_repeat_words"]) == base
+            assert own["base_failed"] == (base[0] < 50 or 100 * base[4] > 50 * base[0])
+        assert own["content_share"] == pytest.approx(share) and own["kept"] == (not own["base_failed"] and share >= 0.5)
+
+
 def test_line_crf(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9)))
@@ -477,6 +505,44 @@ def test_markov(spark):
     assert [(s["kind"], s["hit"]) for s in found] == [(3, "qX7vRt2LpZ9wKd4HsB1nYc8F")]
 
 
+def test_planted_keys_of_every_alphabet_are_found_through_scan(spark, sf):
+    """Recall of 0.95 and more for every alphabet, by spans of kind markov alone; of ordinary identifiers, at most one in a hundred is named."""
+    model, rng = secrets.fit(table(spark, sf, "documents")), random.Random(23)
+    kinds = {k: [s for s in secrets.random_samples(80, 50 + i, (k,)) if len(s) >= 20] for i, k in enumerate((*secrets.KEYS, *secrets.LETTERS))}
+    plain = [s for s in secrets.ordinary_samples(900, 61) if len(s) >= 16]
+    rows, planted = [], {}
+    for s, kind in [(s, k) for k, own in kinds.items() for s in own] + [(s, None) for s in plain]:
+        before = " ".join(rng.choice(("the", "of", "value", "is", "here")) for _ in range(rng.randint(1, 6))) + " "
+        planted[len(rows)] = (kind, len(before), len(before) + len(s))
+        rows.append((len(rows), f"{before}{s} and on it goes."))
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["secrets"]} for r in secrets.scan(docs(spark, rows), model).collect()}
+    for kind in kinds:
+        own = [i for i, (k, _, _) in planted.items() if k == kind]
+        assert sum(planted[i][1:] in got[i] for i in own) >= 0.95 * len(own), kind
+    assert sum(bool(got[i]) for i, (k, _, _) in planted.items() if k is None) <= 0.01 * len(plain)
+    value = secrets.scan(docs(spark, [(1, "api_key = 'qX7vRt2LpZ9wKd4HsB1nYc8F'")]), model).first()["secrets"]
+    assert [(s["kind"], s["start"], s["end"]) for s in value] == [(0, 0, 35), (3, 11, 35)]
+
+
+def test_log_ratio_equals_plain_sums(spark):
+    model = secrets.fit(docs(spark))
+    rows = [*secrets.random_samples(40, 71), *secrets.ordinary_samples(40, 72), "a", "é=x"]
+    for r in spark.createDataFrame([(s,) for s in rows], "s string").withColumn("r", secrets.log_ratio(F.col("s"), model)).collect():
+        assert r["r"] == pytest.approx(secrets.ratio_of(r["s"], model))
+
+
+def test_clashing_names_stay(spark):
+    """Names that operators use inside are left alone."""
+    names = ["t", "base", "token", "assign", "hex", "found", "low", "fetched", "hit", "name", "best", "sub", "place", "n", "start", "_row", "_assign", "_hex", "_low", "_best", "_sub"]
+    df = docs(spark).withColumns({c: F.lit(c) for c in names}).withColumn("url", F.lit("http://www.spam-farm.org/x"))
+    for out in (
+        secrets.scan(df, secrets.MarkovRatio((0.0,) * 67, (0.0,) * 67 * 67)), urlfilter.filter_urls(df), urlfilter.filter_urls_by_table(df, spark.createDataFrame([("||spam-farm.",)], "rule string")),
+        sharding.rendezvous(df, "doc_id", 4, grown="g"), sharding.with_slots(sharding.rendezvous(df, "doc_id", 4, weights=[1, 2, 3, 4]), "doc_id", "shard", ["doc_id", "text"]),
+    ):
+        got = out.collect()
+        assert len(got) == len(ODD) and all(r[c] == c for r in got for c in names)
+
+
 def test_markov_counts_every_document(spark):
     rows = docs(spark, [*ODD, *[(i, "plain words") for i in range(100, 1100)], *[(i, "qqxx zzkk1 x_qqxx") for i in range(2000, 2003)]])
     want = {}
@@ -553,6 +619,15 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_of_a_table(spark, monkeypatch):
+    """Components of a whole table equal those of all pairs, with every open bucket taken for a large one."""
+    monkeypatch.setattr(near_dedup, "SMALL_BUCKET", 0)
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    want, _ = groups_brute(rows)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs(spark, rows)).collect()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_rare_shingles_find_all_pairs(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -653,6 +728,21 @@ def test_rule_ensemble_on_known_rules():
     assert quality_model.fit_rules(["a"], np.ones((5, 1)), np.ones(5)).bias > 0
 
 
+def test_compiled_rules_equal_numpy(spark, sf):
+    """The column expression against the rules evaluated one by one on the collected statistics."""
+    from stratamesh.llm.queries import held_out
+
+    d = table(spark, sf, "documents")
+    model = quality_model.fit(d, table(spark, sf, "labels").where(~held_out()))
+    stats = quality_model.statistics(F.coalesce("text", F.lit("")))
+    rows = d.unionByName(docs(spark).selectExpr("doc_id", "text", "'' AS lang", "'' AS source", "0L AS n_chars"))
+    got = quality_model.score(rows, model).select("score", *(c.alias(k) for k, c in stats.items())).collect()
+    assert model.rules
+    for r in got:
+        z = model.bias + sum(rule.weight for rule in model.rules if all((r[name] > bound) == over for name, over, bound in rule.tests))
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 def test_scores(spark, sf):
     from stratamesh.llm.queries import held_out
 
