@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import Bounds
-from stratamesh.operators import cylinder, filters, grid, neighbors, registration, thinning
+from stratamesh.operators import cylinder, filters, grid, neighbors, registration, sampling, thinning
 from stratamesh.operators.clip import ClipArea, clip
 from stratamesh.operators.estimator import NearestNeighbors
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
@@ -327,3 +327,31 @@ def _(pts):
 @register("cell_of_point", f"SELECT point_id, {_CX} AS cell_x, {_CY} AS cell_y FROM pts")
 def _(pts):
     return grid.with_cells(pts, EXTENT, CELL, True).select("point_id", "cell_x", "cell_y")
+
+
+@register("crs_texts", "SELECT CAST(n_nationkey AS INT) AS key, CAST(25828 + n_nationkey % 11 AS INT) AS epsg FROM nation", points=False)
+def _(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    texts = F.array(*(F.lit(sinks.wkt_of(25828 + i)) for i in range(11)))
+    return n.select(F.col("n_nationkey").cast("int").alias("key"), points.epsg_of(F.element_at(texts, (F.col("n_nationkey") % 11 + 1).cast("int"))).alias("epsg"))
+
+
+@register("cores_file", "SELECT point_id, x, y, z FROM pts WHERE classification = 2 ORDER BY md5(point_id::varchar || ':0'), point_id LIMIT 300")
+def _(pts):
+    path = stage_path(pts.sparkSession, "cores")
+    sinks.write_cores(sampling.sample(filters.filter_classes(pts), 300), path)
+    return sinks.read_cores(pts.sparkSession, path)
+
+
+@register("run_log", "SELECT 25.0::double AS cell, false AS icp, 'min_bounds' AS origin, count(*) AS points FROM pts")
+def _(pts):
+    spark, path = pts.sparkSession, stage_path(pts.sparkSession, "run.json")
+    sinks.write_run_log(spark, path, {"points": pts.count()}, parse_settings(json.dumps(_RUN)))
+    read = spark.read.option("multiLine", True).json(path)
+    return read.select(F.col("settings.dod.cell").alias("cell"), F.col("settings.icp.enabled").alias("icp"), F.col("settings.coordinates.origin").alias("origin"), F.col("arguments.points").alias("points"))
+
+
+@register("synthetic_tile_set", """SELECT CAST(i AS INT) AS tile_i, CAST(j AS INT) AS tile_j, 'tile_0' || i || '_0' || j || '_t1' AS file, count(*) AS n FROM (SELECT least(1, floor(((id % 100) - 50.0::double + 50) / 50))::BIGINT AS i, least(1, floor(((id // 100) - 50.0::double + 50) / 50))::BIGINT AS j
+FROM range(10000) r(id) WHERE ((('0x' || substr(md5(id || ':3:2'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) < 0.4::DOUBLE) GROUP BY 1, 2, i, j""", points=False)
+def _(spark, sf_dir):
+    return points.synthetic_tiles(spark, 2, 50, keep=0.4, seed=3).groupBy("tile_i", "tile_j", "file").agg(F.count(F.lit(1)).alias("n"))

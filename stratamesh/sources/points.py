@@ -169,3 +169,11 @@ def synthetic(spark: SparkSession, nx: int = 500, ny: int = 500, step: float = 1
     bell_noise = F.sqrt(-2.0 * F.log(u)) * F.cos(2 * math.pi * v)
     shaped = base.select(F.lit(epoch).alias("epoch"), F.col("id").alias("point_id"), x.cast("double").alias("x"), y.cast("double").alias("y"), (z + noise * bell_noise).alias("z"), F.lit(2).alias("classification"), w.alias("_u"))
     return shaped.where(F.col("_u") < keep).drop("_u")
+
+
+def synthetic_tiles(spark: SparkSession, across: int = 4, side: int = 1000, step: float = 1.0, **options) -> DataFrame:
+    """synthetic() of across * across square tiles of side * side raster points, with tile_i, tile_j and the name of each tile's file."""
+    points = synthetic(spark, across * side, across * side, step, **options)
+    low, width = -across * side * step / 2, side * step
+    at = {f"tile_{n}": F.least(F.lit(across - 1), F.floor((F.col(c) - low) / width)).cast("int") for n, c in (("i", "x"), ("j", "y"))}
+    return points.withColumns(at).withColumn("file", F.format_string("tile_%02d_%02d_%s", "tile_i", "tile_j", "epoch"))
