@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -142,12 +141,13 @@ def mark(docs: DataFrame, model: LineCrf, text: str = "text", min_words: int = 5
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names)))
 
 
-def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lines: int = 400) -> LineCrf:
+def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lines: int = 400, bad_share: float | None = None) -> LineCrf:
     """The field of (text, quality) pairs, where only documents are labelled.
 
     Lines of good documents are content. Lines of bad ones start as boilerplate and are then relabelled by the
     fitted field (hard expectation-maximisation), so clean lines inside a bad document become content again.
-    Sequences over max_lines lines are trained on in pieces. Without both labels, everything is content.
+    Sequences over max_lines lines are trained on in pieces. Without both labels, everything is content. bad_share: how many
+    documents are bad where the field is to be used, if the sample has another share; documents then count by how common their like are.
     """
     seqs = []
     for text, quality in docs:
@@ -162,19 +162,25 @@ def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lin
     for i, (s, q) in enumerate(seqs):
         feats[i, : len(s)], there[i, : len(s)], labels[i, : len(s)] = s, True, 1 - q
     bad = np.array([q == 0 for _, q in seqs])
-    emit, move = np.zeros(FEATURES + 1), np.zeros((2, 2))
+    counts = np.ones(n)
+    if bad_share is not None:
+        own = sum(q == 0 for _, q in docs) / len(docs)
+        counts = np.where(bad, bad_share / own, (1 - bad_share) / (1 - own))
+    total = float((there.sum(1) * counts).sum())
+    emit, move, start = np.zeros(FEATURES + 1), np.zeros((2, 2)), np.zeros(1)
     pair = there[:, 1:] & there[:, :-1]
     for r in range(rounds):
         if r:
-            model = LineCrf(tuple(emit[:-1]), tuple(map(tuple, move)))
+            model = LineCrf(tuple(emit[:-1]), tuple(map(tuple, move)), float(start[0]))
             for i in np.flatnonzero(bad):
                 got = viterbi(model, seqs[i][0])
                 if any(got):
                     labels[i, : len(got)] = got
-        m1, v1, m2, v2 = np.zeros_like(emit), np.zeros_like(emit), np.zeros((2, 2)), np.zeros((2, 2))
+        m1, v1, m2, v2, m3, v3 = np.zeros_like(emit), np.zeros_like(emit), np.zeros((2, 2)), np.zeros((2, 2)), np.zeros(1), np.zeros(1)
         for step in range(1, steps + 1):
             e = np.zeros((n, t, 2))
             e[:, :, 1] = emit[feats].sum(2) * there
+            e[:, 0, 1] += start
             alpha, beta = e.copy(), np.zeros((n, t, 2))
             for j in range(1, t):
                 a = np.logaddexp(alpha[:, j - 1, :1] + move[0], alpha[:, j - 1, 1:] + move[1]) + e[:, j]
@@ -185,7 +191,7 @@ def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lin
                 beta[:, j] = np.where(there[:, j + 1, None], b, 0)
             z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
             p = np.exp(alpha + beta - z[:, None, None])[:, :, 1] * there
-            off = (p - labels * there) / there.sum()
+            off = (p - labels * there) * counts[:, None] / total
             ge = np.zeros_like(emit)
             for k in range(f):
                 ge += np.bincount(feats[:, :, k].ravel(), off.ravel(), len(emit))
@@ -194,18 +200,19 @@ def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lin
             for a in (0, 1):
                 for b in (0, 1):
                     q = np.exp(alpha[:, :-1, a] + move[a, b] + e[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * pair
-                    gm[a, b] = (q.sum() - ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pair).sum()) / there.sum()
-            for w, g, m, v in ((emit, ge + 1e-4 * emit, m1, v1), (move, gm + 1e-4 * move, m2, v2)):
+                    gm[a, b] = ((q - ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pair)) * counts[:, None]).sum() / total
+            gs = np.array([off[:, 0].sum()])
+            for w, g, m, v in ((emit, ge + 1e-4 * emit, m1, v1), (move, gm + 1e-4 * move, m2, v2), (start, gs + 1e-4 * start, m3, v3)):
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    return LineCrf(tuple(map(float, emit[:-1])), tuple(tuple(map(float, x)) for x in move))
+    return LineCrf(tuple(map(float, emit[:-1])), tuple(tuple(map(float, x)) for x in move), float(start[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_docs: int = MAX_FIT_DOCS, max_chars: int = 20_000) -> LineCrf:
     """The field of at most max_docs labelled documents of at most max_chars characters (half of either label where there are enough), by smallest hashes of their keys. The driver gets those documents.
 
-    The sample has as many of either label; how rare bad documents are among all labels is where a document starts from.
+    The sample has as many of either label; in training, documents count by how common their label is among all labels.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label"))
     halves = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(max_docs // 2) for y in (0, 1)]
@@ -213,5 +220,5 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).where(F.length("_text") <= max_chars).select("_key", "_text", "_label").collect()
     got = {r["_key"]: r for r in sorted(rows, key=lambda r: (r["_key"], r["_text"] or ""))}
     there = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
-    start = math.log(there.get(0, 0) + 1) - math.log(there.get(1, 0) + 1)
-    return replace(train([(r["_text"] or "", r["_label"]) for r in got.values()]), start=min(0.0, start))
+    known_docs = sum(there.values())
+    return train([(r["_text"] or "", r["_label"]) for r in got.values()], bad_share=min(0.99, max(0.001, there.get(0, 0) / known_docs)) if known_docs else None)
