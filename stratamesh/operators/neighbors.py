@@ -14,8 +14,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratamesh.functions.geometry import squared_distance
+from stratamesh.operators import point_index
 from stratamesh.operators.point_index import PointIndex, index_of, matches, queries_of
 from stratamesh.staging import staged, unstage
 
@@ -42,9 +44,17 @@ def _around(c: str, size: float) -> Column:
 
 
 def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False) -> DataFrame:
-    """All pairs of sources (source_id, sx, sy, sz, ...) and targets (target_id, tx, ty, tz, ...) with d2 = squared distance up to reach squared; flat: in x and y only."""
+    """All pairs of sources (source_id, sx, sy, sz, ...) and targets (target_id, tx, ty, tz, ...) with d2 = squared distance up to reach squared; flat: in x and y only (sz and tz may lack).
+
+    If one side is small, each batch of the other meets it on the spot and nothing is shuffled; else the sides meet in buckets.
+    """
     if not (reach > 0 and math.isfinite(reach)):
         raise ValueError("the reach must be positive and finite")
+    for small, large, a, b in ((t, s, XYZ_T, XYZ_S), (s, t, XYZ_S, XYZ_T)):
+        held = _held(small, a)
+        if held:
+            got = _met(held, small, large, b, reach, flat)
+            return got.select(*s.columns, *t.columns, "d2")
     spread = s.withColumn("_bx", _around("sx", reach)).withColumn("_by", _around("sy", reach))
     placed = t.withColumns({"_bx": _bucket("tx", reach), "_by": _bucket("ty", reach)})
     dims = 2 if flat else 3
@@ -52,6 +62,44 @@ def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False) ->
     return met.where(F.col("d2") <= F.lit(reach * reach)).drop("_bx", "_by")
 
 
+def _places(df: DataFrame, xyz: tuple[str, ...]) -> list[str]:
+    """The coordinate columns that are there."""
+    return [c for c in xyz if c in df.columns]
+
+
+def _placed(df: DataFrame, xyz: tuple[str, ...]) -> DataFrame:
+    for c in _places(df, xyz):
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c))
+    return df
+
+
+def _held(small: DataFrame, xyz: tuple[str, ...]) -> tuple[PointIndex, pa.Table] | None:
+    """An index of a side's rows and the rows, if they are few."""
+    got = _placed(small, xyz).limit(point_index.MOST + 1).toArrow()
+    if not 0 < got.num_rows <= point_index.MOST or got.nbytes > point_index.MOST_BYTES:
+        return None
+    at = [got.column(c).to_numpy().astype(float) for c in _places(small, xyz)]
+    return PointIndex(np.arange(got.num_rows), np.stack([*at, *[np.zeros(got.num_rows)] * (3 - len(at))], 1)), got
+
+
+def _met(held: tuple[PointIndex, pa.Table], small: DataFrame, large: DataFrame, xyz: tuple[str, ...], reach: float, flat: bool) -> DataFrame:
+    """Rows of the large side, each with the rows of the small one near it, and d2."""
+    sent, places = large.sparkSession.sparkContext.broadcast(held), _places(large, xyz)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, rows = sent.value
+        for b in batches:
+            q = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(float) for c in places]
+            q = np.stack([*q, *[np.zeros(len(b))] * (3 - len(q))], 1)
+            for query, point, d2 in index.within(q, reach, flat):
+                own, near = b.take(pa.array(query)), rows.take(pa.array(index.ids[point])).combine_chunks().to_batches()
+                if near:
+                    yield pa.RecordBatch.from_arrays([*own.columns, *near[0].columns, pa.array(d2)], [*own.schema.names, *near[0].schema.names, "d2"])
+
+    schema = StructType([*large.schema.fields, *small.schema.fields, StructField("d2", DoubleType())])
+    return _placed(large, xyz).mapInArrow(run, schema)
+
+
 def nearest_within(source: DataFrame, target: DataFrame, reach: float, keep_all: bool = False) -> DataFrame:
     """(source_id, target_id, distance): the nearest target up to reach; ties to the least id. keep_all: sources without one too, with nulls.
 

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 MOST = 500_000
 #: Points to a cell on average, and candidates that are compared at once.
 _PER_CELL, _AT_ONCE = 3, 1_000_000
+#: Bytes of a side's columns that may be sent to every executor.
+MOST_BYTES = 64 << 20
+#: Rows that have a place.
+FINITE = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT (isnan(x) OR isnan(y) OR isnan(z))"
 
 
 class PointIndex:
@@ -41,7 +45,7 @@ class PointIndex:
             out = np.minimum(out, np.where(c + ring + 1 < self.n[i], after, math.inf))
         return out
 
-    def _block(self, q: np.ndarray, cx: np.ndarray, cy: np.ndarray, ring: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _block(self, q: np.ndarray, cx: np.ndarray, cy: np.ndarray, ring: int, flat: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, point, squared distance) of all points in each query's block."""
         rows = cy[:, None] + np.arange(-ring, ring + 1)
         there = (rows >= 0) & (rows < self.n[1])
@@ -53,7 +57,19 @@ class PointIndex:
         point = np.arange(count.sum()) + np.repeat(start - (np.cumsum(count) - count), count)
         query = np.repeat(np.repeat(np.arange(len(q)), rows.shape[1]), count)
         d = self.xyz[point] - q[query]
-        return query, point, d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1] + d[:, 2] * d[:, 2]
+        d2 = d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]
+        return query, point, d2 if flat else d2 + d[:, 2] * d[:, 2]
+
+    def within(self, q: np.ndarray, reach: float, flat: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, point, squared distance) of all pairs up to reach, in blocks of bounded size; flat: in x and y only."""
+        ring = min(math.ceil(reach / self.cell), int(self.n.max()))
+        cx, cy = self._cells(q[:, 0], q[:, 1])
+        each = max(1, int(_AT_ONCE // max(1, (2 * ring + 1) ** 2 * len(self.ids) / (self.n[0] * self.n[1]))))
+        for lo in range(0, len(q), each):
+            own = slice(lo, lo + each)
+            query, point, d2 = self._block(q[own], cx[own], cy[own], ring, flat)
+            near = d2 <= reach * reach
+            yield query[near] + lo, point[near], d2[near]
 
     def nearest(self, q: np.ndarray, k: int, reach: float = math.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(query, rank from 1, point, squared distance) of the k nearest points up to reach of every query; ties to the least id."""
@@ -90,7 +106,7 @@ def index_of(points: DataFrame, id_col: str = "point_id", most: int | None = Non
     if points.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         return None
     most = MOST if most is None else most
-    there = points.select(F.col(id_col).cast("long").alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND i IS NOT NULL")
+    there = points.select(F.col(id_col).cast("long").alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz")).where("i IS NOT NULL").where(FINITE)
     got = there.limit(most + 1).toArrow()
     if not 0 < got.num_rows <= most:
         return None
@@ -116,6 +132,6 @@ def matches(source: DataFrame, index: PointIndex, k: int, reach: float = math.in
             arrays = [b.column(0).take(pa.array(query)), pa.array(own.ids[point]), pa.array(d2), pa.array(rank.astype(np.int32)), *(pa.array(own.xyz[point, i]) for i in range(3))]
             yield pa.RecordBatch.from_arrays(arrays, names)
 
-    rows = source.select(F.col(id_col).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz")).where("x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL")
+    rows = source.select(F.col(id_col).alias("i"), *(F.col(c).cast("double").alias(c) for c in "xyz")).where(FINITE)
     kind = source.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"source_id {kind}, target_id long, d2 double, rank int, tx double, ty double, tz double")
