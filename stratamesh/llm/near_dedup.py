@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     table = written(signatures(docs, key, text, width), "signatures")
     full = table.where("n > 0 AND id IS NOT NULL")
     # nodes: one for each shingle set, named by the least key
-    least = full.groupBy("digest").agg(F.min("id").alias("rep"))
+    # (written, so that crowded digests meet them in a join whose sides adaptive execution can split)
+    least = written(full.groupBy("digest").agg(F.min("id").alias("rep")), "least")
     mapped = written(full.select("id", "digest").join(least, "digest").select("id", "rep").distinct(), "nodes-of")
     first = least.select(F.col("digest").alias("d"), F.col("rep"))
     nodes = written(full.join(first, (F.col("id") == F.col("rep")) & (F.col("digest") == F.col("d"))).select("id", "digest", "n", "bands", "sig").dropDuplicates(["id", "digest"]).drop("digest"), "nodes")
