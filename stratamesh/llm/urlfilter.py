@@ -17,8 +17,18 @@ from pyspark.sql import functions as F
 
 from stratamesh.llm._io import beside
 
+#: Words that begin host names of gambling, adult, advertising, tracking, pharmacy and piracy sites.
+HOST_WORDS = (
+    "casino casinos poker roulette slots jackpot lottery bet bets betting bookmaker adult xxx porn escorts webcam ads adserver adservice "
+    "banners popunder tracker tracking clicktrack payday replica viagra cialis pharmacy-online warez torrents keygen cracked serials"
+).split()
 #: The rules of the registered query.
 DEFAULT_RULES = (
+    *(f"||{word}{end}" for word in HOST_WORDS for end in "-."),
+    "||free-bets.",
+    "||online-casino.",
+    "||sports-betting.",
+    "||live-cams.",
     "||spam-farm.",
     "||cheap-pills.",
     "||casino-bonus.",
