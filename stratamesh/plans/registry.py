@@ -156,10 +156,11 @@ def _(spark, sf_dir):
     return grid.tiles(spark, EXTENT, 300.0, 20.0)
 
 
-@register("tile_files", """SELECT CAST(i AS INT) AS tile_i, CAST(j AS INT) AS tile_j, file FROM range(4) a(i), range(4) b(j), (SELECT classification || '-' || epoch AS file, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts WHERE classification < 4 AND x > 300 AND y < 700 GROUP BY 1) f
+@register("tile_files", """SELECT CAST(i AS INT) AS tile_i, CAST(j AS INT) AS tile_j, file FROM range(4) a(i), range(4) b(j), (SELECT epoch || '-' || CAST(floor(x / 400) AS BIGINT) || '-' || CAST(floor(y / 400) AS BIGINT) AS file, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts GROUP BY 1) f
 WHERE x0 <= least(1100, (i + 1) * 300 + 20) AND x1 >= greatest(0, i * 300 - 20) AND y0 <= least(1000, (j + 1) * 300 + 20) AND y1 >= greatest(0, j * 300 - 20)""")
 def _(pts):
-    files = file_bounds(pts.where("classification < 4 AND x > 300 AND y < 700").withColumn("file", F.concat_ws("-", F.col("classification").cast("string"), "epoch")))
+    block = [F.floor(F.col(c) / 400).cast("string") for c in "xy"]
+    files = file_bounds(pts.withColumn("file", F.concat_ws("-", "epoch", *block)))
     return files_for_tiles(grid.tiles(pts.sparkSession, EXTENT, 300.0, 20.0), files)
 
 
