@@ -15,7 +15,7 @@ from stratamesh.operators.estimator import NearestNeighbors
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
 from stratamesh.plans.config import Settings, parse_settings
 from stratamesh.plans.facade import ChangeDetector
-from stratamesh.plans.registry import _BACK, _CX, _CY, _D2, _IJ, _MATCH, _NEAREST, _PAIRS, _TI, _TJ, CELL, EXTENT, FRAME, HOLED, INNER, ORACLES, PARAMS, REACH, RIGID, TRIANGLE, TURN, _cylinder_sql, _dod_sql, _matrix_rows, _matrix_sql, _moved_sql, _near_sql, _normal_sql, epochs, r6, register
+from stratamesh.plans.registry import _BACK, _CX, _CY, _D2, _IJ, _MATCH, _NEAREST, _PAIRS, _TI, _TJ, CELL, EXTENT, FRAME, HOLED, INNER, ORACLES, PARAMS, REACH, RIGID, TRIANGLE, TURN, _cylinder_sql, _dod_sql, _matrix_rows, _matrix_sql, _moved_sql, _near_sql, _normal_sql, _turned, epochs, r6, register
 from stratamesh.plans.workflow import compare_epochs
 from stratamesh.sources import las, points, rasters, sinks
 from stratamesh.staging import mounted, stage_path
@@ -355,3 +355,14 @@ def _(pts):
 FROM range(10000) r(id) WHERE ((('0x' || substr(md5(id || ':3:2'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE) < 0.4::DOUBLE) GROUP BY 1, 2, i, j""", points=False)
 def _(spark, sf_dir):
     return points.synthetic_tiles(spark, 2, 50, keep=0.4, seed=3).groupBy("tile_i", "tile_j", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HILLS = [("mound", 5.0, 20, -10, 6), ("pit", 5.0, -25, 30, 7), ("mound", 3.0, -30, -35, 9), ("ridge", 4.0, 5, 0, 8), ("slide", 4.0, 35, 35, 10)]
+_FAR = _turned(0.0, 0.0, 35.0, (7.0, -4.0, 2.0))
+
+
+@register("coarse_features", _matrix_sql(_FAR, 1), points=False)
+def _(spark, sf_dir):
+    a = points.synthetic(spark, 110, 110, keep=0.9, seed=6, features=_HILLS)
+    b = apply_transform(points.synthetic(spark, 110, 110, keep=0.9, seed=7, features=_HILLS), _FAR)
+    return _matrix_rows(spark, [[*r[:3], round(r[3])] for r in registration.coarse(a, b, "fpfh", cell=2.0)], 1)  # shifts to the metre

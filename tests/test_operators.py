@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import IDENTITY, Bounds, compose, grid_shape
-from stratamesh.operators import cloud_distance, cylinder, filters, grid, neighbors, point_index, quantiles, raster, registration, sampling, statistics, thinning
+from stratamesh.operators import cloud_distance, cylinder, features, filters, grid, neighbors, point_index, quantiles, raster, registration, sampling, statistics, thinning
 from stratamesh.operators.clip import INLINE_EDGES, ClipArea, clip, clip_statistics
 from stratamesh.operators.estimator import NearestNeighbors
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
@@ -217,6 +217,20 @@ def test_registration(spark, monkeypatch, most):
     assert np.allclose(registration.rigid_fit(registration.pair_sums(pairs).first()), m)
 
 
+def test_features(spark):
+    rng = np.random.default_rng(16)
+    xy = rng.uniform(-30, 30, (9000, 2))
+    x, y = xy.T
+    p = np.c_[xy, 2 * np.sin(x / 6) + np.cos(y / 5) + 3 * np.exp(-((x - 9) ** 2 + (y + 5) ** 2) / 40) + 2 * np.sin((x + 2 * y) / 7)]
+    m = np.array(turned(60, (12, -9, 3)))
+    got = features.feature_transform(cloud(spark, p[::2]), cloud(spark, p[1::2] @ m[:3, :3].T + m[:3, 3]), 1.5)
+    assert np.allclose(np.array(got)[:3, :3], m[:3, :3], atol=0.02) and np.allclose(np.array(got)[:3, 3], m[:3, 3], atol=0.3)
+    assert features.feature_transform(cloud(spark, p[:3]), cloud(spark, p), 1.5) is None
+    same = rng.normal(size=(50, 8))
+    assert (features.mutual(same, same[::-1]) == np.stack([np.arange(50), np.arange(50)[::-1]], 1)).all()
+    assert features.agreed_move(p[:2], p[:2], 1.0) is None
+
+
 def test_quantiles_of_many_values(spark, monkeypatch):
     rng = np.random.default_rng(12)
     for v in (rng.normal(size=4000), np.round(rng.normal(size=4000)), np.zeros(50), np.array([3.0])):
