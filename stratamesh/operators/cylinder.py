@@ -18,6 +18,7 @@ from stratamesh.operators.grid import in_tiles_meeting, tile_of
 from stratamesh.operators.neighbors import near_pairs, sources, targets
 from stratamesh.operators.sampling import percent_per
 from stratamesh.operators.statistics import density
+from stratamesh.staging import staged
 
 Z95 = 1.96
 
@@ -102,8 +103,9 @@ def _compared(cores: DataFrame, oriented: DataFrame, t1: DataFrame, t2: DataFram
 
 
 def compare(cores: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, registration_error: float = 0.0, use_min: bool = False) -> DataFrame:
-    """(core_id, x, y, z, distance, uncertainty, n1, n2) of every core, along normals of the first epoch. use_min: null with fewer than min_neighbors on a side."""
-    return _compared(cores, normals(cores, t1, p.normal_scale or p.projection_scale), t1, t2, p, registration_error, use_min)
+    """(core_id, x, y, z, distance, uncertainty, n1, n2) of every core, along normals of the first epoch, which are written before points meet them. use_min: null with fewer than min_neighbors on a side."""
+    oriented = staged(normals(cores, t1, p.normal_scale or p.projection_scale), "normals")
+    return _compared(cores, oriented, t1, t2, p, registration_error, use_min)
 
 
 def compare_upright(cores: DataFrame, t1: DataFrame, t2: DataFrame, p: CylinderParams, registration_error: float = 0.0) -> DataFrame:

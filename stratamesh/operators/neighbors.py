@@ -43,14 +43,15 @@ def _around(c: str, size: float) -> Column:
     return F.explode(F.sequence(_bucket(c, size) - 1, _bucket(c, size) + 1))
 
 
-def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False) -> DataFrame:
+def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False, large_targets: bool = False) -> DataFrame:
     """All pairs of sources (source_id, sx, sy, sz, ...) and targets (target_id, tx, ty, tz, ...) with d2 = squared distance up to reach squared; flat: in x and y only (sz and tz may lack).
 
-    If one side is small, each batch of the other meets it on the spot and nothing is shuffled; else the sides meet in buckets.
+    If one side is small, each batch of the other meets it on the spot and nothing is shuffled; else the sides meet in buckets. A side
+    is read up to the bound to find out, so sides that are dear to compute should be staged. large_targets: t is known to be no small side.
     """
     if not (reach > 0 and math.isfinite(reach)):
         raise ValueError("the reach must be positive and finite")
-    for small, large, a, b in ((t, s, XYZ_T, XYZ_S), (s, t, XYZ_S, XYZ_T)):
+    for small, large, a, b in ((t, s, XYZ_T, XYZ_S), (s, t, XYZ_S, XYZ_T))[large_targets:]:
         held = _held(small, a)
         if held:
             got = _met(held, small, large, b, reach, flat)
@@ -154,7 +155,7 @@ def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None
             got = _nearest_to_few(few, t, k)
             return got if out is None else out.unionByName(got)
         last = reach >= extent
-        got = near_pairs(left, t, reach).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        got = near_pairs(left, t, reach, large_targets=True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         got = staged(got.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz"), "near")
         if not last:  # a source with k neighbours in reach is done
             sure = got.where(F.col("rank") == k).select("source_id")
