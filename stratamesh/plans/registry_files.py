@@ -251,10 +251,10 @@ def _(pts):
     return got.select("core_id", F.round("distance", 5).alias("distance"), F.round("uncertainty", 5).alias("uncertainty"), "n1", "n2", "tile_i", "tile_j")
 
 
-@register("normals", f"SELECT sid AS source_id, round(nx, 5) + 0.0::double AS nx, round(ny, 5) + 0.0::double AS ny, round(nz, 5) AS nz FROM ({_normal_sql('SELECT sid, ' + ', '.join(f'covar_pop(t{a} - s{a}, t{b} - s{b}) AS {a}{b}' for a, b in _IJ) + f' FROM ({_near_sql(25.0)}) GROUP BY 1 HAVING count(*) >= 6', 'sid')})")
+@register("normals", f"SELECT sid AS source_id, round(nx, 5) + 0.0::double AS nx, round(ny, 5) + 0.0::double AS ny, round(nz, 5) AS nz FROM ({_normal_sql('SELECT sid, ' + ', '.join(f'covar_pop(t{a} - s{a}, t{b} - s{b}) AS {a}{b}' for a, b in _IJ) + f' FROM ({_near_sql(70.0)}) GROUP BY 1 HAVING count(*) >= 5', 'sid')})")
 def _(pts):
     t1, t2 = epochs(pts)
-    got = cylinder.normals(t2, t1, 25.0, 6)
+    got = cylinder.normals(t2, t1, 70.0, 5)
     return got.select("source_id", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("nx", "ny")), F.round("nz", 5).alias("nz"))
 
 
