@@ -213,12 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """The field of at most max_docs labelled documents of at most max_chars characters (half of either label where there are enough), by smallest hashes of their keys. The driver gets those documents.
 
     The sample has as many of either label; in training, documents count by how common their label is among all labels.
+    A key that stands more than once counts once, with the greatest of its texts and labels.
     """
-    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label"))
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label")).distinct()
     halves = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(max_docs // 2) for y in (0, 1)]
-    chosen = halves[0].unionByName(halves[1]).dropDuplicates(["_key"])
-    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).where(F.length("_text") <= max_chars).select("_key", "_text", "_label").collect()
-    got = {r["_key"]: r for r in sorted(rows, key=lambda r: (r["_key"], r["_text"] or ""))}
+    chosen = halves[0].unionByName(halves[1]).groupBy("_key").agg(F.max("_label").alias("_label"))
+    rows = docs.select(F.col(key).alias("_doc"), F.col(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).where(F.length("_text") <= max_chars)
+    # one text a key before the driver gets any: a table may hold a labelled row any number of times
+    rows = rows.groupBy("_key", "_label").agg(F.max("_text").alias("_text")).collect()
+    got = {r["_key"]: r for r in sorted(rows, key=lambda r: r["_key"])}
     there = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     known_docs = sum(there.values())
-    return train([(r["_text"] or "", r["_label"]) for r in got.values()], bad_share=min(0.99, max(0.001, there.get(0, 0) / known_docs)) if known_docs else None)
+    return train([(r["_text"], r["_label"]) for r in got.values()], bad_share=min(0.99, max(0.001, there.get(0, 0) / known_docs)) if known_docs else None)

@@ -150,15 +150,18 @@ def fit_rules(names: list[str], x: np.ndarray, y: np.ndarray, trees: int = 24, d
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", max_rows: int = MAX_FIT_ROWS) -> RuleEnsemble:
     """The ensemble of at most max_rows labelled documents: those with the smallest hashes of their keys.
 
-    Null keys and labels aren't used; a key that stands twice counts once. The driver gets max_rows rows of numbers.
+    Null keys and labels aren't used; a key that stands more than once counts once, with the greatest of its labels and
+    rows of numbers. The driver gets max_rows rows of numbers.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), F.col(label).alias("_label")).orderBy(F.xxhash64("_key"), "_key").limit(max_rows).dropDuplicates(["_key"])
+    known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+    chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(max_rows)
     rows = docs.select(F.col(key).alias("_doc"), text_of(text).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_key"))
     stats = statistics(F.col("_text"))
     names = list(stats)
-    got = rows.select("_key", "_label", *(c.alias(k) for k, c in stats.items())).collect()
-    got = sorted({r["_key"]: r for r in got}.values(), key=lambda r: r["_key"])
-    x = np.array([[float(r[k]) for k in names] for r in got]).reshape(len(got), len(names))
+    # one row a key before the driver gets any: a table may hold a labelled row any number of times
+    got = rows.select("_key", "_label", F.struct(*(c.alias(k) for k, c in stats.items())).alias("_stats")).groupBy("_key", "_label").agg(F.max("_stats").alias("_stats")).collect()
+    got = sorted(got, key=lambda r: r["_key"])
+    x = np.array([[float(r["_stats"][k]) for k in names] for r in got]).reshape(len(got), len(names))
     return fit_rules(names, x, np.array([int(r["_label"] > 0) for r in got]))
 
 

@@ -756,6 +756,22 @@ def test_scores(spark, sf):
     assert quality_model.score(empty(spark), model).count() == 0
 
 
+def test_samples_for_training_are_bounded_whatever_is_repeated(spark, sf, monkeypatch):
+    """Rows of documents and labels that stand many times: the driver gets as many rows as without, and the models are the same."""
+    d, labels = table(spark, sf, "documents"), table(spark, sf, "labels").where("quality IS NOT NULL")
+    again = lambda df, n: df.crossJoin(spark.range(n).select(F.col("id").alias("_copy"))).drop("_copy")
+    frame, got = type(d), []
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: got.append(rows := collect(df)) or rows)
+    crf, rules = line_crf.fit(d, labels, max_docs=20), quality_model.fit(d, labels, max_rows=20)
+    once = [len(x) for x in got]
+    got.clear()
+    assert crf.move != ((0.0, 0.0), (0.0, 0.0)) and max(once) <= 20
+    assert line_crf.fit(again(d, 30), again(labels, 30), max_docs=20) == crf
+    assert quality_model.fit(again(d, 30), again(labels, 30), max_rows=20) == rules
+    assert [len(x) for x in got] == once
+
+
 def test_statistics_are_never_null(spark):
     stats = quality_model.statistics(F.coalesce("text", F.lit("")))
     rows = docs(spark).select(*(c.alias(k) for k, c in stats.items())).collect()
