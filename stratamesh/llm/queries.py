@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratamesh.llm import licences, line_crf, near_dedup, order_minhash, packing, pieces, quality_model, secrets, sharding, urlfilter
+from stratamesh.llm import conversation_trie, licences, line_crf, near_dedup, order_minhash, packing, pieces, quality_model, secrets, sharding, simhash, spelling, urlfilter
 from stratamesh.llm._io import table, text_of
 
 
@@ -98,6 +98,21 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("pattern_verdict")).alias("verdict"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents with the form it varies."""
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie over rebuilt conversations."""
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and group."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _op9_sql() -> str:
     rule, verdict = urlfilter.base_rule_sql()
     hits = {k: " OR ".join(f"regexp_matches(low, '{urlfilter.to_regex(r)}')" for r in urlfilter.DEFAULT_RULES if r.startswith("@@") == k) for k in (True, False)}
@@ -137,6 +152,47 @@ def _crc32_table() -> list[int]:
     return out
 
 
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes, byte by byte through the table of a relation t(tab)."""
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, y: xor(c >> 8, tab[1 + (xor(c, y) & 255)]), 4294967295::BIGINT), 4294967295)::BIGINT"
+
+
+def _op11_sql() -> str:
+    return rf"""
+WITH RECURSIVE t AS (SELECT {_crc32_table()} AS tab),
+     r AS (SELECT coalesce(doc_id::VARCHAR, 'null') AS id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+'), lambda w: translate(w, '{urlfilter.UPPER}', '{urlfilter.LOWER}'))) AS w FROM documents),
+     o AS (SELECT id, w, count(*) AS k FROM r WHERE length(w) >= {spelling.LEAST_LENGTH} GROUP BY 1, 2),
+     h AS (SELECT w, k, {_crc32_sql("id || ':' || w")} AS h FROM o, t),
+     e AS (SELECT CASE WHEN h % {spelling.NOISE} = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, k FROM h),
+     d AS (SELECT word, sum(k)::BIGINT AS n FROM e WHERE length(word) >= {spelling.LEAST_LENGTH} GROUP BY 1 HAVING sum(k) >= {spelling.LEAST_COUNT}),
+     v AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS x FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM d)),
+     p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON a.i = b.i AND a.x = b.x AND a.word <> b.word
+           UNION SELECT v.word, d.word, d.n FROM v JOIN d ON v.x = d.word UNION SELECT d.word, v.word, v.n FROM v JOIN d ON v.x = d.word),
+     b AS (SELECT word, count(*) AS n_near, arg_min(near, (-near_n, near)) AS form, max(near_n) AS form_n FROM p GROUP BY 1),
+     f AS (SELECT d.word, d.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {spelling.FORM_TIMES} * n THEN form END AS form, CASE WHEN form_n >= {spelling.FORM_TIMES} * n THEN form_n END AS form_n FROM d LEFT JOIN b USING (word)),
+     g(word, last) AS (SELECT word, word FROM f UNION ALL SELECT g.word, f.form FROM g JOIN f ON f.word = g.last WHERE f.form IS NOT NULL),
+     root AS (SELECT g.word, g.last AS root FROM g JOIN f ON f.word = g.last WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)"""
+
+
+def _op12_sql() -> str:
+    """Nodes are named by their turns' digests one after the other, so ancestors are beginnings of the name."""
+    return rf"""
+WITH t AS (SELECT {_crc32_table()} AS tab),
+     s AS (SELECT conv_id, turn, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS d, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS w FROM conversations WHERE conv_id IS NOT NULL),
+     o AS (SELECT conv_id, d, w, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d, w) AS i FROM s),
+     c AS (SELECT conv_id, {_crc32_sql('conv_id::VARCHAR')} % {conversation_trie.SHARED_TURNS} AS h FROM (SELECT DISTINCT conv_id FROM o), t),
+     r AS (SELECT c.conv_id, i, d, w FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % {conversation_trie.BLOCK} AND i <= h UNION ALL SELECT c.conv_id, i, d, w FROM c JOIN o ON o.conv_id = c.conv_id AND i > h),
+     l AS (SELECT c.conv_id, coalesce(list(d ORDER BY i) FILTER (d IS NOT NULL), []) AS ds, coalesce(list(w ORDER BY i) FILTER (w IS NOT NULL), []) AS ws FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY 1),
+     m AS (SELECT conv_id, k AS depth, array_to_string(ds[1:k], '') AS name, CASE WHEN k = 0 THEN 0 ELSE ws[k] END AS w, k = len(ds) AS stops FROM (SELECT *, unnest(range(0, len(ds) + 1)) AS k FROM l)),
+     n AS (SELECT name, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(w) AS w, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends_sha256 FROM m GROUP BY 1, 2),
+     p AS (SELECT *, CASE WHEN depth > 0 THEN substr(name, 1, 32 * (depth - 1)) END AS above FROM n),
+     k AS (SELECT above AS name, count(*) AS n_children FROM p WHERE above IS NOT NULL GROUP BY 1),
+     x AS (SELECT p.*, coalesce(n_children, 0) AS n_children FROM p LEFT JOIN k USING (name)),
+     u AS (SELECT substr(name, 1, 32 * a) AS name, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * w)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM x) GROUP BY 1)
+SELECT x.conv_id, x.depth::BIGINT AS depth, q.conv_id AS parent_conv_id, x.n_convs, x.n_children, u.n_leaves, u.saved_tokens, x.ends_sha256 FROM x JOIN u USING (name) LEFT JOIN n q ON q.name = x.above"""
+
+
 def _op5_sql() -> str:
     """Every shard's bid is 1 / -ln(draw); the largest wins, the smaller number on ties. CRC-32 goes byte by byte through its table."""
     unit = lambda i: f"((('0x' || substr(md5(name || ':{i}'), 1, 15))::BIGINT::DOUBLE + 0.5) / {float(1 << 60)!r}::DOUBLE)"
@@ -165,6 +221,9 @@ QUERIES = {
     "op8_bbit_minhash": op8_bbit_minhash,
     "op10_rule_ensemble": op10_rule_ensemble,
     "op9_url_filters": op9_url_filters,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_conversation_trie": op12_conversation_trie,
+    "op13_simhash": op13_simhash,
 }
 #: Fitted models, tokenizers and packing can't be said in SQL; those queries are held against brute force in the tests.
-ORACLES: dict[str, str] = {"op5_rendezvous": _op5_sql(), "op8_bbit_minhash": _op8_sql(), "op9_url_filters": _op9_sql()}
+ORACLES: dict[str, str] = {"op5_rendezvous": _op5_sql(), "op8_bbit_minhash": _op8_sql(), "op9_url_filters": _op9_sql(), "op11_spelling_variants": _op11_sql(), "op12_conversation_trie": _op12_sql()}

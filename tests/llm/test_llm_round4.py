@@ -1,0 +1,283 @@
+"""Spelling variants, the conversation trie and SimHash against brute force, and on odd rows."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from stratamesh.llm import conversation_trie, simhash, spelling
+from stratamesh.llm._io import table, written
+from stratamesh.llm.components import components
+
+LONG = "lorem ipsum dolor sit amet " * 8_000
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (5, "Ünïcode \U0001f600 text\x00\x85\xa0 x"), (6, LONG), (None, "no id here at all"), (7, "twice the same row"), (7, "twice the same row"), (8, "twice the same row"), (9, "x" * 300_000)]
+
+
+def docs(spark, rows=ODD):
+    return spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, word int, fp string")
+
+
+def groups(links, nodes):
+    """Least node reachable, by repeated relabelling."""
+    of = {n: n for n in nodes}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(of[a], of[b])
+            if of[a] != low or of[b] != low:
+                of[a] = of[b] = low
+                changed = True
+    return of
+
+
+# --- spelling variants
+
+
+def brute_words(rows, noise):
+    total = Counter()
+    for k, t in rows:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", t or ""):
+            w = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            h = zlib.crc32(f"{'null' if k is None else k}:{w}".encode())
+            if noise and h % noise == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            total[w] += 1
+    return {w: n for w, n in total.items() if len(w) >= 5 and n >= 3}
+
+
+def near(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def brute_variants(words):
+    out = {}
+    for w, n in words.items():
+        around = [(-k, v) for v, k in words.items() if near(w, v)]
+        best = min(around, default=None)
+        formed = best is not None and -best[0] >= 2 * n
+        out[w] = [best[1] if formed else None, w, n, len(around), -best[0] if formed else None]
+    for w in out:
+        r = w
+        while out[r][0]:
+            r = out[r][0]
+        out[w][1] = r
+    return out
+
+
+def made_words(seed=5, n=250):
+    """Words of few letters, so that blocks are crowded, with their edits."""
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randint(5, 8))) for _ in range(n)] + ["common" + "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(n)]
+    long = "".join(rng.choice("abcd") for _ in range(90))
+    return base + [long, long[:40] + long[41:], long[:-1] + "z", "x" + long]
+
+
+@pytest.mark.parametrize("crowded", [2, 128])
+def test_variants(spark, crowded):
+    rng = random.Random(6)
+    pool = made_words()
+    rows = [(i, " ".join(rng.choice((str.upper, str, str.title))(w) for w in rng.choices(pool, [rng.paretovariate(0.7) for _ in pool], k=120)) + "; ÀÉ×÷ Straße42naïve") for i in range(60)] + ODD
+    got = {r["word"]: [r["form"], r["root"], r["n"], r["n_near"], r["form_n"]] for r in spelling.variants(docs(spark, rows), noise=7, crowded=crowded).collect()}
+    assert got == brute_variants(brute_words(rows, 7))
+    assert any(v[0] and v[1] != v[0] for v in got.values())
+
+
+def test_variants_of_table(spark):
+    d = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()]
+    got = {r["word"]: [r["form"], r["root"], r["n"], r["n_near"], r["form_n"]] for r in spelling.variants(d).collect()}
+    words = brute_words(rows, spelling.NOISE)
+    assert {w: v[2] for w, v in got.items()} == words
+    some = dict(sorted(words.items())[::7])
+    for w in some:
+        assert got[w][3] == sum(near(w, v) for v in words), w
+
+
+def test_variants_odd(spark):
+    assert spelling.variants(docs(spark).limit(0)).count() == 0
+    got = {r["word"]: r["n"] for r in spelling.variants(docs(spark, ODD + [(10, "x" * 300_000 + " " + "x" * 300_000 + " " + "x" * 300_001)]), noise=0).collect()}
+    assert got["x" * 300_000] == 3 and got["lorem"] == 8_000 and "twice" in got and "xxxxx" not in got
+
+
+def test_variants_count_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "COUNTED", 3)
+    rows = [(i, "alpha beta gamma delta epsilon zetas omega") for i in range(9)]
+    assert {r["word"]: r["n"] for r in spelling.dictionary(docs(spark, rows), noise=0).collect()} == dict.fromkeys(["alpha", "gamma", "delta", "epsilon", "zetas", "omega"], 9)
+
+
+def test_one_edit():
+    rng = random.Random(7)
+    for _ in range(20_000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(0, 5))) for _ in range(2))
+        assert spelling.one_edit(a, b) == near(a, b), (a, b)
+    words = sorted({"".join(x) for n in (3, 4) for x in itertools.product("abc", repeat=n)}, key=lambda w: (len(w), w))
+    i, j = spelling.near_rows(words, np.zeros(len(words), np.int64))
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(a, b) for a, b in itertools.combinations(range(len(words)), 2) if near(words[a], words[b])]
+
+
+# --- conversation trie
+
+
+def brute_trie(rows):
+    turns = defaultdict(list)
+    for c, t, r, x in rows:
+        if c is not None:
+            r, x = r or "", x or ""
+            turns[c].append((t is not None, t or 0, hashlib.md5(f"{len(r)}:{r}{x}".encode()).hexdigest(), (r, x)))
+    own = {c: [v[3] for v in sorted(x)] for c, x in turns.items()}
+    paths = {}
+    for c, p in own.items():
+        h = zlib.crc32(str(c).encode()) % 4
+        paths[c] = tuple(own.get(c - c % 20, [])[:h] + p[h:])
+    nodes = defaultdict(list)
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            nodes[p[:d]].append(c)
+    kids = Counter(p[:-1] for p in nodes if p)
+    leaves, saved = Counter(), Counter()
+    for p, m in nodes.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not kids[p]
+            saved[p[:d]] += (len(m) - 1) * words
+    ends = lambda p: hashlib.sha256(",".join(map(str, sorted(c for c in nodes[p] if paths[c] == p))).encode()).hexdigest()
+    return sorted((min(m), len(p), min(nodes[p[:-1]]) if p else -1, len(m), kids[p], leaves[p], saved[p], ends(p)) for p, m in nodes.items())
+
+
+def trie_rows(df):
+    cols = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(tuple(-1 if r[c] is None else r[c] for c in cols) for r in df.collect())
+
+
+def made_turns(n=260):
+    rng = random.Random(8)
+    rows = []
+    for c in range(n):
+        if c % 60 == 0:
+            continue  # blocks without their first conversation
+        for t in range(rng.choice([0, 1, 2, 3, 5, 9])):
+            rows.append((c, t, "user" if t % 2 == 0 else "assistant", "hello there" if t == 0 and c % 3 else f"say {rng.randint(0, 2)} of it"))
+    rows += [(c, t, "user", "all the same") for c in range(1000, 1100) for t in range(4)]
+    rows += [(500, None, None, None), (500, 1, None, "x"), (500, 1, "user", None), (500, 1, "user", None), (None, 1, "user", "nobody"), (501, 2, "", "\t two  words\n"), (520, 1, "user", LONG)]
+    rng.shuffle(rows)
+    return rows
+
+
+def turns_frame(spark, rows):
+    return spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, key string")
+
+
+@pytest.mark.parametrize("oversized", [1, 5, 200])
+def test_trie(spark, oversized, monkeypatch):
+    monkeypatch.setattr(conversation_trie, "IDS", 7)
+    rows = made_turns()
+    assert trie_rows(conversation_trie.prefix_trie(turns_frame(spark, rows), oversized=oversized)) == brute_trie(rows)
+
+
+def test_trie_of_table(spark):
+    t = table(spark, "/root/testdata/sf0.01", "conversations")
+    assert trie_rows(conversation_trie.prefix_trie(t)) == brute_trie([tuple(r) for r in t.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_trie_odd(spark):
+    assert conversation_trie.prefix_trie(turns_frame(spark, [(1, 1, "user", "x")]).limit(0)).count() == 0
+    rows = [(next(c for c in range(21, 40) if zlib.crc32(str(c).encode()) % 4 == 3), 1, "user", "gone")]  # turnless, once rebuilt
+    assert trie_rows(conversation_trie.prefix_trie(turns_frame(spark, rows))) == brute_trie(rows)
+    deep = [(1, t, "user", f"turn {t}") for t in range(3_000)]
+    got = trie_rows(conversation_trie.prefix_trie(turns_frame(spark, deep)))
+    assert len(got) == len(brute_trie([r for r in deep if r[1] < 40])) - 40 + 3_000 and max(r[1] for r in got) <= 3_000
+
+
+# --- SimHash
+
+
+def brute_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    sh = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hs = [xxhash.xxh64_intdigest(s.encode(), 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def brute_components(rows):
+    """Of (id, fingerprint): by all pairs of different fingerprints."""
+    fps = sorted({f for _, f in rows})
+    of = groups([(a, b) for a, b in itertools.combinations(fps, 2) if (a ^ b).bit_count() <= 2], fps)
+    ties = groups([*((("f", of[f]), ("i", i)) for i, f in rows if i is not None)], [*(("f", f) for f in of.values()), *(("i", i) for i, _ in rows if i is not None)])
+    least = {}
+    for i, _ in rows:
+        if i is not None:
+            least[ties[("i", i)]] = min(i, least.get(ties[("i", i)], i))
+    return sorted((str(i), f"{f:016x}", str(least[ties[("i", i)]] if i is not None else None)) for i, f in rows)
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_simhash_of_table(spark, sf):
+    d = table(spark, sf, "documents")
+    got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.near_duplicates(d).collect())
+    assert got == brute_components([(r["doc_id"], brute_fingerprint(r["text"])) for r in d.select("doc_id", "text").collect()])
+
+
+def test_simhash_odd(spark):
+    got = sorted((str(r["doc_id"]), r["fingerprint"], str(r["component_id"])) for r in simhash.near_duplicates(docs(spark, [*ODD, (4, "another text of the same key"), (3, LONG)])).collect())
+    assert got == brute_components([(k, brute_fingerprint(t)) for k, t in [*ODD, (4, "another text of the same key"), (3, LONG)]])
+    assert simhash.near_duplicates(docs(spark).limit(0)).count() == 0
+
+
+def test_fingerprint_shapes():
+    rng = random.Random(9)
+    for n in (0, 1, 2, 3, 4, 50, 9_000):
+        t = " ".join(rng.choice(["A", "bé", "c\x00", "word", " x"]) for _ in range(n)) + "\n"
+        assert simhash.fingerprint(t) % (1 << 64) == brute_fingerprint(t)
+
+
+@pytest.mark.parametrize("crowded", [0, 3, 10_000])
+def test_simhash_links(spark, crowded):
+    """Balls, chains and crowded segments: whatever path a pair takes, components are those of all pairs."""
+    rng = random.Random(10)
+    fps = {rng.getrandbits(64) for _ in range(150)}
+    for center in rng.sample(sorted(fps), 12):
+        for _ in range(30):
+            x = center
+            for b in rng.sample(range(64), rng.randint(1, 4)):
+                x ^= 1 << b
+            fps.add(x)
+    hot = rng.getrandbits(32)
+    fps |= {hot << 32 | rng.getrandbits(9) for _ in range(80)} | {rng.getrandbits(9) << 40 | hot for _ in range(80)}
+    fps = sorted(fps)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    nodes = written(spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long"), "test-nodes")
+    links = [(r["a"], r["b"]) for r in simhash.links(nodes, crowded).collect()]
+    assert all((fps[a] ^ fps[b]).bit_count() <= 2 and a != b for a, b in links)
+    every = [(a, b) for a, b in itertools.combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= 2]
+    assert groups(links, range(len(fps))) == groups(every, range(len(fps)))
+    if crowded == 10_000:
+        assert sorted((min(x), max(x)) for x in links) == every
+
+
+# --- components
+
+
+def test_a_star_is_split(spark):
+    """A hub of a million neighbours: adaptive execution splits the join it stands in, so its largest task is a small part of the edges."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        for k, v in zip(before, ("1m", "1m", "-1"), strict=True):
+            spark.conf.set(k, v)
+        edges = spark.range(1, 1_000_001).selectExpr("id a", "0L b")
+        got = components(edges.unionByName(spark.createDataFrame([(5_000_001, 7), (5_000_002, 5_000_001)], "a long, b long")))
+        assert got.selectExpr("count(*)", "max(component)").first() == (1_000_002, 0)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
