@@ -14,6 +14,10 @@ from pyspark.sql import types as T
 
 #: Labelled documents that the field is fitted on, at most (those with the smallest hashes of their ids).
 MAX_FIT_DOCS = 600
+#: Lines of all those documents that it is fitted on, at most.
+MAX_FIT_LINES = 60_000
+#: Places of lines that are worked on at once in training: some 200 bytes each.
+BATCH = 40_000
 SYMBOLS = "#*$%&|<>"
 _UPPER, _SYMBOL, _DIGIT, _BARS, _LOUD = (bytes(s, "ascii") for s in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "#*$%&<>{}", "0123456789", "|", "!?"))
 #: Upper bounds of the bins that a share falls into; a line has one active feature for each statistic.
@@ -141,68 +145,112 @@ def mark(docs: DataFrame, model: LineCrf, text: str = "text", min_words: int = 5
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names)))
 
 
-def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lines: int = 400, bad_share: float | None = None) -> LineCrf:
+@dataclass
+class Batch:
+    """Sequences of about one length, the places after a shorter one's end left out by `there`."""
+
+    feats: np.ndarray
+    there: np.ndarray
+    labels: np.ndarray
+    counts: np.ndarray
+    bad: np.ndarray
+
+
+def batches_of(seqs: list[np.ndarray], labels: list[int], counts: list[float], places: int = BATCH) -> list[Batch]:
+    """The sequences (lines x statistics) by length, in batches of at most `places` places, or of one sequence. Lines of bad documents start as boilerplate."""
+    order = sorted(range(len(seqs)), key=lambda i: len(seqs[i]))
+    out, own = [], []
+    for k, i in enumerate(order):
+        own.append(i)
+        if k + 1 == len(order) or len(seqs[order[k + 1]]) * (len(own) + 1) > places:
+            t = len(seqs[i])
+            feats, there = np.full((len(own), t, len(_STATS)), FEATURES, np.uint8), np.zeros((len(own), t), bool)
+            for r, j in enumerate(own):
+                feats[r, : len(seqs[j])], there[r, : len(seqs[j])] = seqs[j], True
+            bad = np.array([not labels[j] for j in own])
+            out.append(Batch(feats, there, (there & bad[:, None]).astype(np.int8), np.array([counts[j] for j in own]), bad))
+            own = []
+    return out
+
+
+def gradients(b: Batch, emit: np.ndarray, move: np.ndarray, start: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """(negative log-likelihood, its derivatives by emit, move and start) of a batch's labels, sequences by their counts."""
+    n, t, f = b.feats.shape
+    there = b.there
+    e = np.zeros((n, t, 2))
+    for k in range(f):
+        e[:, :, 1] += emit[b.feats[:, :, k]]
+    e[:, :, 1] *= there
+    e[:, 0, 1] += start
+    alpha, beta = e.copy(), np.zeros((n, t, 2))
+    for j in range(1, t):
+        a = np.logaddexp(alpha[:, j - 1, :1] + move[0], alpha[:, j - 1, 1:] + move[1]) + e[:, j]
+        alpha[:, j] = np.where(there[:, j, None], a, alpha[:, j - 1])
+    for j in range(t - 2, -1, -1):
+        nxt = e[:, j + 1] + beta[:, j + 1]
+        back = np.stack([np.logaddexp(move[k, 0] + nxt[:, 0], move[k, 1] + nxt[:, 1]) for k in (0, 1)], 1)
+        beta[:, j] = np.where(there[:, j + 1, None], back, 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    p = np.exp(alpha + beta - z[:, None, None])[:, :, 1] * there
+    off = (p - b.labels * there) * b.counts[:, None]
+    ge = np.zeros_like(emit)
+    for k in range(f):
+        ge += np.bincount(b.feats[:, :, k].ravel(), off.ravel(), len(emit))
+    ge[-1] = 0
+    pair = there[:, 1:] & there[:, :-1]
+    gm, path = np.zeros((2, 2)), (e[:, :, 1] * b.labels).sum(1)
+    for x in (0, 1):
+        for y in (0, 1):
+            q = np.exp(alpha[:, :-1, x] + move[x, y] + e[:, 1:, y] + beta[:, 1:, y] - z[:, None]) * pair
+            taken = (b.labels[:, :-1] == x) & (b.labels[:, 1:] == y) & pair
+            path = path + move[x, y] * taken.sum(1)
+            gm[x, y] = ((q - taken) * b.counts[:, None]).sum()
+    return float(((z - path) * b.counts).sum()), ge, gm, np.array([off[:, 0].sum()])
+
+
+def train(docs: list[tuple[str, int]], rounds: int = 3, steps: int = 60, max_lines: int = 400, bad_share: float | None = None, total_lines: int = MAX_FIT_LINES) -> LineCrf:
     """The field of (text, quality) pairs, where only documents are labelled.
 
     Lines of good documents are content. Lines of bad ones start as boilerplate and are then relabelled by the
     fitted field (hard expectation-maximisation), so clean lines inside a bad document become content again.
-    Sequences over max_lines lines are trained on in pieces. Without both labels, everything is content. bad_share: how many
+    Sequences over max_lines lines are trained on in pieces. If all documents have more than total_lines lines, each gives no more than its
+    share of them, from its middle. Without both labels, everything is content. bad_share: how many
     documents are bad where the field is to be used, if the sample has another share; documents then count by how common their like are.
     """
-    seqs = []
+    share = None
+    if sum(text.count("\n") + 1 for text, _ in docs) > total_lines:
+        share = max(1, total_lines // len(docs))
+    own = sum(q == 0 for _, q in docs) / max(1, len(docs))
+    seqs, labels, counts = [], [], []
     for text, quality in docs:
-        lines = [f for _, f in read_lines(text)[0]]
-        seqs += [(lines[i : i + max_lines], quality) for i in range(0, len(lines), max_lines)]
-    seqs = [s for s in seqs if s[0]]
-    if len({q for _, q in seqs}) < 2:
+        if share is not None and (there := text.count("\n") + 1) > share:
+            text = "\n".join(text.split("\n")[(there - share) // 2 :][:share])
+        lines = np.array([f for _, f in read_lines(text)[0]], np.uint8).reshape(-1, len(_STATS))
+        for i in range(0, len(lines), max_lines):
+            seqs.append(lines[i : i + max_lines])
+            labels.append(quality)
+            counts.append(1.0 if bad_share is None or not 0 < own < 1 else bad_share / own if quality == 0 else (1 - bad_share) / (1 - own))
+    if len(set(labels)) < 2:
         return LineCrf((-1.0 / len(_STATS),) * FEATURES, ((0.0, 0.0), (0.0, 0.0)))
-    t, n, f = max(len(s) for s, _ in seqs), len(seqs), len(_STATS)
-    feats, there = np.full((n, t, f), FEATURES), np.zeros((n, t), bool)
-    labels = np.zeros((n, t), int)
-    for i, (s, q) in enumerate(seqs):
-        feats[i, : len(s)], there[i, : len(s)], labels[i, : len(s)] = s, True, 1 - q
-    bad = np.array([q == 0 for _, q in seqs])
-    counts = np.ones(n)
-    if bad_share is not None:
-        own = sum(q == 0 for _, q in docs) / len(docs)
-        counts = np.where(bad, bad_share / own, (1 - bad_share) / (1 - own))
-    total = float((there.sum(1) * counts).sum())
+    batches = batches_of(seqs, labels, counts)
+    total = float(sum((b.there.sum(1) * b.counts).sum() for b in batches))
     emit, move, start = np.zeros(FEATURES + 1), np.zeros((2, 2)), np.zeros(1)
-    pair = there[:, 1:] & there[:, :-1]
     for r in range(rounds):
         if r:
             model = LineCrf(tuple(emit[:-1]), tuple(map(tuple, move)), float(start[0]))
-            for i in np.flatnonzero(bad):
-                got = viterbi(model, seqs[i][0])
-                if any(got):
-                    labels[i, : len(got)] = got
-        m1, v1, m2, v2, m3, v3 = np.zeros_like(emit), np.zeros_like(emit), np.zeros((2, 2)), np.zeros((2, 2)), np.zeros(1), np.zeros(1)
+            for b in batches:
+                for i in np.flatnonzero(b.bad):
+                    got = viterbi(model, b.feats[i, b.there[i]].tolist())
+                    if any(got):
+                        b.labels[i, : len(got)] = got
+        moments = [(np.zeros_like(w), np.zeros_like(w)) for w in (emit, move, start)]
         for step in range(1, steps + 1):
-            e = np.zeros((n, t, 2))
-            e[:, :, 1] = emit[feats].sum(2) * there
-            e[:, 0, 1] += start
-            alpha, beta = e.copy(), np.zeros((n, t, 2))
-            for j in range(1, t):
-                a = np.logaddexp(alpha[:, j - 1, :1] + move[0], alpha[:, j - 1, 1:] + move[1]) + e[:, j]
-                alpha[:, j] = np.where(there[:, j, None], a, alpha[:, j - 1])
-            for j in range(t - 2, -1, -1):
-                nxt = e[:, j + 1] + beta[:, j + 1]
-                b = np.stack([np.logaddexp(move[k, 0] + nxt[:, 0], move[k, 1] + nxt[:, 1]) for k in (0, 1)], 1)
-                beta[:, j] = np.where(there[:, j + 1, None], b, 0)
-            z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-            p = np.exp(alpha + beta - z[:, None, None])[:, :, 1] * there
-            off = (p - labels * there) * counts[:, None] / total
-            ge = np.zeros_like(emit)
-            for k in range(f):
-                ge += np.bincount(feats[:, :, k].ravel(), off.ravel(), len(emit))
-            ge[-1] = 0
-            gm = np.zeros((2, 2))
-            for a in (0, 1):
-                for b in (0, 1):
-                    q = np.exp(alpha[:, :-1, a] + move[a, b] + e[:, 1:, b] + beta[:, 1:, b] - z[:, None]) * pair
-                    gm[a, b] = ((q - ((labels[:, :-1] == a) & (labels[:, 1:] == b) & pair)) * counts[:, None]).sum() / total
-            gs = np.array([off[:, 0].sum()])
-            for w, g, m, v in ((emit, ge + 1e-4 * emit, m1, v1), (move, gm + 1e-4 * move, m2, v2), (start, gs + 1e-4 * start, m3, v3)):
+            sums = [np.zeros_like(w) for w in (emit, move, start)]
+            for b in batches:
+                for to, g in zip(sums, gradients(b, emit, move, start)[1:], strict=True):
+                    to += g
+            for w, g, (m, v) in zip((emit, move, start), sums, moments, strict=True):
+                g = g / total + 1e-4 * w
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
@@ -213,7 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "
     """The field of at most max_docs labelled documents of at most max_chars characters (half of either label where there are enough), by smallest hashes of their keys. The driver gets those documents.
 
     The sample has as many of either label; in training, documents count by how common their label is among all labels.
-    A key that stands more than once counts once, with the greatest of its texts and labels.
+    A key that stands more than once counts once, with the greatest of its texts and labels. Null texts are left out. Of the documents'
+    lines, train() takes at most MAX_FIT_LINES, in batches, so the driver needs some tens of MB whatever texts look like.
     """
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(F.col(key).alias("_key"), (F.col(label) > 0).cast("int").alias("_label")).distinct()
     halves = [known.where(F.col("_label") == y).orderBy(F.xxhash64("_key"), "_key").limit(max_docs // 2) for y in (0, 1)]
