@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -101,6 +101,9 @@ def letter_pairs(docs: DataFrame, text: str = "text") -> dict[str, int]:
     One pass; every task adds up its pairs, so at most 52**2 rows of it are shuffled, and as many come to the driver.
     """
     words = docs.select(F.explode(F.regexp_extract_all(text_of(text), F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("w"))
+    # a place is found by reading from the word's beginning, so long words are cut into parts that overlap by a letter
+    part = F.when(F.length("w") <= 64, F.array("w")).otherwise(F.regexp_extract_all("w", F.lit("(?=([A-Za-z]{1,64}))[A-Za-z]{1,63}"), F.lit(1)))
+    words = words.select(F.explode(part).alias("w")).where(F.length("w") > 1)
     pairs = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("i")).select(F.expr("substring(w, i, 2)").alias("p"))
     return {r["p"]: r["n"] for r in pairs.groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
 
@@ -181,24 +184,59 @@ def log_ratio(token: Column, model: MarkovRatio) -> Column:
     return F.aggregate(_classes(token), begin, step, lambda a: a["sum"])
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once. (A column used inside a lambda is worked out anew for every element.)"""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, plus: Callable[[Column, Column], Column]) -> Column:
+    """For each value of an array of ints, plus() over those before it, from 0.
+
+    Values are taken in blocks of about the square root of their number: arrays grow by copying, so one run over n of them would copy n * n / 2.
+    """
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        grow = lambda a, x: F.concat(a, F.array(plus(F.element_at(a, -1), x)))
+        own = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), w), lambda i: F.aggregate(F.slice(v, i + 1, w), F.array(F.lit(0)), grow)))
+        before = lambda b: F.aggregate(b, F.array(F.lit(0)), lambda a, x: grow(a, F.element_at(x, -1)))
+        moved = lambda b, o: F.transform(F.slice(b, F.lit(1), F.size(b) - 1), lambda x: plus(o, x))
+        return let(own, lambda b: F.flatten(F.zip_with(b, F.slice(before(b), F.lit(1), F.size(b)), moved)))
+
+    return let(values, blocks)
+
+
+def _spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column]) -> Column:
     """Spans of the pattern's leftmost matches, one after the other, for which keep(match) holds.
 
     The text between matches is what split() leaves, so its lengths and the matches' give each match's place, in code points.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern)
-    step = lambda a, m: F.struct((a["at"] + F.length(m["gap"]) + F.length(m["hit"])).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + F.length(m["gap"])).alias("start"), F.lit(kind).alias("kind"), (a["at"] + F.length(m["gap"]) + F.length(m["hit"])).alias("end"), m["hit"].alias("hit")))).alias("out"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
-    both = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"))
-    placed = F.aggregate(both, zero, step, lambda a: a["out"])
     none = F.array().cast(SPANS)
-    return F.when(F.size(found) > 0, F.filter(placed, lambda s: keep(s["hit"]))).otherwise(none)
+
+    def placed(hits: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern), F.lit(1), F.size(hits)), F.length)
+        steps = lambda g: F.zip_with(g, hits, lambda n, h: n + F.length(h))
+        from_ = let(gaps, lambda g: F.zip_with(running(steps(g), lambda a, b: a + b), g, lambda a, n: a + n))
+        span = lambda at, h: F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(h)).alias("end"), h.alias("hit"))
+        return F.filter(F.zip_with(from_, hits, span), lambda x: keep(x["hit"])).cast(SPANS)
+
+    return let(found, lambda hits: F.when(F.size(hits) > 0, placed(hits)).otherwise(none))
 
 
 SPANS = "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
+def _not_named_again(spans: Column) -> Column:
+    """The spans without those of the models that have the place of a span of the fixed patterns: sorted by place, each is looked at beside the one before it."""
+    by_place = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit"))))
+    again = lambda s, b: (s["kind"] == 3) & (s["start"] == b["start"]) & (s["end"] == b["end"])
+    marked = lambda own: F.zip_with(own, F.concat(F.slice(own, 1, 1), own), lambda s, b: F.when(s.isNotNull() & ~again(s, b), s))
+    # (the first is looked at beside itself: as a span of the models it would be taken out, so it stands beside nothing)
+    first = lambda own: F.filter(F.slice(own, 1, 1), lambda s: s["kind"] == 3)
+    return let(by_place, lambda own: F.concat(first(own), F.filter(marked(own), lambda s: s.isNotNull())))
+
+
 def joined(spans: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     names = F.array(*(F.lit(k) for k in KINDS))
@@ -227,17 +265,32 @@ def scan(docs: DataFrame, model: MarkovRatio, text: str = "text", out: str = "se
             "hex": _spans(t, HEX, 2, lambda h: F.lit(True)),
             "token": _spans(t, TOKEN, 3, lambda h: h.rlike("[A-Za-z]") | (h.rlike("[0-9]") & h.rlike("[^0-9]"))),
         })
-        df = df.withColumn("base", F.concat("assign", "access", "hex"))
-        named = lambda s: F.exists("base", lambda b: (b["start"] == s["start"]) & (b["end"] == s["end"]))
-        more = F.filter("token", lambda s: ~named(s) & over(s["hit"]))
-        return df.withColumn("found", F.array_sort(F.concat("base", more)))
+        own = F.filter(_not_named_again(F.concat("assign", "access", "hex", "token")), lambda s: (s["kind"] < 3) | over(s["hit"]))
+        in_order = F.sort_array(F.transform(own, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["hit"].alias("hit"))))
+        return df.withColumn("found", in_order)
 
     return beside(docs, {"t": text_of(text)}, work, {out: "found"})
 
 
 def redacted(docs: DataFrame, text: str = "text", spans: str = "secrets", mark: str = "[SECRET]") -> DataFrame:
-    """The text with every secret span replaced by `mark`; overlapping spans go together. Null texts stay null."""
-    t = F.col(text)
-    step = lambda a, s: F.when(s["end"] <= a["at"], a).when(s["start"] < a["at"], F.struct(s["end"].alias("at"), a["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.substring(t, a["at"] + 1, s["start"] - a["at"]), F.lit(mark)).alias("out")))
-    done = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, done).otherwise(t))
+    """The text with every secret span replaced by `mark`; overlapping spans go together.
+
+    Null texts stay null, texts without spans as they are, repeated rows alike; all other columns stay, whatever their names. What lies between spans is cut out in
+    blocks of about the square root of their number, as cutting reads a text from its beginning.
+    """
+    t, found = F.col(f"`{text}`"), F.col(f"`{spans}`")
+    before = running(F.transform(found, lambda s: s["end"]), F.greatest)
+    gap = lambda s, b: F.when(s["start"] >= b, F.struct(b.alias("a"), s["start"].alias("b")))
+    gaps = F.filter(F.zip_with(found, before, gap), lambda g: g.isNotNull())
+
+    def cut(part: Column) -> Column:
+        begin = part[0]["a"]
+        return let(F.substring(t, begin + 1, F.element_at(part, -1)["b"] - begin), lambda own: F.transform(part, lambda g: F.substring(own, g["a"] - begin + 1, g["b"] - g["a"])))
+
+    def pieces(g: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(g))).cast("int")
+        return F.flatten(let(width, lambda w: F.transform(F.sequence(F.lit(0), F.size(g) - 1, w), lambda i: let(F.slice(g, i + 1, w), cut))))
+
+    end = F.array_max(F.transform(found, lambda s: s["end"]))
+    done = F.concat(F.array_join(let(gaps, pieces), mark), F.lit(mark), F.substring(t, end + 1, F.length(t)))
+    return docs.withColumn(text, F.when(F.size(found) > 0, done).otherwise(t))
