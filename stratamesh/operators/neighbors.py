@@ -56,6 +56,7 @@ def near_pairs(s: DataFrame, t: DataFrame, reach: float, flat: bool = False, lar
         if held:
             got = _met(held, small, large, b, reach, flat)
             return got.select(*s.columns, *t.columns, "d2")
+    s, t = _placed(s, XYZ_S), _placed(t, XYZ_T)
     spread = s.withColumn("_bx", _around("sx", reach)).withColumn("_by", _around("sy", reach))
     placed = t.withColumns({"_bx": _bucket("tx", reach), "_by": _bucket("ty", reach)})
     dims = 2 if flat else 3
@@ -70,13 +71,16 @@ def _places(df: DataFrame, xyz: tuple[str, ...]) -> list[str]:
 
 def _placed(df: DataFrame, xyz: tuple[str, ...]) -> DataFrame:
     for c in _places(df, xyz):
-        df = df.where(F.col(c).isNotNull() & ~F.isnan(c))
+        df = df.where(F.abs(F.col(c)) < F.lit(math.inf))
     return df
 
 
 def _held(small: DataFrame, xyz: tuple[str, ...]) -> tuple[PointIndex, pa.Table] | None:
     """An index of a side's rows and the rows, if they are few."""
-    got = _placed(small, xyz).limit(point_index.MOST + 1).toArrow()
+    there = _placed(small, xyz)
+    if there.select(*_places(small, xyz)).limit(point_index.MOST + 1).count() > point_index.MOST:
+        return None  # nothing of a large side comes to the driver
+    got = there.limit(point_index.MOST + 1).toArrow()
     if not 0 < got.num_rows <= point_index.MOST or got.nbytes > point_index.MOST_BYTES:
         return None
     at = [got.column(c).to_numpy().astype(float) for c in _places(small, xyz)]

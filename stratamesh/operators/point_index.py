@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Iterator
 
@@ -16,7 +17,18 @@ _PER_CELL, _AT_ONCE = 3, 1_000_000
 #: Bytes of a side's columns that may be sent to every executor.
 MOST_BYTES = 64 << 20
 #: Rows that have a place.
-FINITE = "x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL AND NOT (isnan(x) OR isnan(y) OR isnan(z))"
+FINITE = " AND ".join(f"abs({c}) < double('infinity')" for c in "xyz")
+
+
+@contextlib.contextmanager
+def held_at_most(points: int) -> Iterator[None]:
+    """Plans made inside hold no side of more points in an index; with 0, all sides meet in joins by bucket."""
+    global MOST
+    before, MOST = MOST, points
+    try:
+        yield
+    finally:
+        MOST = before
 
 
 class PointIndex:

@@ -39,8 +39,7 @@ def percent_per(points: DataFrame, by: list[str], percent: float, id_col: str =
 
 
 def core_points(points: DataFrame, percent: float = 10.0, count: int | None = None, seed: int = 0) -> DataFrame:
-    """Core points: a number if one is given, else a percentage held to 0.1..100, of all points."""
-    if count is None:
-        share = min(100.0, max(0.1, percent))
-        count = max(1, int(points.count() * share / 100.0))
-    return sample(points, count, seed=seed)
+    """Core points: a number if one is given, else a percentage held to 0.1..100, of all points. A percentage is taken part by part, as in percent_per()."""
+    if count is not None:
+        return sample(points, count, seed=seed)
+    return percent_per(points.withColumn("_cloud", F.lit(0)), ["_cloud"], min(100.0, max(0.1, percent)), seed=seed).drop("_cloud")

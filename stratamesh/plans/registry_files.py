@@ -12,12 +12,13 @@ from stratamesh.functions.geometry import Bounds
 from stratamesh.operators import cylinder, filters, grid, neighbors, registration, sampling, thinning
 from stratamesh.operators.clip import ClipArea, clip
 from stratamesh.operators.estimator import NearestNeighbors
+from stratamesh.operators.point_index import held_at_most
 from stratamesh.operators.transforms import LocalFrame, apply_transform, local_frame, matrix_from_text, matrix_to_text
 from stratamesh.plans.config import Settings, parse_settings
 from stratamesh.plans.facade import ChangeDetector
-from stratamesh.plans.registry import _BACK, _CX, _CY, _D2, _IJ, _MATCH, _NEAREST, _PAIRS, _TI, _TJ, CELL, EXTENT, FRAME, HOLED, INNER, ORACLES, PARAMS, REACH, RIGID, TRIANGLE, TURN, _cylinder_sql, _dod_sql, _matrix_rows, _matrix_sql, _moved_sql, _near_sql, _normal_sql, _turned, epochs, r6, register
+from stratamesh.plans.registry import _BACK, _CX, _CY, _D2, _IJ, _MATCH, _NEAREST, _PAIRS, _TI, _TJ, CELL, EXTENT, FRAME, HOLED, INNER, ORACLES, PARAMS, QUERIES, REACH, RIGID, TRIANGLE, TURN, _cylinder_sql, _dod_sql, _matrix_rows, _matrix_sql, _moved_sql, _near_sql, _normal_sql, _turned, epochs, r6, register
 from stratamesh.plans.workflow import compare_epochs
-from stratamesh.sources import las, points, rasters, sinks
+from stratamesh.sources import las, layout, points, rasters, sinks
 from stratamesh.staging import mounted, stage_path
 from stratamesh.streaming.elevation import arriving_points, running_dod
 
@@ -292,8 +293,39 @@ def _(pts):
 
 @register("matched_bucket_join", f"SELECT sid AS source_id, tid AS target_id, round(d2, 6) AS d2 FROM ({_MATCH})")
 def _(pts):
-    t1, t2 = epochs(pts)
-    return registration.matched(t2, t1, 8.0).select("source_id", "target_id", F.round("d2", 6).alias("d2"))
+    with held_at_most(0):
+        t1, t2 = epochs(pts)
+        return registration.matched(t2, t1, 8.0).select("source_id", "target_id", F.round("d2", 6).alias("d2"))
+
+
+def _by_bucket(name: str) -> None:
+    """Registers a query once more with both sides taken for large ones: they meet in an equi-join, as clouds over the bound do."""
+
+    once = QUERIES[name]
+
+    def run(spark, sf_dir):
+        with held_at_most(0):
+            return once(spark, sf_dir)
+
+    QUERIES[f"{name}_by_bucket"], ORACLES[f"{name}_by_bucket"] = run, ORACLES[name]
+
+
+for _name in ("c2c_nn", "c2c_tiled_inf", "radius_count", "knn_k5", "vertical_plane_radius", "m3c2_upright", "kabsch_sums", "icp_align"):
+    _by_bucket(_name)
+
+
+@register("layout_box", "SELECT point_id, x, y, classification FROM pts WHERE x BETWEEN 200.0::double AND 820.0::double AND y BETWEEN 150.0::double AND 777.0::double")
+def _(pts):
+    path = stage_path(pts.sparkSession, "layout")
+    layout.write_layout(pts, path, 32)
+    return layout.scan_box(pts.sparkSession, path, INNER, ["point_id", "x", "y", "classification"])
+
+
+@register("layout_bounds", "SELECT min(x) AS min_x, min(y) AS min_y, max(x) AS max_x, max(y) AS max_y, count(*) AS n_points FROM pts")
+def _(pts):
+    path = stage_path(pts.sparkSession, "layout")
+    layout.write_layout(pts, path, 32)
+    return layout.layout_bounds(pts.sparkSession, path).drop("n_files")
 
 
 _RUN = {"coordinates": {"origin": "min_bounds"}, "icp": {"enabled": False}, "dod": {"cell": 25.0}, "c2c": {"enabled": False}, "m3c2": {"enabled": False}}

@@ -44,7 +44,7 @@ def scan_points(spark: SparkSession, paths: str | Sequence[str], ground_only: bo
         df = df.where(in_box(box))
     cols: list[Column | str] = [c for c in columns if c != "file"]
     if "file" in columns:
-        cols.append(F.input_file_name().alias("file"))
+        cols.append(F.col("_metadata.file_path").alias("file"))
     df = df.select(*cols)
     return frame.to_local(df) if frame else df
 
