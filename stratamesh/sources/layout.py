@@ -31,7 +31,8 @@ def morton_key(b: Bounds, x: str = "x", y: str = "y", bits: int = BITS) -> Colum
     """The bits of a place's column and row on a 2**bits raster over the box, taken in turn; places outside count as on its edge, those without a coordinate have none."""
     def at(c: str, lo: float, hi: float) -> Column:
         share = (F.col(c) - F.lit(lo)) / F.lit(max(hi - lo, 1e-300))
-        return F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * F.lit(float(1 << bits))).cast("long"), F.lit((1 << bits) - 1))
+        cell = F.least(F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)) * F.lit(float(1 << bits))).cast("long"), F.lit((1 << bits) - 1))
+        return F.when(F.col(c).isNotNull(), cell)  # least() and greatest() would pass over a null
 
     return _spread(at(x, b.min_x, b.max_x)).bitwiseOR(F.shiftleft(_spread(at(y, b.min_y, b.max_y)), 1))
 
