@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.staging import stage_dir, staged, unstage
 
-__all__ = ["BLANK", "WORD", "beside", "parts", "stage_dir", "table", "text_of", "unstage", "written"]
+__all__ = ["BLANK", "WORD", "beside", "give_back", "parts", "stage_dir", "table", "text_of", "unstage", "written"]
 #: Code points that separate words, as the inside of a character class.
 BLANK = r"\x20\x09-\x0D"
 WORD = rf"[^{BLANK}]+"
@@ -37,5 +39,13 @@ def beside(df: DataFrame, inputs: dict[str, Column], work: Callable[[DataFrame],
     return done.select(*kept, *(F.col(v).alias(k) for k, v in outputs.items()))
 
 
+def give_back() -> None:
+    """Returns a worker's unused memory to the machine. Workers outlive a stage, and what they keep counts in the next one too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+    if trim:
+        trim(0)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stratamesh.llm._io import give_back
+
 #: Labelled documents that the field is fitted on, at most (those with the smallest hashes of their ids).
 MAX_FIT_DOCS = 600
 #: Lines of all those documents that it is fitted on, at most.
@@ -140,6 +142,8 @@ def mark(docs: DataFrame, model: LineCrf, text: str = "text", min_words: int = 5
             own = [(f, b.column(f.name)) for f in b.schema if f.name != "x"]
             fields = [f for f, _ in own] + [pa.field(f"r{i}", t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([c for _, c in own] + [pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=pa.schema(fields))
+            del rows, cols
+            give_back()
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(kept)), *(F.col(f"r{i}").alias(n) for i, n in enumerate(names)))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratamesh.llm._io import written
+from stratamesh.llm._io import give_back, written
 from stratamesh.llm.components import components
 
 BANDS, ROWS, BITS = 32, 4, 4
@@ -116,6 +116,8 @@ def signatures(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                 sigs.append(packed(m) if len(h) else None)
             arrays = [b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "digest", "bands", "sig"])
+            del arrays, n, digests, bands, sigs
+            give_back()
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n long, digest binary, bands array<long>, sig array<long>")
 
@@ -141,23 +143,25 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, key: str, text: str, width: in
                 own = b.take(pa.array(part))
                 sets = [shingles(t.as_py(), width).view(np.int64) for t in own.column(1)]
                 yield pa.RecordBatch.from_arrays([own.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+            give_back()
 
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     return rows.mapInArrow(run, "id long, set array<long>")
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough: first by packed signatures, then on the sets."""
+    """The pairs (a, b) whose full shingle sets are similar enough: first by packed signatures, then on the sets. A pair may stand more than once."""
     sig = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"s{x}"))
     near = pairs.join(sig("a"), "a").join(sig("b"), "b")
     near = near.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).where(estimate(F.col("sa"), F.col("sb")) >= similarity - SLACK)
-    near = written(near.select("a", "b").distinct(), "near")
+    # (no distinct() on top of these joins: as rows lie by b, it would need no exchange of its own, and a hub could not be split)
+    near = written(near.select("a", "b"), "near")
     asked = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
     sets = written(shingle_sets(docs, asked, key, text, width), "sets")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     percent = round(similarity * 100)
-    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b").distinct()
+    return both.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def _across(rows: DataFrame, by: str, staged: bool = False) -> tuple[DataFrame, DataFrame]:

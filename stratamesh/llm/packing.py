@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stratamesh.llm._io import written
+from stratamesh.llm._io import give_back, written
 from stratamesh.llm.word_tokens import tokens_of
 
 #: Sub-groups in which pieces of one length are numbered, so that no task numbers all pieces of a common length.
@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                             crc.append(crc32(own))
                     yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["k", "piece", "start", "length", "ids_crc32"])
                     lo, chars, held = i + 1, 0, []
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     kind = docs.schema[key].dataType.simpleString()
     out = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
