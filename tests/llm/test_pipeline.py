@@ -47,7 +47,7 @@ def test_empty_table(spark, sf):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("pages", "documents"):
+    for t in ("pages", "documents", "conversations"):
         c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
     want = c.sql(queries.ORACLES[name])
     got = queries.QUERIES[name](spark, sf).select(*want.columns).collect()
