@@ -8,7 +8,9 @@ import struct
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import Bounds
@@ -17,6 +19,10 @@ from stratamesh.operators.filters import in_box
 Ring = tuple[tuple[float, float], ...]
 #: Edges up to which the test is a plain expression, compiled with its stage; beyond, a fold over a constant array.
 INLINE_EDGES = 96
+#: Edges beyond which points meet a table of slabs instead, which holds the edges around a point's y alone.
+SLAB_EDGES = 512
+#: Vertices a slab has in the mean; copies of edges the table may hold for each edge, in the mean; edge copies up to which it is broadcast (about 64 MB).
+SLAB_VERTICES, SLAB_COPIES, BROADCAST_COPIES = 8, 8, 1_000_000
 
 
 def _open(ring: Sequence[Sequence[float]]) -> Ring:
@@ -137,6 +143,10 @@ class ClipArea:
             inside = inside | odd
         return inside
 
+    @property
+    def n_edges(self) -> int:
+        return sum(len(r) for poly in self.polygons for r in poly)
+
     def sql(self, x: str = "x", y: str = "y") -> str:
         """contains() in SQL."""
         polys = []
@@ -156,13 +166,92 @@ def _ring_area(r: Ring) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(r, r[1:] + r[:1], strict=True))) / 2
 
 
+@dataclass(frozen=True)
+class EdgeSlabs:
+    """Edges under the slabs of y they reach into. Slab k holds y from bounds[k] to below bounds[k + 1].
+
+    Bounds are quantiles of the vertices, so a detailed stretch of an outline has more slabs. Edges that reach through many
+    slabs are copied to each; slabs are made wider until there are SLAB_COPIES an edge at most, so the table grows with the
+    outline, never with its square. A point is tested against the edges of its slab: some SLAB_VERTICES and those that pass by.
+    """
+
+    bounds: np.ndarray
+    slab: np.ndarray
+    polygon: np.ndarray
+    edge: np.ndarray
+
+    @classmethod
+    def of(cls, area: ClipArea) -> EdgeSlabs:
+        found = [(n, a[1], b[1], (b[0] - a[0]) / (b[1] - a[1]), a[0]) for n, poly in enumerate(area.polygons) for r in poly for a, b in zip(r, r[1:] + r[:1], strict=True) if a[1] != b[1]]
+        if not found:
+            return cls(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4)))
+        rows = np.array(found)
+        low, high = rows[:, 1:3].min(1), rows[:, 1:3].max(1)
+        ends, slabs = np.sort(np.concatenate([low, high])), max(1, len(rows) // SLAB_VERTICES)
+        while True:
+            bounds = np.unique(ends[np.linspace(0, len(ends) - 1, slabs + 1).astype(np.int64)])
+            first, last = np.searchsorted(bounds, low, "right") - 1, np.searchsorted(bounds, high, "left") - 1
+            copies = last - first + 1
+            if slabs == 1 or copies.sum() <= SLAB_COPIES * len(rows):
+                break
+            slabs //= 2
+        which = np.repeat(np.arange(len(rows)), copies)
+        slab = np.arange(copies.sum()) - np.repeat(copies.cumsum() - copies, copies) + first[which]
+        order = np.lexsort((rows[which, 0], slab))
+        return cls(bounds, slab[order], rows[which[order], 0].astype(np.int64), rows[which[order], 1:])
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(slab, outlines): the edges of a slab, polygon by polygon."""
+        n = len(self.slab)
+        new_slab = np.r_[True, self.slab[1:] != self.slab[:-1]][:n]
+        new_part = new_slab | np.r_[True, self.polygon[1:] != self.polygon[:-1]][:n]
+        part = np.flatnonzero(new_part)
+        edges = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in self.edge.T], ["y1", "y2", "s", "x1"])
+        parts = pa.ListArray.from_arrays(pa.array(np.r_[part, n], pa.int32()), edges)
+        outlines = pa.ListArray.from_arrays(pa.array(np.r_[np.flatnonzero(new_slab[part]), len(part)], pa.int32()), parts)
+        return spark.createDataFrame(pa.table({"slab": pa.array(self.slab[new_slab]), "outlines": outlines}))
+
+    def slab_of(self, y: Column) -> Column:
+        """The slab of a y between the outermost bounds, by bisection of a constant array."""
+        bounds = F.from_json(F.lit(json.dumps(self.bounds.tolist())), "array<double>")
+        steps = [1 << i for i in reversed(range(max(1, len(self.bounds)).bit_length()))]
+        return F.aggregate(F.array(*(F.lit(s).cast("long") for s in steps)), F.lit(0).cast("long"), lambda at, s: F.when((at + s < len(self.bounds)) & (F.get(bounds, (at + s).cast("int")) <= y), at + s).otherwise(at))
+
+
+def _with_inside(points: DataFrame, area: ClipArea, name: str) -> DataFrame:
+    """points and a boolean: inside the box and the area; false or null for others. Each row stays one row.
+
+    Outlines of many edges are a table keyed by slab, broadcast up to BROADCAST_COPIES edges; a longer one is joined by slab, where
+    adaptive execution splits a slab that holds much of the cloud. Points outside the box have no slab and meet no edge.
+    """
+    box = in_box(area.bounds)
+    if area.n_edges <= SLAB_EDGES:
+        return points.withColumn(name, box & area.contains(F.col("x"), F.col("y")))
+    index, at = EdgeSlabs.of(area), {c: f"c{i}" for i, c in enumerate(points.columns)}  # inside, columns go by their places
+    if not len(index.slab):
+        return points.withColumn(name, F.lit(False))
+    x, y = F.col(at["x"]), F.col(at["y"])
+    placed = points.withColumn(name, F.when(box, index.slab_of(F.col("y")))).select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()), F.col(name).alias("key"))
+    slabs = index.table(points.sparkSession)
+    met = placed.join(F.broadcast(slabs) if len(index.slab) <= BROADCAST_COPIES else slabs, F.col("key") == F.col("slab"), "left")
+    odd = lambda part: F.aggregate(part, F.lit(False), lambda a, e: a != (((e["y1"] > y) != (e["y2"] > y)) & (x < e["s"] * (y - e["y1"]) + e["x1"])))
+    return met.select(*(F.col(a).alias(c) for c, a in at.items()), F.coalesce(F.exists("outlines", odd), F.lit(False)).alias(name))
+
+
+def _unused(points: DataFrame) -> str:
+    name = "inside"
+    while name in points.columns:
+        name += "_"
+    return name
+
+
 def clip(points: DataFrame, area: ClipArea) -> DataFrame:
-    """Points inside. The box goes to the scan, the exact test runs on what it leaves; attributes come along."""
-    return points.where(in_box(area.bounds)).where(area.contains(F.col("x"), F.col("y")))
+    """Points inside. The box goes to the scan, the exact test runs on what it leaves; attributes come along. Points without a finite place are outside."""
+    name = _unused(points)
+    return _with_inside(points.where(in_box(area.bounds)), area, name).where(F.col(name)).select(*(F.col(f"`{c}`") for c in points.columns))
 
 
 def clip_statistics(points: DataFrame, area: ClipArea) -> DataFrame:
     """(total, inside, outside, percent_inside, area)."""
-    inside = F.count_if(in_box(area.bounds) & area.contains(F.col("x"), F.col("y")))
-    counted = points.agg(F.count(F.lit(1)).alias("total"), inside.alias("inside"))
+    counted = _with_inside(points.select("x", "y"), area, "in").agg(F.count(F.lit(1)).alias("total"), F.count_if("in").alias("inside"))
     return counted.select("total", "inside", (F.col("total") - F.col("inside")).alias("outside"), F.coalesce(F.try_divide(100.0 * F.col("inside"), F.col("total")), F.lit(0.0)).alias("percent_inside"), F.lit(area.area).alias("area"))

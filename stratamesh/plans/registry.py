@@ -218,6 +218,39 @@ def _(pts):
     return clip(pts, HOLED).select("point_id")
 
 
+def _shore(n: int) -> list[list[tuple[float, float]]]:
+    """An outline whose two sides have n vertices each, by a rule that SQL can repeat without rounding, and a hole like it."""
+    side = lambda x, step, up: [(x + step * ((i * 7919) % 64), 20.0 + 0.25 * i) for i in (range(n) if up else reversed(range(n)))]
+    return [side(950.0, -0.5, True) + side(60.0, 0.5, False), [(x, y + 0.125) for x, y in side(600.0, 0.25, True)[8:-8] + side(400.0, 0.25, False)[8:-8]]]
+
+
+SHORE_SIDE = 1800
+SHORE = ClipArea.of(_shore(SHORE_SIDE))
+#: The outline's edges in SQL: sides up and down, the hole's inside them, each vertex beside the next one of its ring.
+_SHORE_EDGES = f"""v AS (SELECT 0 AS ring, i AS n, 950.0::double - 0.5::double * ((i * 7919) % 64) AS x, 20.0::double + 0.25::double * i AS y FROM range({SHORE_SIDE}) r(i)
+  UNION ALL SELECT 0, {2 * SHORE_SIDE} - i, 60.0::double + 0.5::double * ((i * 7919) % 64), 20.0::double + 0.25::double * i FROM range({SHORE_SIDE}) r(i)
+  UNION ALL SELECT 1, i, 600.0::double + 0.25::double * ((i * 7919) % 64), 20.125::double + 0.25::double * i FROM range(8, {SHORE_SIDE} - 8) r(i)
+  UNION ALL SELECT 1, {2 * SHORE_SIDE} - i, 400.0::double + 0.25::double * ((i * 7919) % 64), 20.125::double + 0.25::double * i FROM range(8, {SHORE_SIDE} - 8) r(i)),
+e AS (SELECT x AS x1, y AS y1, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2 FROM v WINDOW w AS (PARTITION BY ring ORDER BY n)),
+inside AS (SELECT point_id FROM pts JOIN e ON least(y1, y2) <= y AND greatest(y1, y2) > y AND (y1 > y) <> (y2 > y) AND x < (x2 - x1) / (y2 - y1) * (y - y1) + x1 WHERE y1 <> y2 GROUP BY point_id HAVING count(*) % 2 = 1)"""
+
+
+@register("clip_long_outline", None)
+def _(pts):
+    return clip(pts, SHORE).select("point_id", "epoch", "classification")
+
+
+ORACLES["clip_long_outline"] = f"WITH pts AS ({lineitem_points_sql(1.0)}), {_SHORE_EDGES}\nSELECT point_id, epoch, classification FROM pts WHERE point_id IN (SELECT point_id FROM inside)"
+
+
+@register("clip_stats_long_outline", None)
+def _(pts):
+    return r6(clip_statistics(pts, SHORE).drop("area"), "percent_inside")
+
+
+ORACLES["clip_stats_long_outline"] = f"WITH pts AS ({lineitem_points_sql(1.0)}), {_SHORE_EDGES}, n AS (SELECT count(*) AS total, count(*) FILTER (point_id IN (SELECT point_id FROM inside)) AS inside FROM pts)\nSELECT total, inside, total - inside AS outside, round(100.0::double * inside / total, 6) AS percent_inside FROM n"
+
+
 @register("clip_stats", f"SELECT count(*) AS total, count(*) FILTER ({HOLED.sql()}) AS inside, count(*) FILTER (NOT {HOLED.sql()}) AS outside, round(100.0::double * count(*) FILTER ({HOLED.sql()}) / count(*), 6) AS percent_inside, {HOLED.area!r}::double AS area FROM pts")
 def _(pts):
     return r6(clip_statistics(pts, HOLED), "percent_inside")
