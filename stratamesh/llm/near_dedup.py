@@ -236,10 +236,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     left, _ = _across(labelled.select("id", "comp", "k", F.col("k").alias("behind"), F.explode("bands").alias("band")), "band")
     left = written(left, "open")
     small = _pairs(left.where(F.col("least") * F.col("n") <= SMALL_BUCKET), "band", nodes, similarity)
-    large = _with_partner(left.where(F.col("least") * F.col("n") > SMALL_BUCKET), nodes, similarity)
+    large = written(_with_partner(left.where(F.col("least") * F.col("n") > SMALL_BUCKET), nodes, similarity), "large")
     pairs = small
     if large.limit(1).count():
-        pairs = pairs.unionByName(_by_rare_shingles(written(large, "large"), nodes, docs, key, text, width, similarity)).distinct()
+        pairs = pairs.unionByName(_by_rare_shingles(large, nodes, docs, key, text, width, similarity)).distinct()
     more = confirmed(written(pairs.join(star, ["a", "b"], "left_anti"), "pairs"), nodes, docs, key, text, width, similarity)
     more = written(more, "more")
     if more.limit(1).count():
