@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from stratamesh.llm._io import give_back, written
 from stratamesh.llm.word_tokens import tokens_of
 
-#: Sub-groups in which pieces of one length are numbered, so that no task numbers all pieces of a common length.
-SUBS = 64
+#: Sub-groups in which pieces of one length are numbered, so that no task numbers all pieces of a common length; a length with more pieces than SUBS * PER_SUB has more.
+SUBS, PER_SUB = 64, 1_000_000
 #: Bits below a length in the key of a placed piece.
 _SHIFT = 44
 
@@ -141,34 +141,43 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: Capacity = Capacity()
     or of a null length raise ValueError, as do those no empty sequence can hold. Repeated rows are pieces of their own. Columns named
     sequence_id and offset are replaced, all others stay, whatever their names.
     Pieces are numbered inside (length, hash) sub-groups, so no task holds all of a common length; the driver gets counts
-    by length and sub-group: at most capacity.tokens * SUBS rows.
+    by length and sub-group: at most capacity.tokens * SUBS rows, and one more for PER_SUB pieces of the table.
     """
     spark: SparkSession = pieces.sparkSession
     names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
     at = {c: f"c{i}" for i, c in enumerate(names)}  # inside, columns go by their places
     order = [at[key], at["piece"], at["ids_crc32"]]
     rows = written(pieces, "pieces").select(*(F.col(f"`{c}`").alias(a) for c, a in at.items()))
-    rows = rows.withColumns({"size": F.col(at["length"]), "sub": F.pmod(F.xxhash64(*order), F.lit(SUBS)).cast("int")})
-    seen = rows.groupBy("size", "sub").agg(F.count(F.lit(1)).alias("n")).toArrow()
-    length, sub, n = (seen.column(c).to_numpy() for c in ("size", "sub", "n"))
+    rows = rows.withColumn("size", F.col(at["length"]))
+    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    length, n = (counts.column(c).to_numpy() for c in ("size", "n"))
     if len(length) and (not np.issubdtype(length.dtype, np.integer) or length.min() <= 0):
         raise ValueError("pieces must have a length of one token at least")
-    table = np.zeros((capacity.tokens + 1, SUBS), np.int64)
     if len(length) and length.max() > capacity.tokens:
         raise ValueError(f"a piece of {length.max()} tokens exceeds the capacity of an empty sequence")
-    table[length, sub] = n
-    plan = plan_bins({int(k): int(v) for k, v in enumerate(table.sum(1)) if v}, capacity, rule, weights)
-    ranks = table.cumsum(1) - table  # where each sub-group begins among the pieces of its length
-    held = spark.sparkContext.broadcast((ranks, plan.key, plan.bin, plan.offset))
+    subs = np.full(capacity.tokens + 1, SUBS, np.int64)
+    subs[length] = np.maximum(SUBS, -(-n // PER_SUB))
+    into = F.lit(SUBS)
+    for k in length[subs[length] > SUBS]:
+        into = F.when(F.col("size") == int(k), int(subs[k])).otherwise(into)
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64(*order), into).cast("int"))
+    plan = plan_bins(dict(zip(length.tolist(), n.tolist(), strict=True)), capacity, rule, weights)
+    seen = rows.groupBy("size", "sub").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    base = subs.cumsum() - subs  # where a length's sub-groups begin
+    table = np.zeros(int(subs.sum()), np.int64)
+    table[base[seen.column("size").to_numpy()] + seen.column("sub").to_numpy()] = seen.column("n").to_numpy()
+    before = np.append(0, table.cumsum())
+    ranks = before[:-1] - np.repeat(before[base], subs)  # where each sub-group begins among the pieces of its length
+    held = spark.sparkContext.broadcast((base, ranks, plan.key, plan.bin, plan.offset))
     place = F.row_number().over(Window.partitionBy("size", "sub").orderBy(*order)) - 1
     numbered = rows.withColumn("rank", place.cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, keys, bins, offsets = held.value
+        base, ranks, keys, bins, offsets = held.value
         own = list(at.values())
         for b in batches:
             length, sub, rank = (b.column(c).to_numpy() for c in ("size", "sub", "rank"))
-            k = length << _SHIFT | (rank + ranks[length, sub])
+            k = length << _SHIFT | (rank + ranks[base[length] + sub])
             step = np.searchsorted(keys, k, "right") - 1
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(bins[step] + k - keys[step]), pa.array(offsets[step])], [*own, "bin", "at"])
 

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from stratamesh.llm import conversation_trie, line_crf, secrets, simhash, spelling
+from stratamesh.llm import conversation_trie, line_crf, packing, secrets, simhash, spelling
 from stratamesh.llm._io import table, written
 from stratamesh.llm.components import components
 
@@ -397,3 +397,21 @@ def test_redaction_merges_overlaps(spark):
                 out += text[at:a] + "[SECRET]"
             at = max(at, b)
         assert got[k] == out + text[at:]
+
+
+def test_common_lengths_are_numbered_in_more_sub_groups(spark, monkeypatch):
+    rng = random.Random(31)
+    rows = [(i, 0, 0, 7 if i % 3 else rng.randint(1, 20), i) for i in range(2_000)] + [(-1, 0, 0, 7, 5)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    filled = []
+    for subs, per_sub in ((64, 1_000_000), (2, 10), (1, 1)):
+        monkeypatch.setattr(packing, "SUBS", subs)
+        monkeypatch.setattr(packing, "PER_SUB", per_sub)
+        bins = defaultdict(list)
+        for r in packing.pack(df, capacity=packing.Capacity(20)).collect():
+            bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert sum(map(len, bins.values())) == len(rows)
+        for b in map(sorted, bins.values()):
+            assert [o for o, _ in b] == [sum(n for _, n in b[:i]) for i in range(len(b))] and sum(n for _, n in b) <= 20
+        filled.append(sorted(tuple(sorted(n for _, n in b)) for b in bins.values()))
+    assert filled[0] == filled[1] == filled[2]
