@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from stratamesh.functions.geometry import squared_distance
-from stratamesh.operators import point_index
+from stratamesh.operators import point_index, quadtree
 from stratamesh.operators.point_index import PointIndex, index_of, matches, queries_of
 from stratamesh.staging import staged, unstage
 
@@ -123,33 +123,31 @@ def nearest_within(source: DataFrame, target: DataFrame, reach: float, keep_all:
     return source.select(F.col("point_id").alias("source_id")).join(best, "source_id", "left")
 
 
-def _scales(source: DataFrame, target: DataFrame, k: int) -> tuple[float, float]:
-    """(a reach with 2 k targets on average, a distance no two points exceed)."""
+def _extent(source: DataFrame, target: DataFrame) -> float:
+    """A distance that no source and target exceed."""
     box = [f(c).alias(f"{n}_{c}") for c in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]
-    t = target.agg(F.count(F.lit(1)).alias("n"), *box).first()
-    s = source.agg(*box).first()
+    t, s = target.agg(*box).first(), source.agg(*box).first()
     if t["lo_x"] is None or s["lo_x"] is None:
         raise ValueError("point clouds must not be empty")
     sides = [max(s[f"hi_{c}"], t[f"hi_{c}"]) - min(s[f"lo_{c}"], t[f"lo_{c}"]) for c in "xyz"]
-    extent = math.sqrt(sum(v * v for v in sides)) + 1e-9
-    area = (t["hi_x"] - t["lo_x"]) * (t["hi_y"] - t["lo_y"])
-    return max(extent * 1e-6, math.sqrt(2 * k * area / (math.pi * t["n"]))), extent
+    return math.sqrt(sum(v * v for v in sides)) + 1e-9
 
 
 def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None, extent: float | None = None, most: int = 40) -> DataFrame:
     """(source_id, target_id, distance, rank, tx, ty, tz): the k nearest targets of every source, all of them if there are fewer.
 
-    A target of few points is broadcast as an index. Else the search starts with a reach of `start` (none: what the targets' density asks for) and triples it for sources that don't have k within reach; `extent` is the largest
-    distance that can occur, beyond which nothing is missed. A source that is a target is its own neighbour.
+    A target of few points is broadcast as an index. Else sources and targets meet over a quadtree of the target, in two rounds. If `start` is given, the search starts with that reach instead and triples it for
+    sources that don't have k within reach; `extent` is the largest distance that can occur, beyond which nothing is missed. A source that is a target is its own neighbour.
     """
     if k < 1:
         raise ValueError("k must be 1 at least")
     index = index_of(target)
     if index:
         return matches(source, index, k).select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz")
-    if start is None or extent is None:
-        own = _scales(source, target, k)
-        start, extent = start or own[0], extent or own[1]
+    if start is None:
+        found = quadtree.nearest(sources(source), targets(target), k)
+        return found.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz")
+    extent = extent or _extent(source, target)
     s, t = sources(source), staged(targets(target), "targets")
     order = Window.partitionBy("source_id").orderBy("d2", "target_id")
     out, left, reach = None, staged(s, "sources"), start

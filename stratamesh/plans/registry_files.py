@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratamesh.functions.geometry import Bounds
-from stratamesh.operators import cylinder, filters, grid, neighbors, registration, sampling, thinning
+from stratamesh.operators import cylinder, filters, grid, neighbors, quadtree, registration, sampling, thinning
 from stratamesh.operators.clip import ClipArea, clip
 from stratamesh.operators.estimator import NearestNeighbors
 from stratamesh.operators.point_index import held_at_most
@@ -310,10 +310,43 @@ def _by_bucket(name: str) -> None:
     QUERIES[f"{name}_by_bucket"], ORACLES[f"{name}_by_bucket"] = run, ORACLES[name]
 
 
-for _name in ("c2c_nn", "c2c_tiled_inf", "radius_count", "knn_k5", "vertical_plane_radius", "m3c2_upright", "kabsch_sums", "icp_align"):
+for _name in ("c2c_nn", "c2c_tiled_inf", "radius_count", "vertical_plane_radius", "m3c2_upright", "kabsch_sums", "icp_align"):
     _by_bucket(_name)
 
 
+@register("knn_k5_by_bucket", _body("knn_k5"))
+def _(pts):
+    with held_at_most(0):
+        t1, t2 = epochs(pts)
+        return r6(neighbors.knn(t2, t1, 5, start=CELL), "distance").select("source_id", "target_id", "distance", "rank")
+
+
+def _by_leaves(name: str) -> None:
+    """Registers a search once more, over a quadtree of the target as for clouds over the bound."""
+    once = QUERIES[name]
+
+    def run(spark, sf_dir):
+        with held_at_most(0):
+            return once(spark, sf_dir)
+
+    QUERIES[f"{name}_by_leaves"], ORACLES[f"{name}_by_leaves"] = run, ORACLES[name]
+
+
+for _name in ("knn_k5", "knn_self_k5", "c2c_unbounded", "vertical_plane_knn"):
+    _by_leaves(_name)
+
+#: Every other point is moved into a place as wide as a bucket of REACH, a two-hundredth of the cloud.
+_CROWD = {c: f"CASE WHEN point_id % 2 = 0 THEN 500 + {c} / 200 ELSE {c} END" for c in "xy"}
+
+
+@register("knn_crowded_place", f"""SELECT sid AS source_id, tid AS target_id, round(sqrt(d2), 6) AS distance, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY d2, tid) AS r
+FROM (SELECT s.*, t.*, {_D2} AS d2 FROM {_PAIRS.replace("x AS", _CROWD["x"] + " AS").replace("y AS", _CROWD["y"] + " AS")} ON true)) WHERE r <= 3""")
+def _(pts):
+    t1, t2 = epochs(pts.withColumns({c: F.expr(e) for c, e in _CROWD.items()}))
+    found = quadtree.nearest(neighbors.sources(t2), neighbors.targets(t1), 3, leaf=5_000, group=20_000)
+    return found.select("source_id", "target_id", F.round(F.sqrt("d2"), 6).alias("distance"), "rank")
+
+
 @register("layout_box", "SELECT point_id, x, y, classification FROM pts WHERE x BETWEEN 200.0::double AND 820.0::double AND y BETWEEN 150.0::double AND 777.0::double")
 def _(pts):
     path = stage_path(pts.sparkSession, "layout")
