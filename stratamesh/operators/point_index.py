@@ -93,18 +93,16 @@ class PointIndex:
             for lo in range(0, len(live), each):
                 own = live[lo : lo + each]
                 query, point, d2 = self._block(q[own], cx[own], cy[own], ring)
-                if reach < math.inf:
-                    near = d2 <= reach * reach
-                    query, point, d2 = query[near], point[near], d2[near]
+                safe = self._safe(q[own], cx[own], cy[own], ring)
+                sure = (d2 < (safe * safe)[query]) & (d2 <= reach * reach)  # nothing outside the block comes before these
+                query, point, d2 = query[sure], point[sure], d2[sure]
+                done = (np.bincount(query, minlength=len(own)) >= k) | (safe > reach) | np.isinf(safe)
+                last = done[query]  # the others' are looked for again, in a larger block
+                query, point, d2 = query[last], point[last], d2[last]
                 order = np.lexsort((self.ids[point], d2, query))
                 query, point, d2 = query[order], point[order], d2[order]
                 rank = np.arange(len(query)) - np.searchsorted(query, query) + 1
-                safe = self._safe(q[own], cx[own], cy[own], ring)
-                last = np.full(len(own), math.inf)  # distance of the k-th, if there is one
-                at_k = rank == k
-                last[query[at_k]] = np.sqrt(d2[at_k])
-                done = (last < safe) | (safe > reach) | np.isinf(safe)
-                keep = (rank <= k) & done[query]
+                keep = rank <= k
                 got.append((own[query[keep]], rank[keep], point[keep], d2[keep]))
                 later.append(own[~done])
             live, ring = np.concatenate(later), ring * 2

@@ -94,7 +94,9 @@ class Quadtree:
             keep = near <= bound[query]
             query, node = query[keep], node[keep]
             if self.leaf[node].all():
-                own = np.flatnonzero(np.diff(query, prepend=-1))  # still by far corner
+                order = np.lexsort((far[keep], near[keep], query))  # a source's own place first, whatever its leaf's height
+                query, node = query[order], node[order]
+                own = np.flatnonzero(np.diff(query, prepend=-1))
                 return query[own], node[own], bound[query[own]]
             query, node = self._opened(query, node)
 
