@@ -55,3 +55,33 @@ def test_no_pair_is_sorted(spark, both):
     with redirect_stdout(io.StringIO()) as plan:
         got.explain()
     assert "SortAggregate" not in plan.getvalue()
+
+
+def test_quadtree_asks_once_a_place(spark, both):
+    s, t = both
+    s = np.concatenate([s] * 3)
+    d2 = ((t[None] - s[:, None]) ** 2).sum(-1)
+    order = np.lexsort((np.broadcast_to(np.arange(len(t)), d2.shape), np.round(d2, 9)))
+    with point_index.held_at_most(0):
+        got = neighbors.knn(cloud(spark, s), cloud(spark, t, 1000), 4)
+        assert {(r["source_id"], r["rank"]): round(r["distance"], 6) for r in got.collect()} == {(i, k + 1): round(float(np.sqrt(d2[i, order[i, k]])), 6) for i in range(len(s)) for k in range(4)}
+    with redirect_stdout(io.StringIO()) as plan:
+        got.explain()
+    assert "place" in plan.getvalue()
+
+
+def test_icp_of_a_denser_cloud(spark):
+    """Eight iterations were enough for the smallest tables only."""
+    from stratamesh.plans import registry
+
+    got = registry.QUERIES["icp_align"](spark, "/root/testdata/sf0.1").orderBy("row").collect()
+    want = np.round(registry._BACK, 5)
+    assert all(r["rmse"] == 0.0 and np.allclose([r[f"c{j}"] for j in range(4)], want[r["row"]], atol=1e-9) for r in got)
+
+
+def test_las_files_are_small_enough_to_be_held():
+    import inspect
+
+    from stratamesh.sources import las
+
+    assert inspect.signature(las.write).parameters["per_file"].default * 30 <= 32 << 20
