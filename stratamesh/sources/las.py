@@ -30,6 +30,8 @@ _GPS = {1: 20, 3: 20, 6: 22, 7: 22, 8: 22}
 _COLOURS = {2: 20, 3: 28, 7: 30, 8: 30}
 _STEP = 0.006
 CHUNK = 1_000_000
+#: Points that the writer puts into a file at most: some 30 MB, as read_anywhere() holds whole files.
+PER_FILE = 1_000_000
 
 
 def parse_header(h: bytes, path: str) -> dict:
@@ -268,7 +270,7 @@ class _File:
         os.replace(self.path + ".tmp", self.path)  # a retried task writes the same file
 
 
-def write(points: DataFrame, folder: str, extra: Iterable[str] = (), wkt: str | None = None, scale: float = 0.001, per_file: int = 20_000_000) -> int:
+def write(points: DataFrame, folder: str, extra: Iterable[str] = (), wkt: str | None = None, scale: float = 0.001, per_file: int = PER_FILE) -> int:
     """LAS files of points (x, y, z, classification, distance if there, and number or boolean columns `extra`) in a folder that executors share. Returns the number of files.
 
     Each partition writes its points batch by batch, `per_file` to a file at most, so memory doesn't grow with a partition. Coordinates are rounded to `scale`
