@@ -85,3 +85,34 @@ def test_las_files_are_small_enough_to_be_held():
     from stratamesh.sources import las
 
     assert inspect.signature(las.write).parameters["per_file"].default * 30 <= 32 << 20
+
+
+def shuffled_rows(spark):
+    """Rows that all stages of the session have shuffled so far."""
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    stages = store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("packed", [1_000, 7])
+def test_radius_pairs_of_copies(spark, monkeypatch, packed):
+    """Every row was spread over nine buckets and compared with every row; now places are."""
+    from stratamesh.operators.estimator import NearestNeighbors
+
+    monkeypatch.setattr(neighbors, "PACKED", packed)
+    rng = np.random.default_rng(8)
+    s, t = (np.repeat(np.round(rng.uniform(-6, 6, (12, 3)), 1), 60, 0) for _ in range(2))
+    s[-60:] = s[0]  # a place of 120 rows
+    t[:60] = t[60] + [3.0, 0.0, 0.0]  # the reach is included
+    s = np.concatenate([s, t[60:61]])
+    d2 = ((t[None] - s[:, None]) ** 2).sum(-1)
+    with point_index.held_at_most(0):
+        own = cloud(spark, s).unionByName(spark.createDataFrame([(None, *map(float, s[0]))] * 2 + [(-1, 0.0, float("nan"), 0.0), (-2, None, 0.0, 0.0)], "point_id long, x double, y double, z double"))
+        before = shuffled_rows(spark)
+        got = [(r["source_id"], r["target_id"], r["distance"]) for r in NearestNeighbors(radius=3.0).fit(cloud(spark, t, 1000)).radius_neighbors(own, digits=6).collect()]
+    want = [(int(i), 1000 + int(j), round(float(np.sqrt(d2[i, j])), 6)) for i, j in zip(*np.nonzero(d2 <= 9.0 + 1e-12), strict=True)]
+    want += [(None, j, d) for i, j, d in want if i == 0 for _ in range(2)]
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(got, key=order) == sorted(want, key=order)
+    if packed == 1_000:
+        assert shuffled_rows(spark) - before < len(s)
