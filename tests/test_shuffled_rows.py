@@ -8,6 +8,7 @@ from stratamesh.operators import cloud_distance, neighbors, point_index, registr
 REACH = 4.0
 WORK = {
     "knn_k5_by_bucket": lambda s, t: neighbors.knn(s, t, 5, start=REACH),
+    "kabsch_sums": lambda s, t: registration.pair_sums(registration.matched(s, t, REACH)),
 }
 
 
