@@ -10,6 +10,7 @@ WORK = {
     "knn_k5_by_bucket": lambda s, t: neighbors.knn(s, t, 5, start=REACH),
     "kabsch_sums": lambda s, t: registration.pair_sums(registration.matched(s, t, REACH)),
     "icp_rmse": lambda s, t: s.sparkSession.range(1).selectExpr(f"double('{registration.registration_error(s, t, REACH)}') AS rmse"),
+    "matched_bucket_join": lambda s, t: registration.matched(s, t, REACH),
 }
 
 
