@@ -12,6 +12,7 @@ WORK = {
     "icp_rmse": lambda s, t: s.sparkSession.range(1).selectExpr(f"double('{registration.registration_error(s, t, REACH)}') AS rmse"),
     "matched_bucket_join": lambda s, t: registration.matched(s, t, REACH),
     "c2c_stats": lambda s, t: statistics.distance_statistics(neighbors.nearest_within(s, t, REACH), cutoff=3.0),
+    "c2c_tiled_inf": lambda s, t: cloud_distance.distances_within(s, t, REACH),
 }
 
 
