@@ -163,13 +163,14 @@ def fold(s: DataFrame, t: DataFrame, reach: float, kernel: Kernel, out: str, que
     return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, fields), split
 
 
-def nearest_of(reach: float, k: int = 1) -> Kernel:
-    """(target_id, d2, rank, tx, ty, tz) of the k nearest up to reach; ties to the least id."""
+def nearest_of(reach: float, k: int = 1, counted: bool = False) -> Kernel:
+    """(target_id, d2, rank, tx, ty, tz) of the k nearest up to reach; ties to the least id. counted: and found, how many of the k there are."""
 
     def run(there: Sites, q: np.ndarray) -> tuple[np.ndarray, list]:
         query, rank, point, d2 = there.index.nearest(q[:, :3], k, reach)
         at = there.index.xyz[point]
-        return query, [there.ids.take(pa.array(there.index.ids[point])), d2, rank.astype(np.int32), *at.T]
+        found = [np.bincount(query, minlength=len(q))[query].astype(np.int32)] if counted else []
+        return query, [there.ids.take(pa.array(there.index.ids[point])), d2, rank.astype(np.int32), *at.T, *found]
 
     return run
 

@@ -190,7 +190,6 @@ def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None
         return found.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz")
     extent = extent or _extent(source, target)
     s, t = sources(source), staged(targets(target), "targets")
-    order = Window.partitionBy("source_id").orderBy("d2", "target_id")
     out, left, reach = None, staged(s, "sources"), start
     for _ in range(most):
         few = index_of(left.select("source_id", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z")), "source_id", LONELY)
@@ -198,15 +197,17 @@ def knn(source: DataFrame, target: DataFrame, k: int, start: float | None = None
             got = _nearest_to_few(few, t, k)
             return got if out is None else out.unionByName(got)
         last = reach >= extent
-        got, split = around.fold(left, t, reach, around.nearest_of(reach, k), f"target_id {t.schema['target_id'].dataType.simpleString()}, d2 double, rank int, tx double, ty double, tz double", copies=k)
+        got, split = around.fold(left, t, reach, around.nearest_of(reach, k, counted=True), f"target_id {t.schema['target_id'].dataType.simpleString()}, d2 double, rank int, tx double, ty double, tz double, found int", copies=k)
         if split:  # a tile's parts have k each
-            got = got.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        got = staged(got.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz"), "near")
-        if not last:  # a source with k neighbours in reach is done
-            sure = got.where(F.col("rank") == k).select("source_id")
-            before, left = left, staged(left.join(sure, "source_id", "left_anti"), "sources")
+            own = Window.partitionBy("source_id", *XYZ_S)
+            got = got.withColumn("rank", F.row_number().over(own.orderBy("d2", "target_id"))).where(F.col("rank") <= k).withColumn("found", F.max("rank").over(own))
+        place = [F.when(F.col("rank") == k, F.col(c)).alias(c) for c in XYZ_S]  # once a source
+        got = staged(got.select("source_id", "target_id", F.sqrt("d2").alias("distance"), "rank", "tx", "ty", "tz", "found", *place), "near")
+        if not last:  # a source with k neighbours in reach is done: its rows say so, and only the sources meet in a join
+            before, left = left, staged(left.join(got.where(F.col("rank") == k), ["source_id", *XYZ_S], "left_anti"), "sources")
             unstage(before)
-            got = got.join(sure, "source_id", "left_semi")
+            got = got.where(F.col("source_id").isNotNull() & (F.col("found") == k))
+        got = got.drop("found", *XYZ_S)
         out = got if out is None else out.unionByName(got)
         if last or left.limit(1).count() == 0:
             return out
