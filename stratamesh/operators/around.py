@@ -17,10 +17,13 @@ from pyspark.sql.types import StructType
 
 from stratamesh.operators import point_index
 from stratamesh.operators.point_index import PointIndex
+from stratamesh.operators.range_sums import COLUMNS, Region, SumTree
 from stratamesh.staging import staged
 
 #: Rows of each side that meet in one group at most: fuller tiles are dealt over several.
 ROWS = 100_000
+#: So many times as many rows of each side where sums are asked for, whose time grows little with the targets.
+SUMMED = 4
 #: Tiles that a cloud is divided into at least, if it is wide enough for them and has a thousand points for each.
 TILES = 256
 PLACE_S, PLACE_T = ("sx", "sy", "sz"), ("tx", "ty", "tz")
@@ -52,7 +55,20 @@ class Sites:
         least = np.argsort(rank[places], kind="stable")  # in the order of ids, which may be of any kind
         places = places[least]
         self.n, self.side, self.ids = weight[keep][least], side[places], ids.take(pa.array(places)).combine_chunks()
-        self.index = PointIndex(np.arange(len(places)), xyz[places])
+        self.xyz, self._made = xyz[places], {}  # what is asked of them is made where it is needed first
+
+    @property
+    def index(self) -> PointIndex:
+        if "index" not in self._made:
+            self._made["index"] = PointIndex(np.arange(len(self.xyz)), self.xyz)
+        return self._made["index"]
+
+    def sums(self, side: int | None = None) -> SumTree | None:
+        """The places of a side, or of all, for sums; None without any."""
+        if side not in self._made:
+            own = slice(None) if side is None else self.side == side
+            self._made[side] = SumTree(self.xyz[own], self.n[own]) if len(self.n[own]) else None
+        return self._made[side]
 
 
 def placed(df: DataFrame, of: str) -> DataFrame:
@@ -95,29 +111,30 @@ def _tile(c: Column, side: float) -> Column:
     return F.floor(c / F.lit(side)).cast("long")
 
 
-def _side(t: DataFrame, reach: float) -> float:
-    """The side of tiles: a multiple of reach, so that few targets are copied, with tiles enough and not too full on average."""
+def _side(t: DataFrame, reach: float, least: int | None = None) -> tuple[float, bool]:
+    """(the side of tiles: a multiple of reach, so that few rows are copied, with tiles enough and not too full on average; whether it is for targets that aren't copied: if there are `least` of them)."""
     cells = t.groupBy(_tile(F.col("tx"), reach), _tile(F.col("ty"), reach)).count()
     n, occupied = cells.agg(F.sum("count"), F.count(F.lit(1))).first()
-    tiles = min(TILES, max(16, (n or 0) // 1000))
+    tiles, still = min(TILES, max(16, (n or 0) // 1000)), least is not None and (n or 0) >= least
     for m in (256, 128, 64, 32, 16, 8, 4, 2):
-        if occupied >= tiles * m * m and n / occupied * (m + 2) ** 2 <= ROWS / 4:
-            return m * reach
-    return reach
+        if occupied >= tiles * m * m and n / occupied * (m if still else m + 2) ** 2 <= ROWS * (SUMMED if still else 1 / 4):
+            return m * reach, still
+    return reach, still
 
 
-def _crowded(df: DataFrame, name: str) -> DataFrame:
-    """(i, j, name): into how many parts tiles of more than ROWS rows are dealt; at most a row for each ROWS rows."""
-    counts = df.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias(name))
+def _crowded(df: DataFrame, name: str, most: int) -> DataFrame:
+    """(i, j, name): into how many parts tiles of more than `most` rows are dealt; at most a row for each `most` rows."""
+    counts = df.groupBy("i", "j").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     return counts.where(F.col(name) > 1)
 
 
-def fold(s: DataFrame, t: DataFrame, reach: float, kernel: Kernel, out: str, query: tuple[str, ...] = PLACE_S, copies: int = 1) -> tuple[DataFrame, bool]:
+def fold(s: DataFrame, t: DataFrame, reach: float, kernel: Kernel, out: str, query: tuple[str, ...] = PLACE_S, copies: int = 1, added: bool = False) -> tuple[DataFrame, bool]:
     """(rows of s with the columns `out` that the kernel finds for each from the targets up to reach around it, whether a source may have several answers to be put together).
 
     s: (source_id, sx, sy, sz, ...); t: (target_id, tx, ty, tz, and side, if there; and n, if rows are places already). The kernel is given sites that hold all those in reach, or a part of them, and distinct rows
     of the columns `query`; it names the rows that it found something for. copies: how many of the targets at one place it needs. Few targets, or few places, are sent to the sources; else both sides meet in
-    tiles, targets copied to all tiles in reach. Tiles with more than ROWS rows are dealt over several groups.
+    tiles, targets copied to all tiles in reach. Tiles with more than ROWS rows are dealt over several groups. added: answers are sums, to be added up by source; then the sources are copied instead where they
+    are less than half as many as the targets.
     """
     if not (reach > 0 and math.isfinite(reach)):
         raise ValueError("the reach must be positive and finite")
@@ -141,11 +158,13 @@ def fold(s: DataFrame, t: DataFrame, reach: float, kernel: Kernel, out: str, que
         near = s.repartition(*PLACE_S).sortWithinPartitions(*PLACE_S)  # sources at one place are asked together
         return near.mapInArrow(ask, fields), False
     t = placed(t, "t") if copies == 1 else staged(placed(t, "t"), "targets")
-    side, pad = _side(t, reach), reach * 1.0001  # rounding must not lose one on the edge
+    side, still = _side(t, reach, 2 * s.count() + 1 if added else None)
+    pad, most = reach * 1.0001, ROWS * (SUMMED if added else 1)  # rounding must not lose one on the edge
     span = lambda c: F.explode(F.sequence(_tile(F.col(c) - pad, side), _tile(F.col(c) + pad, side)))
-    own = s.withColumns({"i": _tile(F.col("sx"), side), "j": _tile(F.col("sy"), side)})
-    around = t.withColumn("i", span("tx")).withColumn("j", span("ty"))
-    parts, shares = staged(_crowded(around, "parts"), "parts"), staged(_crowded(own, "shares"), "shares")
+    at = lambda df, x, y: df.withColumns({"i": _tile(F.col(x), side), "j": _tile(F.col(y), side)})
+    near = lambda df, x, y: df.withColumn("i", span(x)).withColumn("j", span(y))
+    own, around = (near(s, "sx", "sy"), at(t, "tx", "ty")) if still else (at(s, "sx", "sy"), near(t, "tx", "ty"))
+    parts, shares = staged(_crowded(around, "parts", most), "parts"), staged(_crowded(own, "shares", most), "shares")
     split = parts.limit(1).count() > 0
     many = lambda df: df.join(F.broadcast(parts), ["i", "j"], "left").join(F.broadcast(shares), ["i", "j"], "left").fillna(1, ["parts", "shares"])
     dealt = lambda ids, n: F.pmod(F.xxhash64(*ids), F.col(n)).cast("int")
@@ -160,7 +179,10 @@ def fold(s: DataFrame, t: DataFrame, reach: float, kernel: Kernel, out: str, que
         return pa.Table.from_arrays([*a.select(kept).take(pa.array(row)).columns, *columns], [*kept, *names])
 
     kept = s.columns
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, fields), split
+    if added:  # few bytes can be much work, so groups stay on as many tasks as there are
+        n = int(s.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        left, right = left.repartition(n, *by), right.repartition(n, *by)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(meet, fields), split or still
 
 
 def nearest_of(reach: float, k: int = 1, counted: bool = False) -> Kernel:
@@ -175,30 +197,17 @@ def nearest_of(reach: float, k: int = 1, counted: bool = False) -> Kernel:
     return run
 
 
-def _summed(there: Sites, q: np.ndarray, reach: float, flat: bool, wide: int, of: Callable) -> np.ndarray:
-    """Sums over each query's targets of the columns that of(query rows, target places, target numbers, d2) gives, by weight; the first column counts."""
-    total = np.zeros((len(q), wide))
-    for query, point, d2 in there.index.within(q[:, :3], reach, flat):
-        if len(query):
-            lo, hi = query[0], query[-1] + 1
-            at = there.index.ids[point]
-            for i, c in enumerate(of(q[query], there.index.xyz[point], at, d2)):
-                total[lo:hi, i] += np.bincount(query - lo, c * there.n[at], hi - lo)
-    return total
-
-
-MOMENT_SUMS = ("n", "mx", "my", "mz", "xx", "xy", "xz", "yy", "yz", "zz")
-
+MOMENT_SUMS = COLUMNS
 
-def moments_of(reach: float) -> Kernel:
-    """MOMENT_SUMS of targets up to reach relative to the source, and the nearest one's target_id and d2."""
 
-    def terms(q, t, at, d2):
-        x, y, z = (t - q[:, :3]).T
-        return np.ones(len(x)), x, y, z, x * x, x * y, x * z, y * y, y * z, z * z
+def moments_of(reach: float, nearest: bool = True) -> Kernel:
+    """MOMENT_SUMS of targets up to reach relative to the source; nearest: and the nearest one's target_id and d2."""
 
     def run(there: Sites, q: np.ndarray) -> tuple[np.ndarray, list]:
-        total = _summed(there, q, reach, False, 10, terms)
+        total = there.sums().around(q[:, :3], Region(reach))
+        if not nearest:
+            found = np.flatnonzero(total[:, 0])
+            return found, list(total[found].T)
         query, _, point, d2 = there.index.nearest(q[:, :3], 1, reach)
         return query, [*total[query].T, there.ids.take(pa.array(there.index.ids[point])), d2]
 
@@ -207,7 +216,7 @@ def moments_of(reach: float) -> Kernel:
 
 def counts_of(reach: float) -> Kernel:
     def run(there: Sites, q: np.ndarray) -> tuple[np.ndarray, list]:
-        n = _summed(there, q, reach, False, 1, lambda q, t, at, d2: (np.ones(len(d2)),))[:, 0]
+        n = there.sums().around(q[:, :3], Region(reach), (0,))[:, 0]
         found = np.flatnonzero(n)
         return found, [n[found].astype(np.int64)]
 

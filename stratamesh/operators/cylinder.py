@@ -18,6 +18,7 @@ from stratamesh.operators.around import Kernel, Sites, fold
 from stratamesh.operators.cloud_distance import unit_normals
 from stratamesh.operators.grid import in_tiles_meeting, tile_of
 from stratamesh.operators.neighbors import XYZ_S, moments_within, sources, targets
+from stratamesh.operators.range_sums import Region
 from stratamesh.operators.sampling import percent_per
 from stratamesh.operators.statistics import density
 from stratamesh.staging import staged
@@ -79,7 +80,7 @@ def cylinder_statistics(oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: Cy
     sums = [f"{c}{i}" for i in (1, 2) for c in ("n", "m", "q")]
     query = XYZ_S if upright else (*XYZ_S, "nx", "ny", "nz")
     oriented = oriented.select("source_id", *query)
-    got, _ = fold(oriented, both, p.cylinder_radius if upright else p.reach, _in_cylinders(p, upright), ", ".join(f"{c} double" for c in sums), query)
+    got, _ = fold(oriented, both, p.cylinder_radius if upright else p.reach, _in_cylinders(p, upright), ", ".join(f"{c} double" for c in sums), query, added=True)
     got = got.groupBy("source_id").agg(*(F.sum(c).alias(c) for c in sums))
     mean = lambda i: F.col(f"m{i}") / F.col(f"n{i}")
     var = lambda i: F.greatest(F.lit(0.0), F.col(f"q{i}") - F.col(f"m{i}") * mean(i)) / (F.col(f"n{i}") - 1)
@@ -90,25 +91,21 @@ def cylinder_statistics(oriented: DataFrame, t1: DataFrame, t2: DataFrame, p: Cy
 def _in_cylinders(p: CylinderParams, upright: bool) -> Kernel:
     """Of each side's points in the cylinder: their number, and sums of places along the normal and of their squares."""
 
+    region = Region(p.cylinder_radius, p.max_depth, not upright)
+
     def run(there: Sites, q: np.ndarray) -> tuple[np.ndarray, list]:
         total = np.zeros((len(q), 6))
-        for query, point, d2 in there.index.within(q[:, :3], p.cylinder_radius if upright else p.reach, upright):
-            d = there.index.xyz[point] - q[query, :3]
+        for i in (1, 2):
+            tree = there.sums(i)
+            if tree is None:
+                continue
             if upright:
-                t = d[:, 2]
-                inside = np.abs(t) <= p.max_depth
+                total[:, 3 * i - 3 : 3 * i] = tree.around(q, region, (0, 3, 9))[:, [0, 3, 9]]
             else:
-                n = q[query, 3:]
-                t = d[:, 0] * n[:, 0] + d[:, 1] * n[:, 1] + d[:, 2] * n[:, 2]
-                inside = (np.abs(t) <= p.max_depth) & (d2 - t * t <= p.cylinder_radius**2)
-            query, t, at = query[inside], t[inside], there.index.ids[point[inside]]
-            if not len(query):
-                continue
-            lo, hi = query[0], query[-1] + 1
-            for i in (1, 2):
-                w = there.n[at] * (there.side[at] == i)
-                for j, c in enumerate((w, w * t, w * t * t)):
-                    total[lo:hi, 3 * i - 3 + j] += np.bincount(query - lo, c, hi - lo)
+                n, *m, xx, xy, xz, yy, yz, zz = tree.around(q, region).T
+                a, b, c = q[:, 3:].T
+                along = a * a * xx + b * b * yy + c * c * zz + 2 * (a * b * xy + a * c * xz + b * c * yz)
+                total[:, 3 * i - 3 : 3 * i] = np.stack([n, m[0] * a + m[1] * b + m[2] * c, along], 1)
         found = np.flatnonzero(total[:, 0] + total[:, 3])
         return found, list(total[found].T)
 

@@ -244,16 +244,15 @@ def _nearest_to_few(few: PointIndex, target: DataFrame, k: int) -> DataFrame:
 
 def counts_within(source: DataFrame, target: DataFrame, reach: float) -> DataFrame:
     """(source_id, n) of sources that have a target within reach."""
-    got, _ = around.fold(sources(source), targets(target), reach, around.counts_of(reach), "n long")
+    got, _ = around.fold(sources(source), targets(target), reach, around.counts_of(reach), "n long", added=True)
     return got.groupBy("source_id").agg(F.sum("n").alias("n"))
 
 
 def moments_within(source: DataFrame, target: DataFrame, reach: float, nearest: bool = False) -> DataFrame:
     """(source_id, sx, sy, sz, n, mx .. zz): counts, means and centred second moments of every source's targets up to reach, relative to the source. nearest: and the nearest one's target_id."""
     t = targets(target)
-    kind = t.schema["target_id"].dataType.simpleString()
-    sums = around.MOMENT_SUMS
-    got, split = around.fold(sources(source), t, reach, around.moments_of(reach), f"{', '.join(f'{c} double' for c in sums)}, target_id {kind}, d2 double")
+    sums, more = around.MOMENT_SUMS, f", target_id {t.schema['target_id'].dataType.simpleString()}, d2 double" if nearest else ""
+    got, _ = around.fold(sources(source), t, reach, around.moments_of(reach, nearest), ", ".join(f"{c} double" for c in sums) + more, added=True)
     by = ["source_id", *XYZ_S]
     near = [F.min(F.struct("d2", "target_id")).alias("near")] if nearest else []  # a row a source goes in, or one for each part of a tile
     m = got.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), *near)
